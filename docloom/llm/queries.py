@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import graph, leaks, neardup, spans
+from docloom.llm import graph, leaks, lookalike, neardup, packing, pieces, spans
 from docloom.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,42 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).select("field_name", F.col("key").alias("record_key"), "class_id", "links")
 
 
+def _disguised(spark: SparkSession, d: str, forms: bool) -> DataFrame:
+    parts = (("chunks_index", "content"), ("chunk_fts", "tokens"))
+    out = [lookalike.analysed(table(spark, d, t), "chunk_id", c, forms).withColumn("source_table", F.lit(t)) for t, c in parts]
+    return out[0].unionByName(out[1]).withColumnRenamed("key", "record_key")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _disguised(spark, d, False).select("source_table", "record_key", F.explode("kinds").alias("char_kind")).distinct()
+
+
+def p5_normal(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in one form, and whether it had to be changed; repeated rows once."""
+    rows = _disguised(spark, d, True).select("source_table", "record_key", "changed", F.col("normal").alias("text"))
+    return rows.distinct()
+
+
+def p5_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Skeletons that several different texts share: how many texts and records, and the first record."""
+    rows = _disguised(spark, d, True).select(F.sha2("skeleton", 256).alias("skeleton"), "digest", "record_key")
+    alike = rows.groupBy("skeleton", "digest").agg(F.min("record_key").alias("first_key"), F.count(F.lit(1)).alias("records"))
+    alike = alike.groupBy("skeleton").agg(F.count(F.lit(1)).alias("spellings"), F.sum("records").alias("records"), F.min("first_key").alias("first_key"))
+    return alike.where("spellings > 1")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "chunks_index"), "chunk_id", "content").select("chunk_id").distinct()
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "chunks_index"), "chunk_id", "content")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -52,7 +88,9 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p9_found, p9_items, p10_found, p10_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p5_normal, p5_twins, p7_found, p7_pieces, p8_packed, p9_found, p9_items, p10_found, p10_shared)}
 
 #: The problems whose result plain SQL can give on the whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": "SELECT DISTINCT chunk_id FROM chunks_index WHERE length(content) > 700",
+}
