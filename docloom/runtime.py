@@ -8,10 +8,12 @@ and never a result. Nothing is kept on one machine only.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless they find it on the PYTHONPATH they inherit."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    _shipped.add(app)
+    out = tempfile.mkdtemp(prefix="docloom-ship-")
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{out}/docloom", "zip", root, "docloom"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
