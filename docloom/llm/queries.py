@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import graph, leaks, lookalike, neardup, packing, pieces, spans
+from docloom.llm import graph, leaks, lookalike, neardup, packing, pairs, pieces, pii, spans, vectors
 from docloom.runtime import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "query_log").select(F.col("id").cast("string").alias("key"), F.lit("query_log").alias("source"), "question", "answer", F.lit(False).alias("cached"))
+    cache = table(spark, d, "qa_cache").select(F.col("fingerprint").alias("key"), F.lit("qa_cache").alias("source"), "question", F.col("payload").alias("answer"), F.lit(True).alias("cached"))
+    return pairs.broken(log.unionByName(cache)).select(F.col("source").alias("source_table"), F.col("key").alias("record_key"), "defect")
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks_index").select("chunk_id", "content")
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), neardup.stem("filename").alias("stem"))
@@ -32,6 +38,21 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).select("field_name", F.col("key").alias("record_key"), "class_id", "links")
 
 
+_PERSONAL = (("chunks_index", "chunk_id", "content"), ("query_log", "id", "question"), ("redaction_map", "id", "original"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    out = [pii.found(table(spark, d, t), k, c).withColumn("source_table", F.lit(t)) for t, k, c in _PERSONAL]
+    rows = out[0].unionByName(out[1]).unionByName(out[2])
+    return rows.select("source_table", F.col("key").alias("record_key"), "pii_type", "pii_value").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its personal details replaced by typed placeholders; repeated rows once."""
+    out = [pii.redacted(table(spark, d, t), k, c).withColumn("source_table", F.lit(t)) for t, k, c in _PERSONAL]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("source_table", F.col("key").alias("record_key"), "details", F.col("redacted").alias("text"))
+
+
 def _disguised(spark: SparkSession, d: str, forms: bool) -> DataFrame:
     parts = (("chunks_index", "content"), ("chunk_fts", "tokens"))
     out = [lookalike.analysed(table(spark, d, t), "chunk_id", c, forms).withColumn("source_table", F.lit(t)) for t, c in parts]
@@ -56,6 +77,11 @@ def p5_twins(spark: SparkSession, d: str) -> DataFrame:
     return alike.where("spellings > 1")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs_ = vectors.similar_vectors(table(spark, d, "vector_store").select("vec_id", "embeddings"))
+    return pairs_.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "chunks_index"), "chunk_id", "content").select("chunk_id").distinct()
 
@@ -88,7 +114,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_groups, p5_found, p5_normal, p5_twins, p7_found, p7_pieces, p8_packed, p9_found, p9_items, p10_found, p10_shared)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_normal, p5_twins, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_items, p10_found, p10_shared)}
 
 #: The problems whose result plain SQL can give on the whole tables.
 SQL: dict[str, str] = {
