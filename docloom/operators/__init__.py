@@ -1 +1 @@
-
+"""Relational operators: each takes DataFrames and returns a DataFrame, lazily unless its docstring says otherwise."""

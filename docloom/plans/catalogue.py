@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import problems
+from docloom.plans import problems, retrieval
 
 FLAGSHIP = "bm25_topk"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (problems,):
+for _part in (retrieval, problems):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
