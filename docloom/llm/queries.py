@@ -116,7 +116,49 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_normal, p5_twins, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_items, p10_found, p10_shared)}
 
-#: The problems whose result plain SQL can give on the whole tables.
+def _jaccard_sql(field: str, rows: str, n: int) -> str:
+    """Pairs by brute force over the n-gram sets of rows (k, t)."""
+    return f"""SELECT '{field}' AS field_name, key_a, key_b FROM (
+      WITH r AS (SELECT DISTINCT k, t FROM ({rows}) x WHERE t IS NOT NULL AND length(t) >= {n}),
+      g AS (SELECT k, unnest(list_distinct(list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n})))) AS g FROM r),
+      s AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+      both_ AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
+      SELECT key_a, key_b FROM both_ JOIN s x ON x.k = key_a JOIN s y ON y.k = key_b WHERE c >= 0.6 * (x.n + y.n - c)) z"""
+
+
+_WIDE = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_REDUCED = f"regexp_replace(lower(translate(text, '{_WIDE}', '{_NARROW}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_KINDS_SQL = {
+    "full_width": "[０-９Ａ-Ｚａ-ｚ]",
+    "combining": r"\p{L}[\x{300}-\x{34E}\x{350}-\x{36F}\x{20D0}-\x{20F0}\x{3099}\x{309A}]",
+    "invisible": r"[\x{AD}\x{34F}\x{61C}\x{6DD}\x{70F}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}]",
+    "odd_space": r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}]",
+    "look_alike": r"\p{Latin}[\p{Latin}\p{M}\p{Cf}]*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}][\p{Greek}\p{Cyrillic}\p{M}\p{Cf}]*\p{Latin}|[\x{2E80}-\x{2FD5}\x{FB00}-\x{FB06}]",
+}
+
+
+def _kinds_sql() -> str:
+    parts = [f"SELECT '{t}' AS source_table, chunk_id AS record_key, '{k}' AS char_kind FROM {t} WHERE regexp_matches({c}, '{p}')" for t, c in (("chunks_index", "content"), ("chunk_fts", "tokens")) for k, p in _KINDS_SQL.items()]
+    return " UNION ".join(parts)
+
+
+#: The problems whose result plain SQL can give on the whole tables, by brute force.
 SQL: dict[str, str] = {
+    "p2_found": _jaccard_sql("content", "SELECT chunk_id AS k, content AS t FROM chunks_index WHERE length(content) >= 80", 5)
+    + " UNION ALL " + _jaccard_sql("filename", r"SELECT CAST(doc_id AS VARCHAR) AS k, lower(regexp_replace(filename, '([^.])\.[^.]*$', '\1')) AS t FROM documents", 3),
+    "p5_found": _kinds_sql(),
+    "p6_found": """WITH v AS (SELECT DISTINCT vec_id, CAST(embeddings AS DOUBLE[]) AS v FROM vector_store WHERE len(embeddings) = 64),
+      u AS (SELECT * FROM v WHERE list_dot_product(v, v) > 0),
+      s AS (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 9) DESC, y) AS n FROM s)
+      SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM r WHERE n <= 5 AND c >= 0.9""",
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks_index WHERE length(content) > 700",
+    "p9_found": f"""WITH d AS (SELECT doc_id, {_REDUCED} AS t FROM documents), i AS (SELECT item_id, {_REDUCED} AS t FROM eval_items),
+      dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 58), lambda k: hash(substring(t, k, 60)))) AS g FROM d WHERE length(t) >= 60),
+      ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 58), lambda k: hash(substring(t, k, 60)))) AS g FROM i WHERE length(t) >= 60)
+      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p10_found": """WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda k: hash(substring(text, k, 200)))) AS g FROM documents WHERE length(text) >= 200),
+      r AS (SELECT * FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1))
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id""",
 }
