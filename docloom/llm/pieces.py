@@ -47,7 +47,7 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
     ends = parts.withColumn(
         "_e", F.expr("aggregate(_p, array(0), (a, x) -> concat(a, array(element_at(a, -1) + length(x))))")
     ).withColumn("_n", F.size("_p"))
-    each = ends.select(key, "_t", F.explode(F.expr(
+    each = ends.select(key, "_t", F.explode_outer(F.expr(
         f"transform(sequence(1, _n), i -> named_struct('no', i, 'from', _e[i - 1], 'own', _e[i] - _e[i - 1], 'back', if(i = 1, 0, {overlap})))"
     )).alias("x"))
     return each.select(
