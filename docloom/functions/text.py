@@ -152,23 +152,18 @@ def segments(c: Column | str, size: int = P.NER_SEGMENT) -> Column:
 def matches(c: Column | str, pattern: str, group: int = 0) -> Column:
     """(start, value) of every match of a pattern, offsets from 0. With a group the pattern's group 1 is the text before the value, group 2 the value."""
     text = col(c)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    starts = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")),
-        lambda acc, i: F.struct(
-            F.concat(acc["at"], F.array(acc["n"] + F.length(F.element_at(gaps, i)))).alias("at"),
-            (acc["n"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).alias("n"),
-        ),
-        lambda acc: acc["at"],
-    )
-    starts = F.when(F.size(found) > 0, starts).otherwise(F.array().cast("array<int>"))
-    if not group:
-        return F.arrays_zip(starts.alias("start"), found.alias("value"))
-    before, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    shifted = F.zip_with(starts, before, lambda s, b: s + F.length(b))
-    return F.arrays_zip(shifted.alias("start"), value.alias("value"))
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    # each array is made once and walked once: what lies between the matches, the matches and their groups
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every(0).alias("all"), *([every(1).alias("lead"), every(2).alias("value")] if group else []))
+    none = F.array().cast("array<struct<start:int,value:string>>")
+
+    def add(acc: Column, m: Column) -> Column:
+        start = acc["n"] + F.length(m["gap"])
+        hit = F.struct((start + F.length(m["lead"]) if group else start).cast("int").alias("start"), m["value" if group else "all"].alias("value"))
+        return F.struct(F.when(m["all"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"), (start + F.coalesce(F.length(m["all"]), F.lit(0))).cast("int").alias("n"))
+
+    found = F.aggregate(parts, F.struct(none.alias("out"), F.lit(0).alias("n")), add, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def rows_to_markdown(rows: Column | str) -> Column:

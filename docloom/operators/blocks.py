@@ -13,7 +13,7 @@ LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 
 def lines(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     """(key, keep…, line_no from 0, line stripped) of every line; an empty text has none."""
-    return docs.where(F.length(text) > 0).select(key, *keep, F.posexplode(F.split(text, LINE_END)).alias("line_no", "line")).withColumn("line", strip("line"))
+    return docs.where(F.length(text) > 0).select(key, *keep, F.posexplode_outer(F.split(text, LINE_END)).alias("line_no", "line")).withColumn("line", strip("line"))
 
 
 def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,7 +133,8 @@ def packed(blocks: DataFrame, key: str) -> DataFrame:
           {_maybe('s.crumbs', 's.section', 'array(y.body)', 'length(y.body)', 'x.type', 'x.page', 'x.context', 'x.block_index', _closed('s'), size)}
         end)
       end, a -> {_closed('a')})"""
-    rows = docs.select(key, F.posexplode(F.expr(fold)).alias("buffer_no", "x"))
+    # explode_outer: a plain explode would make the optimizer run the fold again in a filter on its size
+    rows = docs.select(key, F.posexplode_outer(F.expr(fold)).alias("buffer_no", "x")).where("x is not null")
     return rows.select(key, "buffer_no", "x.section", "x.crumb", "x.type", "x.page", "x.context", F.col("x.index").alias("block_index"), "x.body")
 
 
@@ -156,7 +157,7 @@ def _maybe(crumbs: str, section: str, buf: str, n: str, kind: str, page: str, co
 def chunks(buffers: DataFrame, key: str) -> DataFrame:
     """(chunk_id, key, chunk_no, section, section_id, type, page, content): buffers split at sentence ends, each piece under its breadcrumb."""
     body = buffers.withColumn("body", strip("body")).where(F.length("body") >= P.CHUNK_LEAST)
-    pieces = body.select(key, "buffer_no", "section", "crumb", "type", "page", F.posexplode(split_text("body")).alias("piece_no", "piece"))
+    pieces = body.select(key, "buffer_no", "section", "crumb", "type", "page", F.posexplode_outer(split_text("body")).alias("piece_no", "piece")).where("piece is not null")
     w = Window.partitionBy(key).orderBy("buffer_no", "piece_no")
     name = F.col(key).cast("string")
     return pieces.withColumn("chunk_no", F.row_number().over(w) - 1).select(

@@ -29,12 +29,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
 
     k1 = 1.2, b = 0.75; the inverse document frequency ln((N - n + 0.5) / (n + 0.5)) is 1e-6 where it is not
     positive. N, n and the mean length hold for the whole table even if ``scope`` (one column, the keys
-    allowed) restricts the result. The corpus is exploded once and loses, before any shuffle, all tokens
+    allowed) restricts the result. explode_outer keeps the optimizer from
+    tokenizing again for a filter on the array's size. The corpus is exploded once and loses, before any shuffle, all tokens
     that no question has; counts per record and token combine on the map side.
     """
     q = query_terms(queries, query_key, query_text)
     wanted = sized(q.select("token").distinct())
-    held = docs.select(F.col(key).alias("key"), tokens(text).alias("t")).select("key", F.size("t").alias("len"), F.explode("t").alias("token"))
+    held = docs.select(F.col(key).alias("key"), tokens(text).alias("t")).select("key", F.size("t").alias("len"), F.explode_outer("t").alias("token"))
     tf = held.join(wanted, "token", "left_semi").groupBy("key", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     stats = F.broadcast(corpus_stats(docs, text))  # one row

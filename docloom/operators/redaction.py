@@ -86,11 +86,11 @@ def detected(df: DataFrame, text: str, extra: list[str] | None = None) -> DataFr
 def substituted(text: Column | str, spans: Column, field: str) -> Column:
     """A text with each of its disjoint spans, in order, replaced by the span's field."""
     t = col(text)
-    out = F.aggregate(
+    return F.aggregate(
         spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), s[field]).alias("out"), s["stop"].alias("at")),
+        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.greatest(F.length(t) - acc["at"], F.lit(0)))),
     )
-    return F.concat(out["out"], F.substring(t, out["at"] + 1, F.greatest(F.length(t) - out["at"], F.lit(0))))
 
 
 def allocated(spans: DataFrame, order: list[str], known: DataFrame | None = None) -> DataFrame:

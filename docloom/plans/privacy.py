@@ -36,7 +36,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _rule(spark: SparkSession, d: str, index: int) -> DataFrame:
     _, pattern, _ = P.NUMBER_RULES[index]
-    return _texts(spark, d).select("key", F.explode(matches("text", "(?Ud)" + pattern)).alias("m")).select("key", "m.start", "m.value")
+    return _texts(spark, d).select("key", F.explode_outer(matches("text", "(?Ud)" + pattern)).alias("m")).where("m is not null").select("key", "m.value")
 
 
 def pii_idcard(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def pii_credit_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_email(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, 2).select("key", "value")
+    return _rule(spark, d, 2)
 
 
 def pii_phone(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def pii_hotline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_bankcard(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, 5).select("key", "value")
+    return _rule(spark, d, 5)
 
 
 def pii_landline(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def pii_landline(spark: SparkSession, d: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, d: str, tables: bool) -> DataFrame:
     spans = R.field_spans("text", tables=tables, lines=not tables)
-    return _texts(spark, d).select("key", F.explode(spans).alias("s")).select("key", "s.start", "s.value", "s.label")
+    return _texts(spark, d).select("key", F.explode_outer(spans).alias("s")).where("s is not null").select("key", "s.start", "s.value", "s.label")
 
 
 def pii_labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -82,14 +82,7 @@ def pii_table_labelled(spark: SparkSession, d: str) -> DataFrame:
 
 def pii_resolve(spark: SparkSession, d: str) -> DataFrame:
     found = R.detected(_texts(spark, d), "text")
-    return found.select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.stop", "s.value", "s.label", "s.source", "s.priority")
-
-
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    """Number-shaped spans of the forms by two rules with an SQL form."""
-    part = R.number_spans("text", ["邮箱", "银行卡"])
-    each = forms(spark, d).select(F.col("form_id").alias("doc"), F.explode(part).alias("s"))
-    return each.select("doc", F.col("s.start").alias("start"), F.col("s.label").alias("label"), F.col("s.value").alias("value"))
+    return found.select("key", F.explode_outer("spans").alias("s")).where("s is not null").select("key", "s.start", "s.stop", "s.value", "s.label", "s.source", "s.priority")
 
 
 def pii_allocate(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +140,7 @@ def redaction_lookup(spark: SparkSession, d: str) -> DataFrame:
 def recogniser_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments an entity recogniser would read, of every chunk."""
     rows = table(spark, d, "chunks_index").select("chunk_id", "content").distinct()
-    return rows.select("chunk_id", F.explode(segments("content")).alias("s")).select("chunk_id", "s.start", F.length("s.text").alias("chars"))
+    return rows.select("chunk_id", F.explode_outer(segments("content")).alias("s")).where("s is not null").select("chunk_id", "s.start", F.length("s.text").alias("chars"))
 
 
 QUERIES = {f.__name__: f for f in (pii_idcard, pii_credit_code, pii_email, pii_phone, pii_hotline, pii_bankcard, pii_landline, pii_labelled, pii_table_labelled, pii_resolve, pii_allocate, pii_hit_count, pii_redact, pii_restore, placeholders_unresolved, chunks_restored, redaction_lookup, recogniser_segments)}
@@ -156,7 +149,19 @@ _TEXTS = f"texts AS (SELECT DISTINCT chunk_id AS key, content AS text FROM chunk
 _MARK = r"\[[\p{L}_][\p{L}\p{M}\p{Nd}_·]{0,19}\p{Nd}{1,4}\]"
 _LABEL = f"CASE upper(coalesce(entity_type, '')) WHEN '' THEN '{P.NO_LABEL}' " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.ENTITY_LABELS.items()) + " ELSE upper(entity_type) END"
 
+
+
+def _between(shape: str) -> str:
+    """Matches of a shape between characters that are no digits; RE2 has no lookaround."""
+    return rf"WITH {_TEXTS} SELECT key, unnest(regexp_extract_all(text, '(?:^|[^\p{{Nd}}])({shape})(?:$|[^\p{{Nd}}])', 1)) AS value FROM texts"
+
+
 SQL = {
+    "pii_idcard": rf"WITH {_TEXTS} SELECT key, value FROM (SELECT key, unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS value FROM texts) x WHERE regexp_full_match(value, '[0-9]{{17}}[0-9Xx]')",
+    "pii_credit_code": rf"WITH {_TEXTS} SELECT key, value FROM (SELECT key, unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS value FROM texts) x WHERE regexp_full_match(value, '[0-9A-HJ-NPQRTUWXY]{{18}}')",
+    "pii_phone": _between(r"(?:\+?86[-\s]?)?1[3-9]\p{Nd}(?:[-\s]?\p{Nd}{4}){2}"),
+    "pii_hotline": _between(r"(?:400|800)[-\s]?\p{Nd}{3}[-\s]?\p{Nd}{4}"),
+    "pii_landline": _between(r"\(?0\p{Nd}{2,3}\)?[-\s]?\p{Nd}{7,8}"),
     "pii_email": rf"WITH {_TEXTS} SELECT key, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}')) AS value FROM texts",
     "pii_bankcard": rf"WITH {_TEXTS} SELECT key, value FROM (SELECT key, unnest(regexp_extract_all(text, '\p{{Nd}}+')) AS value FROM texts) x WHERE length(value) BETWEEN 16 AND 19",
     "pii_allocate": f"""WITH r AS (SELECT {_LABEL} AS label, original, min(id) AS f FROM redaction_map WHERE original IS NOT NULL GROUP BY 1, 2)

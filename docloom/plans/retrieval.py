@@ -44,7 +44,7 @@ def bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_index(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index: for every term the number of chunks and occurrences."""
-    held = _chunks(spark, d).select("chunk_id", F.explode(tokens("content")).alias("token"))
+    held = _chunks(spark, d).select("chunk_id", F.explode_outer(tokens("content")).alias("token")).where("token is not null")
     per = held.groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
     return per.groupBy("token").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
 

@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    pieces = _docs(spark, d).select("doc_id", F.posexplode(split_text("text")).alias("piece_no", "piece"))
+    pieces = _docs(spark, d).select("doc_id", F.posexplode_outer(split_text("text")).alias("piece_no", "piece")).where("piece is not null")
     return pieces.select("doc_id", "piece_no", F.length("piece").alias("chars"), F.md5("piece").alias("piece_md5"))
 
 

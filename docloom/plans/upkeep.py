@@ -357,6 +357,9 @@ SQL = {
     "citation_snippet": rf"""WITH c AS (SELECT DISTINCT chunk_id, content FROM chunks_index), p AS (SELECT chunk_id, replace(replace(replace(regexp_replace(regexp_replace({sql.collapse('content')}, '\*{{1,3}}|_{{2,}}', '', 'g'), '`+', '', 'g'), '](', ']\('), '<', '&lt;'), '>', '&gt;') AS s FROM c)
       SELECT chunk_id, CASE WHEN length(s) <= 300 THEN s ELSE rtrim(substring(s, 1, 300)) || '…' END AS snippet FROM p""",
     "masked_names": f"SELECT doc_id, '文档' || row_number() OVER (PARTITION BY kb_name ORDER BY upload_time NULLS FIRST, doc_id) || {_EXT % 'filename'} AS masked FROM documents WHERE file_path IS NOT NULL OR filename IS NOT NULL",
+    "citation_panel": f"""WITH {_LOG}, r AS (SELECT id, unnest(from_json(refs_json, '[{{"index":"INT","source_kb":"VARCHAR","file_name":"VARCHAR","page":"INT"}}]')) AS r, unnest(range(json_array_length(refs_json)::BIGINT)) AS p FROM log WHERE refs_json IS NOT NULL)
+      SELECT id, string_agg('**' || r.index || '. ' || coalesce(r.file_name, '未知文件') || '** · ' || CASE WHEN r.page > 0 THEN '第 ' || r.page || ' 页' ELSE '（无页码信息）' END || ' · 知识库：' || coalesce(r.source_kb, '未标注'), chr(10) ORDER BY p) AS panel FROM r GROUP BY id""",
+    "chunk_positions": "SELECT DISTINCT chunk_id, CAST(json_extract(pos_json, '$.bbox[0]') AS DOUBLE) AS x0, CAST(json_extract(pos_json, '$.bbox[3]') AS DOUBLE) AS y1, CAST(json_extract(pos_json, '$.paragraph_index') AS INT) AS paragraph_index FROM chunks_index",
     "fingerprint": f"WITH {_LOG}, n AS (SELECT id, question, mode, {_NAMES} AS n FROM log) SELECT id, sha1({sql.collapse('question')} || '|' || coalesce(array_to_string(list_sort(list_distinct(n)), '、'), '') || '|all|' || coalesce(mode, '') || '|strict') AS fingerprint FROM n",
     "cache_probe": f"""WITH {_LOG}, c AS (SELECT DISTINCT {sql.collapse('question')} AS q, array_to_string(list_sort(list_distinct({_NAMES})), '、') AS k, mode AS m FROM qa_cache)
       SELECT id FROM log WHERE EXISTS (SELECT 1 FROM c WHERE c.q = {sql.collapse('log.question')} AND c.k = array_to_string(list_sort(list_distinct({_NAMES.replace('kb_names', 'log.kb_names')})), '、') AND c.m = log.mode)""",

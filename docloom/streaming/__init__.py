@@ -1 +1 @@
-
+"""Structured Streaming: incremental ingestion, windowed counts, orphan state."""
