@@ -18,8 +18,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of narrow key columns is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Estimated bytes up to which a table of key columns is broadcast; above it the join shuffles.
+BROADCAST_BYTES = 8 << 20
+_WIDTH = {"long": 8, "integer": 4, "short": 2, "byte": 1, "boolean": 1, "double": 8, "float": 4, "timestamp": 8, "timestamp_ntz": 8, "date": 4}
 
 
 _shipped: set[str] = set()
@@ -64,24 +65,30 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; counts no further than that, so df should be staged."""
+def row_limit(df: DataFrame, budget: int = BROADCAST_BYTES) -> int:
+    """Rows of df that fit the budget, with 24 bytes for each row and 64 for a value without a fixed width."""
+    return budget // (24 + sum(_WIDTH.get(f.dataType.typeName(), 64) for f in df.schema.fields))
+
+
+def small_enough(df: DataFrame, budget: int = BROADCAST_BYTES) -> bool:
+    """Whether df stays within the budget; counts no further than that. df should be staged, as it is read for it."""
+    rows = row_limit(df, budget)
     return df.limit(rows + 1).count() <= rows
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its measured size is within the bound; else the join shuffles, with AQE splitting skew."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def sized(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its measured size is within the budget; else the join shuffles, with AQE splitting skew."""
+    return F.broadcast(df) if small_enough(df, budget) else df
 
 
-def drop_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str], budget: int = BROADCAST_BYTES) -> DataFrame:
     """df without the rows whose key is in keys (staged)."""
-    return df.join(sized(keys, rows), on, "left_anti")
+    return df.join(sized(keys, budget), on, "left_anti")
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+def keep_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str], budget: int = BROADCAST_BYTES) -> DataFrame:
     """df with only the rows whose key is in keys (staged)."""
-    return df.join(sized(keys, rows), on, "left_semi")
+    return df.join(sized(keys, budget), on, "left_semi")
 
 
 def partitions(spark: SparkSession) -> int:
