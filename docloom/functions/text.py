@@ -60,7 +60,7 @@ def clean_title(c: Column | str) -> Column:
 def plain_snippet(c: Column | str) -> Column:
     """A passage as safe plain text: spacing collapsed, emphasis and code marks gone, links broken, angle brackets escaped."""
     out = F.regexp_replace(collapse(c), r"\*{1,3}|_{2,}", "")
-    out = F.regexp_replace(F.regexp_replace(out, "`+", ""), r"\]\(", r"]\\\\(")
+    out = F.replace(F.regexp_replace(out, "`+", ""), F.lit("]("), F.lit(r"]\("))
     return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
