@@ -95,9 +95,10 @@ def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, spaces:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 40
-        whole = pd.concat(list(frames), ignore_index=True) if packers else None
-        if whole is None or not len(whole):
+        got = [f for f in frames if len(f)]
+        if not got:
             return
+        whole = pd.concat(got, ignore_index=True)
         n = whole["tokens"].to_numpy()
         placed = np.array(list(best_fit(n.tolist(), capacity, spaces)), np.int64)
         count = np.maximum(1, -(-n // capacity))
