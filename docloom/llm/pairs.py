@@ -166,26 +166,34 @@ def train(answers: list[str], seed: int = 11) -> dict[str, float]:
     """Log odds of complete against broken for every context that was seen three times.
 
     Complete: the answers and the short answers above. Broken: the answers cut
-    at random places, as they are and with marks of omission.
+    at random places, as they are, with marks of omission and within a bracket. An answer whose
+    whole is a known context tells nothing about its kind of ending.
     """
     rng = random.Random(seed)
-    whole, cut = Counter(), Counter()
-    n = m = 1
-    for a in [*answers, *(s.replace("_", " ") for s in _SHORT.split() for _ in range(3))]:
-        whole.update(c for c in contexts(a) if c)
-        n += 1
+    ends = [contexts(a) for a in answers]
+    broken = [contexts(a[: rng.randrange(4, len(a) - 4)].rstrip() + end) for a in answers if len(a) > 24 for end in ("", "", "……", "...")]
+    # and broken within brackets, which few texts hold
     for a in answers:
         if len(a) > 24:
-            for end in ("", "", "……", "..."):
-                cut.update(c for c in contexts(a[: rng.randrange(4, len(a) - 4)].rstrip() + end) if c)
-                m += 1
-    seen = whole + cut
-    return {c: math.log((whole[c] + 0.3) / n * m / (cut[c] + 0.3)) for c in seen if seen[c] >= 3}
+            k = rng.randrange(12, len(a) - 4)
+            broken.append(contexts(a[: k // 2] + rng.choice(_OPEN) + a[k // 2 : k].rstrip()))
+    whole = Counter(w for w, _ in ends if w) + Counter(contexts(s.replace("_", " "))[0] for s in _SHORT.split() for _ in range(3))
+    cut = Counter(w for w, _ in broken if w)
+    known = {w for w in whole + cut if w and whole[w] + cut[w] >= 3}
+    states, cuts = Counter(s for w, s in ends if w not in known), Counter(s for w, s in broken if w not in known)
+    n, m = len(ends) + 1, len(broken) + 1
+    odds = {}
+    for good, bad, keys in ((whole, cut, known), (states, cuts, {s for s in states + cuts if states[s] + cuts[s] >= 3})):
+        odds |= {c: math.log((good[c] + 0.3) / n * m / (bad[c] + 0.3)) for c in keys}
+    return odds
 
 
 def truncated(answer: str, odds: dict[str, float]) -> bool:
-    """Whether the answer breaks off, by the most specific of its contexts that the model knows; one it never saw counts as broken."""
-    return next((odds[c] for c in contexts(answer) if c in odds), -1.0) < 0
+    """Whether the answer breaks off, by the most specific of its contexts that the model knows. A context it
+    never saw is complete if it ends with a full stop or a table row and nothing is open."""
+    whole, state = contexts(answer)
+    unseen = 1.0 if state.startswith(("state:stop,False,False", "state:bar,False,False")) else -1.0
+    return odds.get(whole, odds.get(state, unseen)) < 0
 
 
 # ---- the operator -----------------------------------------------------------------------------------------------------
