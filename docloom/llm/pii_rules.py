@@ -68,13 +68,14 @@ def _around(shape: re.Pattern, mark: re.Pattern, text: str, left: int, right: in
     return out
 
 
+#: Capitalised words that begin no name.
+_NO_NAME = "The This That These Those An And For With From To In On At By Of Or Please Call Write Build Contact Email Phone Address Deliver Serial Ticket Invoice Identity Herr Frau Mr Ms Mrs Dr Die Der Das Den Dem Ein Eine Bitte Telefon Anschrift Lieferung Vorgang Charge What How Who Who's Which Wie Wer Welche Ich Für Mein My Your Our".split()
 _LATIN = r"[A-ZÄÖÜ][a-zäöüßé]+(?:['-][A-ZÄÖÜ]?[a-zäöüß]+)?"
-NAME_LATIN = re.compile(rf"(?<![A-Za-zÀ-ÿ@.-])({_LATIN})((?: [A-Z]\.)? {_LATIN})(?![A-Za-zÀ-ÿ@-])")
+NAME_LATIN = re.compile(rf"(?<![A-Za-zÀ-ÿ@.-])(?!(?:{'|'.join(_NO_NAME)})\b)({_LATIN})((?: [A-Z]\.)? (?!(?:{'|'.join(_NO_NAME)})\b){_LATIN})(?![A-Za-zÀ-ÿ@-])")
 #: Words around a name, and titles, which are no part of it.
 CUES = "经办人 联系人 申请人 负责人 签收人 姓名 先生 女士 会上 请转交 本项由 我是 我叫 替 的申请 提出异议 负责落实 已提交材料 问一下 Mr Ms Mrs Dr Herr Frau Ansprechpartner Contact 联系 person behalf signed ask".split()
 _CUE_BEFORE = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Dr|Herr|Herrn|Frau)\.? |(?:partner(?:in)?|person|contact|name|经办人|联系人|申请人|负责人|姓名)[ ]?(?:[:：（(|]| \|)? ?|\bI am |\bIch bin |\bbehalf of |\bFür |\bask |\bfor |我是|我叫|替|请转交|本项由|会上|联系)$", re.I)
 _CUE_AFTER = re.compile(r"^(?: ?(?:hat|for|last|approved|unterschrieb)\b|[:：]|[（(]|先生|女士|的申请|提出|负责|已|问一下|，手机| / )", re.I)
-_NO_NAME = frozenset("The This That These Those An And For With From To In On At By Of Or Please Call Write Build Contact Email Phone Address Deliver Serial Ticket Invoice Identity Herr Frau Mr Ms Mrs Dr Die Der Das Den Dem Ein Eine Bitte Telefon Anschrift Lieferung Vorgang Charge What How Who Who's Which Wie Wer Welche Ich Für Mein My Your Our".split())
 
 
 @cache
@@ -90,9 +91,8 @@ def names(text: str, given: frozenset[str], first: frozenset[str]) -> list[tuple
         cue = bool(_CUE_BEFORE.search(text[max(0, i - 14) : i])) + bool(_CUE_AFTER.match(text[j : j + 8]))
         out.append((i, j, (1.0 if j == i + 3 else 0.6) + 0.5 * cue))
     for m in NAME_LATIN.finditer(text):
-        if m[1] not in _NO_NAME:
-            before = _CUE_BEFORE.search(text[max(0, m.start() - 24) : m.start()])
-            out.append((m.start(), m.end(), (1.0 if m[1] in first else 0.0) + (0.5 if before else 0.0) + (0.2 if _CUE_AFTER.match(text[m.end() : m.end() + 8]) else 0.0)))
+        before = _CUE_BEFORE.search(text[max(0, m.start() - 24) : m.start()])
+        out.append((m.start(), m.end(), (1.0 if m[1] in first else 0.0) + (0.5 if before else 0.0) + (0.2 if _CUE_AFTER.match(text[m.end() : m.end() + 8]) else 0.0)))
     return out
 
 

@@ -145,7 +145,7 @@ def train(p: Params, chars: list[np.ndarray], feats: list[np.ndarray], tags: lis
             total += loss * len(own)
             step += 1
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            lr = rate * (0.5 ** (epoch / 3)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            lr = rate * 0.5 ** (3 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for n in p:
                 d = g[n] * min(1, 5 / max(norm, 1e-9))
                 m1[n] = 0.9 * m1[n] + 0.1 * d
