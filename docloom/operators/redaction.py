@@ -5,11 +5,12 @@ A span is struct<start, stop, value, label, source, priority>. Everything runs a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.text import col, matches, placeholders, strip
+from docloom.operators.numbering import row_numbers
 from docloom.runtime import stage
 
 SPAN = "array<struct<start:int,stop:int,value:string,label:string,source:string,priority:int>>"
@@ -107,8 +108,8 @@ def allocated(spans: DataFrame, order: list[str], known: DataFrame | None = None
         first = first.join(known, ["label", "original"], "left_anti").join(F.broadcast(top), "label", "left")  # one row per label
     else:
         first, old = first.withColumn("top", F.lit(0)), None
-    w = Window.partitionBy("label").orderBy("first", "original")
-    new = first.select("label", "original", (F.row_number().over(w) + F.coalesce("top", F.lit(0))).alias("n"))
+    # a label may hold most originals of an archive, so the numbers are made over ranges
+    new = row_numbers(first, "label", [F.col("first"), F.col("original")]).select("label", "original", (F.col("n") + F.coalesce("top", F.lit(0))).alias("n"))
     out = new if old is None else new.unionByName(old)
     return out.select("label", "original", F.concat(F.lit("["), "label", F.col("n").cast("string"), F.lit("]")).alias("placeholder"))
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.runtime import stage
+
 #: Query vectors held at once; more are searched in further passes of this size.
 BLOCK = 4096
 
@@ -31,19 +33,11 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     rows. ``same`` keeps a row as its own neighbour. Unusable vectors take no part.
     """
     spark = rows.sparkSession
-    ids, mats = [], []
-    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where(F.size("v") == dim).orderBy("q")
-    for r in asked.toLocalIterator():  # the stated query set, block by block
-        x = np.array([np.nan if v is None else v for v in r.v], np.float64)
-        n = np.sqrt((x * x).sum())
-        if np.isfinite(n) and n > 0:
-            ids.append(r.q)
-            mats.append(x / n)
     kind, gkind = dict(rows.dtypes)[key], dict(rows.dtypes)[group] if group else None
     schema = f"query_id {kind}, {key} {kind}" + (f", {group} {gkind}" if group else "") + ", similarity double"
-    out = spark.createDataFrame([], schema)
-    for at in range(0, len(ids), block):
-        held = spark.sparkContext.broadcast((ids[at : at + block], np.stack(mats[at : at + block])))
+    out = None
+    for ids, mat in _blocks(queries, key, vector, dim, block):
+        held = spark.sparkContext.broadcast((ids, mat))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             qids, q = held.value
@@ -68,13 +62,33 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(ss) if ss else np.zeros(0))], schema=_arrow(cols, key, group))
 
         part = rows.select(key, vector, *([group] if group else [])).mapInArrow(run, schema)
-        out = out.unionByName(part) if at else part
+        # several passes are written one by one, so that no more than one block of queries is held at a time
+        out = part if out is None and len(ids) < block else stage(part, "pass") if out is None else out.unionByName(stage(part, "pass"))
+    if out is None:
+        out = spark.createDataFrame([], schema)
     if not same:
         out = out.where(F.col("query_id") != F.col(key))
     w = Window.partitionBy("query_id", *([group] if group else [])).orderBy(F.round("similarity", 9).desc(), F.col(key).asc())
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, key: str, vector: str, dim: int, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """The usable query vectors, normalized, a block at a time."""
+    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where(F.size("v") == dim)
+    ids, mats = [], []
+    for r in asked.toLocalIterator():
+        x = np.array([np.nan if v is None else v for v in r.v], np.float64)
+        n = np.sqrt((x * x).sum())
+        if np.isfinite(n) and n > 0:
+            ids.append(r.q)
+            mats.append(x / n)
+            if len(ids) == block:
+                yield ids, np.stack(mats)
+                ids, mats = [], []
+    if ids:
+        yield ids, np.stack(mats)
+
+
 def _arrow(cols: list[pa.Array], key: str, group: str | None) -> pa.Schema:
     names = ["query_id", key, *([group] if group else [])]
     return pa.schema([*((n, c.type) for n, c in zip(names, cols)), ("similarity", pa.float64())])

@@ -169,5 +169,20 @@ SQL = {
     "pii_hit_count": f"SELECT doc_id, hits FROM (SELECT doc_id, CAST(sum(len(list_distinct(regexp_extract_all(coalesce(content, ''), '{_MARK}')))) AS BIGINT) AS hits FROM (SELECT DISTINCT chunk_id, doc_id, content FROM chunks_index) x GROUP BY doc_id) y WHERE hits > 0",
     "pii_restore": f"SELECT c_custkey AS form_id, md5({FORM}) AS text_md5 FROM customer",
     "placeholders_unresolved": f"SELECT placeholder, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(content, '{_MARK}'))) AS placeholder FROM (SELECT DISTINCT chunk_id, content FROM chunks_index) c) x WHERE placeholder NOT IN (SELECT placeholder FROM redaction_map WHERE placeholder IS NOT NULL) GROUP BY placeholder",
+    "chunks_restored": f"""WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, content FROM chunks_index), o AS (SELECT placeholder, min_by(original, id) AS original FROM redaction_map GROUP BY placeholder),
+      u AS (SELECT chunk_id, content, p, o.original FROM (SELECT chunk_id, content, unnest(list_distinct(regexp_extract_all(content, '{_MARK}'))) AS p FROM c) x JOIN o ON o.placeholder = p),
+      n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, content ORDER BY length(p) DESC, p) AS i, count(*) OVER (PARTITION BY chunk_id, content) AS n FROM u),
+      f AS (SELECT DISTINCT chunk_id, content, 1 AS i, content AS t FROM n UNION ALL SELECT f.chunk_id, f.content, f.i + 1, replace(f.t, n.p, coalesce(n.original, '')) FROM f JOIN n ON n.chunk_id = f.chunk_id AND n.content = f.content AND n.i = f.i)
+      SELECT f.chunk_id, md5(f.t) AS restored_md5 FROM f JOIN (SELECT DISTINCT chunk_id, content, n FROM n) z ON z.chunk_id = f.chunk_id AND z.content = f.content WHERE f.i = z.n + 1""",
+    "recogniser_segments": """WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, content FROM chunks_index),
+      s AS (SELECT chunk_id, content, regexp_extract_all(content, '[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+') AS s FROM c WHERE content <> ''),
+      f AS (SELECT chunk_id, content, 1 AS i, '' AS buf, []::VARCHAR[] AS done FROM s
+        UNION ALL SELECT f.chunk_id, f.content, i + 1, CASE WHEN length(s[i]) > 300 THEN '' WHEN length(buf) + length(s[i]) <= 300 THEN buf || s[i] ELSE s[i] END,
+          CASE WHEN length(s[i]) > 300 THEN list_concat(CASE WHEN buf = '' THEN done ELSE list_append(done, buf) END, list_transform(range(0, CAST(length(s[i]) AS BIGINT), 300), lambda k: substring(s[i], k + 1, 300)))
+            WHEN length(buf) + length(s[i]) <= 300 THEN done WHEN buf = '' THEN done ELSE list_append(done, buf) END
+          FROM f JOIN s ON s.chunk_id = f.chunk_id AND s.content = f.content WHERE i <= len(s)),
+      p AS (SELECT f.chunk_id, CASE WHEN buf = '' THEN done ELSE list_append(done, buf) END AS p FROM f JOIN s ON s.chunk_id = f.chunk_id AND s.content = f.content WHERE i = len(s) + 1),
+      e AS (SELECT chunk_id, unnest(list_transform(range(1, len(p) + 1), lambda k: struct_pack(start := coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0), t := p[k]))) AS e FROM p)
+      SELECT chunk_id, CAST(e.start AS INT) AS start, length(e.t) AS chars FROM e WHERE regexp_matches(e.t, '[^\\s\\p{Z}]')""",
     "redaction_lookup": f"SELECT placeholder, id, original, {_LABEL} AS label FROM (SELECT *, row_number() OVER (PARTITION BY placeholder ORDER BY id, original NULLS LAST) AS n FROM (SELECT DISTINCT * FROM redaction_map) d) x WHERE n = 1",
 }

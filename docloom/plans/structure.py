@@ -146,7 +146,57 @@ _BOXED = f"""{_STYLED},
 boxed AS (SELECT *, CASE WHEN block_index % 11 <> 0 THEN [40 + (block_index % 3) * 25, 50 + (block_index % 10) * 70, 40 + (block_index % 3) * 25 + least(length(content), 90) * 5, 90 + (block_index % 10) * 70 + (block_index % 4) * 20]::DOUBLE[] END AS box FROM styled)"""
 _DIST = "CASE WHEN t.box IS NOT NULL AND f.box IS NOT NULL THEN sqrt(pow(greatest(0, t.box[1] - f.box[3], f.box[1] - t.box[3]), 2) + pow(greatest(0, t.box[2] - f.box[4], f.box[2] - t.box[4]), 2)) END"
 
+_MARKS = "。！？!?；;\n"
+
+
+def _split_sql(rows: str, ids: str) -> str:
+    """CTEs from rows(ids…, t) to pieces(ids…, piece_no, piece): the sentence split as a fold, one step for each sentence."""
+    return f"""src AS (SELECT {ids}, {sql.strip("coalesce(t, '')")} AS t FROM ({rows}) r),
+cut AS (SELECT {ids}, t, list_filter(regexp_extract_all(t, '[^{_MARKS}]*[{_MARKS}]|[^{_MARKS}]+'), lambda s: regexp_matches(s, '[^\\s\\p{{Z}}]')) AS s FROM src),
+fold AS (
+  SELECT {ids}, 1 AS i, '' AS buf, []::VARCHAR[] AS done FROM cut WHERE length(t) > 700
+  UNION ALL
+  SELECT {', '.join('f.' + i.strip() for i in ids.split(','))}, i + 1,
+    CASE WHEN length(s[i]) > 700 THEN '' WHEN length(buf) + length(s[i]) <= 700 THEN buf || s[i] ELSE right(buf, 100) || s[i] END,
+    CASE WHEN length(s[i]) > 700 THEN list_concat(CASE WHEN buf = '' THEN done ELSE list_append(done, buf) END, list_transform(range(0, CAST(length(s[i]) AS BIGINT), 600), lambda k: substring(s[i], k + 1, 700)))
+      WHEN length(buf) + length(s[i]) <= 700 THEN done ELSE list_append(done, buf) END
+  FROM fold f JOIN cut USING ({ids}) WHERE i <= len(s)),
+folded AS (SELECT {ids}, list_append(done, buf) AS p FROM fold JOIN cut USING ({ids}) WHERE i = len(s) + 1 UNION ALL SELECT {ids}, [t] FROM cut WHERE length(t) <= 700),
+clean AS (SELECT {ids}, list_filter(list_transform(p, lambda x: {sql.strip('x')}), lambda x: x <> '') AS p FROM folded),
+pieces AS (SELECT {ids}, unnest(range(len(p))) AS piece_no, unnest(p) AS piece FROM clean)"""
+
+
+_ONE = "struct_pack(section := f.section, crumb := array_to_string(list_transform(crumbs, lambda c: c.title), ' > '), type := %s, page := %s, idx := %s, body := %s)"
+_OPEN_BUFFER = _ONE % ("bt", "bp", "bi", "buf")
+_CLOSED = f"CASE WHEN buf IS NULL THEN done ELSE list_append(done, {_OPEN_BUFFER}) END"
+_KEEP = "(buf IS NOT NULL AND type NOT IN ('figure', 'table') AND page = bp AND type = bt AND n + length(body) <= 700)"
+_FULL = f"(CASE WHEN {_KEEP} THEN n ELSE 0 END + length(body) >= 700)"
+_NEWBUF = f"CASE WHEN {_KEEP} THEN buf || chr(10) || body ELSE body END"
+_PACKED = f"""{_STYLED},
+bodies AS (SELECT h.*, CASE WHEN type = 'figure' THEN '（图表内容）' || {sql.strip('substring(content, 1, 40)')} ELSE content END AS body FROM headed h),
+packing AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS i, 0 AS section, []::STRUCT(level BIGINT, title VARCHAR)[] AS crumbs, NULL::VARCHAR AS buf, 0::BIGINT AS n, ''::VARCHAR AS bt, 0 AS bp, 0::BIGINT AS bi,
+    []::STRUCT(section INT, crumb VARCHAR, type VARCHAR, page INT, idx BIGINT, body VARCHAR)[] AS done FROM bodies
+  UNION ALL
+  SELECT f.doc_id, i + 1, CASE WHEN is_heading THEN section + 1 ELSE section END,
+    CASE WHEN is_heading THEN list_append(CASE WHEN len(list_filter(crumbs, lambda c: c.level < x.level)) > 2 THEN list_filter(crumbs, lambda c: c.level < x.level)[2:] ELSE list_filter(crumbs, lambda c: c.level < x.level) END, struct_pack(level := x.level, title := content)) ELSE crumbs END,
+    CASE WHEN is_heading OR {_FULL} THEN NULL ELSE {_NEWBUF} END, CASE WHEN is_heading OR {_FULL} THEN 0 WHEN {_KEEP} THEN n + length(body) ELSE length(body) END,
+    CASE WHEN is_heading OR {_KEEP} THEN bt ELSE type END, CASE WHEN is_heading OR {_KEEP} THEN bp ELSE page END, CASE WHEN is_heading OR {_KEEP} THEN bi ELSE block_index END,
+    CASE WHEN is_heading THEN {_CLOSED}
+      WHEN {_FULL} THEN list_append(CASE WHEN {_KEEP} THEN done ELSE {_CLOSED} END, {_ONE % (f"CASE WHEN {_KEEP} THEN bt ELSE type END", f"CASE WHEN {_KEEP} THEN bp ELSE page END", f"CASE WHEN {_KEEP} THEN bi ELSE block_index END", _NEWBUF)})
+      WHEN {_KEEP} THEN done ELSE {_CLOSED} END
+  FROM packing f JOIN bodies x ON x.doc_id = f.doc_id AND x.block_index = f.i),
+ends AS (SELECT f.doc_id, {_CLOSED} AS done FROM packing f JOIN (SELECT doc_id, max(block_index) + 1 AS last FROM bodies GROUP BY doc_id) l ON l.doc_id = f.doc_id AND f.i = l.last),
+buffers AS (SELECT doc_id, unnest(range(len(done))) AS buffer_no, unnest(done, max_depth := 2) FROM ends)"""
+
 SQL = {
+    "sentence_split": f"WITH RECURSIVE {_split_sql('SELECT doc_id, text AS t FROM documents', 'doc_id')} SELECT doc_id, piece_no, length(piece) AS chars, md5(piece) AS piece_md5 FROM pieces",
+    "block_packing": f"WITH RECURSIVE {_PACKED} SELECT doc_id, buffer_no, section, type, page, idx AS block_index, md5(body) AS body_md5 FROM buffers",
+    "breadcrumb": f"WITH RECURSIVE {_PACKED} SELECT DISTINCT doc_id, section, crumb FROM buffers WHERE crumb <> ''",
+    "build_chunks": f"""WITH RECURSIVE {_PACKED}, {_split_sql(f"SELECT doc_id, buffer_no, body AS t FROM buffers WHERE length({sql.strip('body')}) >= 4", 'doc_id, buffer_no')},
+    numbered_pieces AS (SELECT p.*, b.section, b.crumb, b.type, b.page, row_number() OVER (PARTITION BY doc_id ORDER BY buffer_no, piece_no) - 1 AS no FROM pieces p JOIN buffers b USING (doc_id, buffer_no)),
+    c AS (SELECT doc_id || '-' || lpad(CAST(no AS VARCHAR), 4, '0') AS chunk_id, CASE WHEN section > 0 THEN doc_id || '#s' || lpad(CAST(section AS VARCHAR), 3, '0') ELSE '' END AS section_id, type, page, crumb AS section, CASE WHEN crumb <> '' THEN '章节：' || crumb || chr(10) || piece ELSE piece END AS content FROM numbered_pieces)
+    SELECT chunk_id, section_id, type, page, section, length(content) AS chars, md5(content) AS content_md5 FROM c""",
     "line_blocks": f"""WITH {_LINES}, k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '|') THEN 'table' WHEN starts_with(line, '#') THEN 'heading' ELSE 'text' END AS kind FROM lines),
     b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM k),
     i AS (SELECT *, sum(CASE WHEN before IS NULL OR kind = 'heading' OR before <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM b WHERE kind <> 'blank'),

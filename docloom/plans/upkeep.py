@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from docloom.functions import patterns as P
 from docloom.functions import text as T
 from docloom.operators import fusion, scope, tables
+from docloom.operators.numbering import row_numbers
 from docloom.operators.orphans import clean_path
 from docloom.plans import sql
 from docloom.runtime import table
 
 _REFS = "array<struct<index:int,source_kb:string,file_name:string,page:int>>"
-_PAYLOAD = "struct<answer:string,references_md:string,summary:string>"
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -58,14 +58,15 @@ def collection_names(spark: SparkSession, d: str) -> DataFrame:
 
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each base, newest first."""
-    w = Window.partitionBy("kb_name").orderBy(F.desc_nulls_last("upload_time"), "doc_id")
-    return table(spark, d, "documents").select("kb_name", "doc_id", "filename", F.row_number().over(w).alias("position"))
+    age = -F.unix_micros(F.col("upload_time").cast("timestamp"))
+    rows = table(spark, d, "documents").select("kb_name", "doc_id", "filename", "upload_time")
+    return row_numbers(rows, "kb_name", [F.col("upload_time").isNull(), age, F.col("doc_id")], "position").drop("upload_time")
 
 
 def list_files(spark: SparkSession, d: str) -> DataFrame:
     """Archived files of each base in order of their paths."""
     rows = table(spark, d, "archive_files").where("removed_at is null").select("kb_name", clean_path("file_path").alias("path")).distinct()
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("kb_name").orderBy("path")))
+    return row_numbers(rows, "kb_name", [F.col("path")], "position")
 
 
 def latest_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -233,10 +234,10 @@ def citation_snippet(spark: SparkSession, d: str) -> DataFrame:
 
 def masked_names(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each base under neutral names, numbered by upload."""
-    w = Window.partitionBy("kb_name").orderBy("upload_time", "doc_id")
     ext = F.regexp_extract(F.coalesce("filename", F.lit("")), r"(?s)[^.](\.[^.]*)$", 1)
-    rows = table(spark, d, "documents").where("file_path is not null or filename is not null")
-    return rows.select("doc_id", F.concat(F.lit("文档"), F.row_number().over(w).cast("string"), ext).alias("masked"))
+    rows = table(spark, d, "documents").where("file_path is not null or filename is not null").select("kb_name", "doc_id", "upload_time", ext.alias("ext"))
+    rows = row_numbers(rows, "kb_name", [F.col("upload_time"), F.col("doc_id")])
+    return rows.select("doc_id", F.concat(F.lit("文档"), F.col("n").cast("string"), "ext").alias("masked"))
 
 
 def citation_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +255,8 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
 def cache_latest(spark: SparkSession, d: str) -> DataFrame:
     """Cached answers by question and scope, the last one of each, decoded; what can't be decoded has no answer."""
     rows = tables.latest(table(spark, d, "qa_cache"), ["question", "kb_names"], F.desc_nulls_last("created_at"), F.asc("fingerprint"))
-    whole = rows.select("fingerprint", "mode", F.get_json_object("payload", "$.answer").alias("answer"))
+    payload = F.from_json("payload", "answer string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    whole = rows.withColumn("p", payload).select("fingerprint", "mode", F.when(F.col("p._corrupt").isNull(), F.col("p.answer")).alias("answer"))
     return whole.select("fingerprint", "mode", F.coalesce(F.length("answer"), F.lit(-1)).alias("chars"))
 
 
@@ -357,6 +359,15 @@ SQL = {
     "citation_snippet": rf"""WITH c AS (SELECT DISTINCT chunk_id, content FROM chunks_index), p AS (SELECT chunk_id, replace(replace(replace(regexp_replace(regexp_replace({sql.collapse('content')}, '\*{{1,3}}|_{{2,}}', '', 'g'), '`+', '', 'g'), '](', ']\('), '<', '&lt;'), '>', '&gt;') AS s FROM c)
       SELECT chunk_id, CASE WHEN length(s) <= 300 THEN s ELSE rtrim(substring(s, 1, 300)) || '…' END AS snippet FROM p""",
     "masked_names": f"SELECT doc_id, '文档' || row_number() OVER (PARTITION BY kb_name ORDER BY upload_time NULLS FIRST, doc_id) || {_EXT % 'filename'} AS masked FROM documents WHERE file_path IS NOT NULL OR filename IS NOT NULL",
+    "cache_latest": """SELECT fingerprint, mode, coalesce(length(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.answer') END), -1) AS chars
+      FROM (SELECT *, row_number() OVER (PARTITION BY question, kb_names ORDER BY created_at DESC NULLS LAST, fingerprint) AS n FROM qa_cache) x WHERE n = 1""",
+    "answer_links": rf"""WITH RECURSIVE {_LOG}, r AS (SELECT id, unnest(from_json(refs_json, '[{{"index":"INT","source_kb":"VARCHAR","page":"INT"}}]')) AS r FROM log WHERE refs_json IS NOT NULL),
+      tip AS (SELECT id, r.index AS n, any_value(replace(replace(replace(replace(coalesce(r.source_kb, '') || CASE WHEN r.page > 0 THEN ' · 第 ' || r.page || ' 页' ELSE '' END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS t FROM r GROUP BY id, r.index),
+      m AS (SELECT id, answer, regexp_extract_all(answer, '\[(\d{{1,2}})\]', 1) AS n FROM log WHERE answer IS NOT NULL),
+      f AS (SELECT id, 1 AS i, replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM m
+        UNION ALL SELECT f.id, i + 1, CASE WHEN tip.t IS NULL THEN f.t ELSE replace(f.t, '[' || m.n[i] || ']', '<sup class="cite" title="' || tip.t || '">' || CAST(m.n[i] AS INT) || '</sup>') END
+          FROM f JOIN m USING (id) LEFT JOIN tip ON tip.id = f.id AND tip.n = CAST(m.n[i] AS INT) WHERE i <= len(m.n))
+      SELECT f.id, md5(f.t) AS html_md5 FROM f JOIN m USING (id) WHERE i = len(m.n) + 1""".replace("\\\\", "\\"),
     "citation_panel": f"""WITH {_LOG}, r AS (SELECT id, unnest(from_json(refs_json, '[{{"index":"INT","source_kb":"VARCHAR","file_name":"VARCHAR","page":"INT"}}]')) AS r, unnest(range(json_array_length(refs_json)::BIGINT)) AS p FROM log WHERE refs_json IS NOT NULL)
       SELECT id, string_agg('**' || r.index || '. ' || coalesce(r.file_name, '未知文件') || '** · ' || CASE WHEN r.page > 0 THEN '第 ' || r.page || ' 页' ELSE '（无页码信息）' END || ' · 知识库：' || coalesce(r.source_kb, '未标注'), chr(10) ORDER BY p) AS panel FROM r GROUP BY id""",
     "chunk_positions": "SELECT DISTINCT chunk_id, CAST(json_extract(pos_json, '$.bbox[0]') AS DOUBLE) AS x0, CAST(json_extract(pos_json, '$.bbox[3]') AS DOUBLE) AS y1, CAST(json_extract(pos_json, '$.paragraph_index') AS INT) AS paragraph_index FROM chunks_index",

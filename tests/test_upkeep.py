@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from docloom import models
 from docloom.operators import orphans, scope, tables
+from docloom.operators.numbering import row_numbers
+from docloom.runtime import drop_keys, hashed_sample, keep_keys, sized, small_enough
 from docloom.sources import files, settings
 from docloom.streaming import ingest
 
@@ -29,6 +31,29 @@ def test_keyed_changes(spark):
     assert [r.stored_name for r in tables.collision_names(names, "g", "n", "o").orderBy("o").collect()] == ["a.pdf", "a_1.pdf", "a.pdf", "x", "x_1"]
 
 
+def test_row_numbers_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a"] * 5 + ["b", None]), rng.randrange(40), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    got = {r.i: r.n for r in row_numbers(df, "g", [F.col("x"), F.col("i")]).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        want |= {i: n for n, (_, i) in enumerate(sorted((x, i) for h, x, i in rows if h == g), 1)}
+    assert got == want and row_numbers(df.limit(0), "g", [F.col("x")]).count() == 0
+
+
+def test_bounds(spark, tmp_path):
+    df = spark.range(5000)
+    one = {r.id for r in hashed_sample(df, 100, "id").collect()}
+    assert len(one) == 100 and one == {r.id for r in hashed_sample(df.repartition(7), 100, "id").collect()}
+    assert hashed_sample(spark.range(7), 100, "id").count() == 7
+    assert small_enough(df, 5000 * 32) and not small_enough(df, 4999 * 32)
+    assert "hint" in sized(df)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in sized(df, 64)._jdf.queryExecution().logical().toString().lower()
+    kept = sorted(r.id for r in keep_keys(df, spark.range(3), "id").collect())
+    assert kept == [0, 1, 2] and drop_keys(spark.range(4), spark.range(3), "id", budget=1).count() == 1
+
+
 def test_routing(spark):
     q = spark.createDataFrame([(1, " a 、b、a"), (2, "x"), (3, ""), (4, "a、x"), (5, None)], "id int, s string")
     have = spark.createDataFrame([("a", "privacy"), ("b", "normal")], "n string, m string")
