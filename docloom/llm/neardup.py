@@ -91,11 +91,13 @@ def tiles(signed: DataFrame) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("id")
     met = (
         signed.select(F.explode("bands").alias("bucket"), "id")
+        # a repeated row repeats its id; both windows run over one sort
+        .withColumn("before", F.lag("id").over(w)).where("before is null or before <> id")
         .select("bucket", "id", F.row_number().over(w).alias("rn"), F.lead("id").over(w).alias("next"))
         .where("rn > 1 or next is not null").select("bucket", "id", F.floor((F.col("rn") - 1) / LANES).cast("int").alias("blk"))
     )
     return (
-        met.join(signed.select("id", "sketch"), "id")
+        met.join(signed.select("id", "sketch").dropDuplicates(["id"]), "id")
         .groupBy("bucket", "blk").agg(F.collect_list(F.struct("id", "sketch")).alias("m"))
     )
 
@@ -159,7 +161,7 @@ def within(planes: np.ndarray, queries: np.ndarray, valid: np.ndarray, limit: in
 
 
 def close_pairs(tiled: DataFrame, limit: int) -> DataFrame:
-    """(a, b), a < b, of records of one bucket whose sketches differ in at most ``limit`` bits."""
+    """(a, b), a < b, of records of one bucket whose sketches differ in at most ``limit`` bits. tiled is read three times, so it should be staged."""
     left = tiled.select("bucket", F.explode(F.sequence(F.lit(0), "blk")).alias("o"), "blk", F.col("m").alias("mb"))
     right = tiled.select("bucket", F.col("blk").alias("o"), F.col("m").alias("ma"))
     single = tiled.where("blk = 0").select("m", F.col("m").alias("q"))
@@ -219,13 +221,13 @@ def similar_texts(df: DataFrame, key: str, text: str, n: int, threshold: float =
 
     If a key comes with several texts, each takes part.
     """
-    rows = df.where(F.length(text) >= max(n, least)).select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
+    rows = df.where(F.length(text) >= max(n, least)).select(F.col(key).alias("key"), F.col(text).alias("text"))
     dups = stage(copies(rows, "key", "text"), "copies")
     rows = drop_keys(rows, dups.select("key"), "key").withColumn("id", F.xxhash64("key", "text"))
     signed = stage(sketched(rows, n), "signed")
-    cands = stage(close_pairs(tiles(signed), radius(threshold)), "cands")
+    cands = stage(close_pairs(stage(tiles(signed), "tiles"), radius(threshold)), "cands")
     ids = stage(cands.select(F.col("a").alias("id")).union(cands.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = stage(keep_keys(rows, ids, "id"), "texts")
+    texts = stage(keep_keys(rows, ids, "id").dropDuplicates(["id"]), "texts")
     both = (
         cands.join(texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb")), "b")
