@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.runtime import hashed_sample
+
 #: Answers that the terminal-context model learns from, those with the smallest hashed keys.
 SAMPLE = 4000
 
@@ -56,6 +58,8 @@ _COURTESY = re.compile(
 
 def refuses(answer: str) -> bool:
     """Whether the answer declines and says nothing else of substance."""
+    if not _REFUSES.search(answer.lower().replace("’", "'")):
+        return False
     clauses = [c for c in (c.strip().lower() for c in _CLAUSE.split(_CITATION.sub("", answer).replace("’", "'"))) if _WORDS.search(c)]
     refusal = [len(c) <= 80 and bool(_REFUSES.search(c)) for c in clauses]
     return any(refusal) and all(r or _COURTESY.fullmatch(c) for c, r in zip(clauses, refusal))
@@ -65,6 +69,9 @@ def refuses(answer: str) -> bool:
 _LEAD = re.compile(r"^(答|问|回答|回答如下|问题|您的问题是|您问的是|关于|你问的是|youasked|yourquestion(was|is)?|question|answer|ihrefrage|frage|antwort|siefragten)+")
 
 
+_PLAIN = zstandard.ZstdCompressor(level=1)
+
+
 def _letters(text: str) -> str:
     return "".join(_WORDS.findall(_CITATION.sub("", text).lower()))
 
@@ -72,11 +79,12 @@ def _letters(text: str) -> str:
 def copies(question: str, answer: str) -> bool:
     """Whether the answer only repeats the question."""
     q, a = _letters(question), _letters(answer)
-    if len(q) < 4 or not a:
+    if len(q) < 4 or not a or len(a) > 8 * len(q) + 60:  # a copy is the question a few times over, and a lead-in
         return False
-    alone, raw = len(zstandard.ZstdCompressor(level=3).compress(a.encode())), a.encode()
+    raw = a.encode()
+    alone = len(_PLAIN.compress(raw))
     book = zstandard.ZstdCompressionDict(q.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    aided = len(zstandard.ZstdCompressor(level=3, dict_data=book).compress(raw))
+    aided = len(zstandard.ZstdCompressor(level=1, dict_data=book).compress(raw))
     if aided > 0.75 * alone:
         return False
     rest = a.replace(q, "")
@@ -226,7 +234,7 @@ def defect(question: str | None, answer: str | None, odds: dict[str, float]) ->
 
 def fitted(pairs: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """The terminal-context model of the pairs' answers."""
-    rows = pairs.where(F.length("answer") > 0).orderBy(F.xxhash64("key", "answer"), "key").limit(sample).select("answer", "cached").collect()
+    rows = hashed_sample(pairs.where(F.length("answer") > 0), sample, "key", "answer").select("answer", "cached").collect()
     texts = [payload_answer(a)[1] if cached else a for a, cached in rows]
     return train([t for t in texts if t and _WORDS.search(_CITATION.sub("", t))])
 
@@ -243,5 +251,5 @@ def broken(pairs: DataFrame) -> DataFrame:
                 out.append("truncated" if state == "cut" else defect(q, text, odds.value))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), pa.array(out, pa.string())], names=["key", "source", "defect"])
 
-    rows = pairs.select("key", "source", "question", "answer", "cached").distinct()
+    rows = pairs.select("key", "source", "question", "answer", "cached")
     return rows.mapInArrow(run, "key string, source string, defect string").where("defect is not null").distinct()
