@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.copies import copies
-from docloom.runtime import drop_keys, stage
+from docloom.runtime import drop_keys, hashed_sample, stage
 
 DIM = 64
 SAMPLE = 20_000
@@ -85,7 +85,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
 
 def fit(vectors: DataFrame, count: int, dim: int = DIM, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Codebooks of the two halves, from the ``sample`` vectors whose ids hash smallest. K grows with the root of the count, up to 256."""
-    picked = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toPandas()
+    picked = hashed_sample(vectors.select("key", "v"), sample, "key").select("v").toPandas()
     x = unpack([bytes(v) for v in picked["v"]], dim).astype(np.float64)
     k = min(len(x), max(4, min(256, int(np.sqrt(count) / 8))))
     half = dim // 2
