@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strip
+from docloom.runtime import sized
 
 
 def scope_list(joined: Column | str, mark: str = "、") -> Column:
@@ -31,5 +32,6 @@ def route(questions: DataFrame, selected: str, available: DataFrame, name: str)
 
 def resolve_mode(questions: DataFrame, key: str, selected: str, bases: DataFrame, name: str, mode: str) -> DataFrame:
     """(key, mode): private if any base of the question is; unknown bases are normal."""
-    each = questions.select(key, F.explode_outer(scope_list(selected)).alias(name)).join(F.broadcast(bases.where(F.col(mode) == "privacy").select(name).distinct()).withColumn("_p", F.lit(True)), name, "left")
+    private = sized(bases.where(F.col(mode) == "privacy").select(name).distinct().withColumn("_p", F.lit(True)))
+    each = questions.select(key, F.explode_outer(scope_list(selected)).alias(name)).join(private, name, "left")
     return each.groupBy(key).agg(F.when(F.max(F.coalesce("_p", F.lit(False))), "privacy").otherwise("normal").alias("mode"))

@@ -89,7 +89,7 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d)
+    return _fused(spark, d).withColumn("vector_rank", F.coalesce("vector_rank", F.lit(0))).withColumn("keyword_rank", F.coalesce("keyword_rank", F.lit(0)))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
-    return _reranked(spark, d).select("query_id", "chunk_id", "final_position", F.round("rerank_score", 6).alias("rerank_score"), "position")
+    return _reranked(spark, d).select("query_id", "chunk_id", "final_position", F.coalesce(F.round("rerank_score", 6), F.lit(-1.0)).alias("rerank_score"), "position")
 
 
 def _expanded(spark: SparkSession, d: str) -> DataFrame:
@@ -166,12 +166,12 @@ SQL = {
     "cosine_topk": f"{_COS} SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM sims) x WHERE rank <= 20",
     "cosine_per_kb_merge": f"{_COS} SELECT query_id, vec_id, label, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(similarity, 9) DESC, vec_id) AS own FROM sims) y WHERE own <= 20) x WHERE rank <= 20",
     "vector_search": f"WITH {sql.VECTOR} SELECT query_id, vec_id, chunk_id, round(similarity, 6) AS similarity, rank FROM vector",
-    "rrf_fusion": f"{sql.HYBRID} SELECT * FROM fused",
+    "rrf_fusion": f"{sql.HYBRID} SELECT query_id, chunk_id, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, fusion_score, position FROM fused",
     "hybrid_topk": f"{sql.HYBRID}, h AS (SELECT f.*, c.content FROM fused f JOIN chunks c USING (chunk_id) WHERE c.content <> '') SELECT query_id, chunk_id, rank, CASE WHEN vector_rank IS NULL THEN 'keyword' WHEN keyword_rank IS NULL THEN 'vector' ELSE 'both' END AS source, fusion_score, length(content) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM h) x WHERE rank <= 20",
     "rerank_blend": f"""{sql.HYBRID}, h AS (SELECT f.query_id, f.chunk_id, f.position, round(len(list_intersect(list_distinct({sql.tokens('q.text')}), {sql.tokens('substring(c.content, 1, 2000)')})) / greatest(1, len(list_distinct({sql.tokens('q.text')}))), 9) AS s
       FROM fused f JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id) WHERE c.content <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, position) AS r FROM h)
-    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY least(r, 9), position) AS final_position, CASE WHEN r <= 8 THEN round(s, 6) END AS rerank_score, position FROM r""",
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY least(r, 9), position) AS final_position, CASE WHEN r <= 8 THEN round(s, 6) ELSE -1.0::DOUBLE END AS rerank_score, position FROM r""",
     "section_expand": f"{_EXPANDED} SELECT query_id, context_no, chunk_id, chunks, length(content) AS chars, md5(content) AS content_md5 FROM expanded",
     "context_pack": f"{_PACKED % 5000} SELECT query_id, context_no, length(packed) AS chars, md5(packed) AS packed_md5 FROM packed",
     "prompt_build": f"""{_PACKED % 12000}, joined AS (SELECT query_id, string_agg('[' || context_no || '] 来源：本地片段' || chr(10) || packed, chr(10) || chr(10) ORDER BY context_no) AS b FROM packed GROUP BY query_id),

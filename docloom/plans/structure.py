@@ -26,7 +26,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 def line_blocks(spark: SparkSession, d: str) -> DataFrame:
     out = B.markdown_blocks(_docs(spark, d), "doc_id", "text")
-    return out.select("doc_id", "block_index", "type", "heading", "heading_level", F.md5("content").alias("content_md5"))
+    return out.select("doc_id", "block_index", "type", "heading", F.coalesce("heading_level", F.lit(0)).alias("heading_level"), F.md5("content").alias("content_md5"))
 
 
 def title_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -202,18 +202,18 @@ SQL = {
     i AS (SELECT *, sum(CASE WHEN before IS NULL OR kind = 'heading' OR before <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM b WHERE kind <> 'blank'),
     g AS (SELECT doc_id, island, first(kind) AS kind, string_agg(line, chr(10) ORDER BY line_no) AS raw FROM i GROUP BY doc_id, island)
     SELECT doc_id, CAST(island - 1 AS INT) AS block_index, CASE WHEN kind = 'table' THEN 'table' ELSE 'text' END AS type, kind = 'heading' AS heading,
-      CASE WHEN kind = 'heading' THEN greatest(1, least(6, length(regexp_extract(raw, '^#+')))) END AS heading_level,
+      CASE WHEN kind = 'heading' THEN greatest(1, least(6, length(regexp_extract(raw, '^#+')))) ELSE 0 END AS heading_level,
       md5(CASE WHEN kind = 'heading' THEN {sql.strip("replace(replace(replace(replace(replace(" + sql.strip("regexp_replace(raw, '^#+|#+$', '', 'g')") + ", '**', ''), '__', ''), chr(96), ''), '*', ''), '_', '')")} ELSE raw END) AS content_md5 FROM g""",
     "title_marks": f"SELECT DISTINCT section, {sql.strip('''replace(replace(replace(replace(replace(section, '**', ''), '__', ''), chr(96), ''), '*', ''), '_', '')''')} AS title FROM chunks_index WHERE section <> ''",
     "repeated_lines": f"""WITH {_LINES}, e AS (SELECT *, row_number() OVER (PARTITION BY kb_name, doc_id ORDER BY line_no) AS a, row_number() OVER (PARTITION BY kb_name, doc_id ORDER BY line_no DESC) AS z FROM lines WHERE line <> '')
     SELECT kb_name, line_key, count(DISTINCT doc_id) AS pages FROM (SELECT kb_name, doc_id, {_KEY} AS line_key FROM e WHERE a <= 2 OR z <= 4) x WHERE line_key <> '' GROUP BY kb_name, line_key HAVING count(DISTINCT doc_id) >= 3""",
     "repeated_margins": f"""WITH {_LINES}, e AS (SELECT *, {_KEY} AS line_key, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS z FROM lines WHERE line <> ''),
     o AS (SELECT kb_name, line_key FROM e WHERE (a = 1 OR z = 1) AND line_key <> '' GROUP BY kb_name, line_key HAVING count(*) >= 3)
-    SELECT kb_name, count(*) AS lines, sum(length(line)) AS chars FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.line_key = e.line_key AND o.kb_name IS NOT DISTINCT FROM e.kb_name) GROUP BY kb_name""",
+    SELECT kb_name, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.line_key = e.line_key AND o.kb_name IS NOT DISTINCT FROM e.kb_name) GROUP BY kb_name""",
     "body_font_size": f"WITH {_STYLED} SELECT doc_id, body_size FROM sizes",
     "heading_levels": f"WITH {_STYLED} SELECT doc_id, size, level FROM levels",
     "heading_flag": f"WITH {_STYLED} SELECT doc_id, block_index, is_heading, level FROM headed",
-    "section_ids": f"WITH {_STYLED} SELECT doc_id, block_index, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index) AS section FROM headed",
+    "section_ids": f"WITH {_STYLED} SELECT doc_id, block_index, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_index) AS BIGINT) AS section FROM headed",
     "table_markdown": """SELECT n_regionkey AS region, '| key | name |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || CASE WHEN n_nationkey % 2 = 0 THEN 'a b' ELSE '' END || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey""",
     "figure_context": f"""WITH {_BOXED}, n AS (SELECT f.doc_id, f.block_index, t.content, row_number() OVER (PARTITION BY f.doc_id, f.block_index ORDER BY coalesce({_DIST}, abs(t.block_index - f.block_index) * 1000.0), t.block_index) AS n
       FROM boxed f JOIN boxed t ON t.doc_id = f.doc_id AND t.page = f.page AND f.type = 'figure' AND t.type = 'text'),
@@ -223,5 +223,5 @@ SQL = {
     n AS (SELECT f.doc_id, f.block_index, {sql.strip('t.content')} AS content, row_number() OVER (PARTITION BY f.doc_id, f.block_index ORDER BY coalesce({_DIST}, 0.0), t.block_index) AS n
       FROM c f JOIN c t ON t.doc_id = f.doc_id AND t.page = f.page AND f.type = 'figure' AND t.type = 'text' AND regexp_matches(t.content, '^\\s*(图|表|图表|Figure|Fig\\.?|Table)\\s*[\\p{{Nd}}一二三四五六七八九十]+'))
     SELECT f.doc_id, f.block_index, coalesce(n.content, '') AS caption FROM c f LEFT JOIN n ON n.doc_id = f.doc_id AND n.block_index = f.block_index AND n.n = 1 WHERE f.type = 'figure'""",
-    "text_outside_tables": f"""WITH {_BOXED} SELECT doc_id, count(*) AS blocks, sum(length(content)) AS chars FROM boxed x WHERE type = 'text' AND NOT EXISTS (SELECT 1 FROM boxed t WHERE t.type = 'table' AND t.doc_id = x.doc_id AND t.page = x.page AND x.box[1] < t.box[3] AND t.box[1] < x.box[3] AND x.box[2] < t.box[4] AND t.box[2] < x.box[4]) GROUP BY doc_id""",
+    "text_outside_tables": f"""WITH {_BOXED} SELECT doc_id, count(*) AS blocks, CAST(sum(length(content)) AS BIGINT) AS chars FROM boxed x WHERE type = 'text' AND NOT EXISTS (SELECT 1 FROM boxed t WHERE t.type = 'table' AND t.doc_id = x.doc_id AND t.page = x.page AND x.box[1] < t.box[3] AND t.box[1] < x.box[3] AND x.box[2] < t.box[4] AND t.box[2] < x.box[4]) GROUP BY doc_id""",
 }

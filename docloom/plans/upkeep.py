@@ -28,9 +28,9 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 # ---- catalog ----------------------------------------------------------------------------------------------------------
 def doc_counts(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each base, beside the stored copy of the count."""
-    bases = table(spark, d, "knowledge_bases").select("kb_name", F.col("doc_count").alias("stored"))
+    bases = table(spark, d, "knowledge_bases").select("kb_name", F.coalesce("doc_count", F.lit(-1)).alias("stored"))
     counts = tables.per_key_counts(table(spark, d, "documents").where("kb_name is not null"), "kb_name", "documents")
-    return bases.join(counts, "kb_name", "full_outer").select("kb_name", "stored", F.coalesce("documents", F.lit(0)).alias("documents"))
+    return bases.join(counts, "kb_name", "full_outer").select("kb_name", F.coalesce("stored", F.lit(-2)).alias("stored"), F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,8 @@ def session_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_turns(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, d).select("session_id", "turns", "created_at", "updated_at")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _sessions(spark, d).select("session_id", "turns", stamp("created_at"), stamp("updated_at"))
 
 
 def turn_index(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +197,7 @@ def log_daily(spark: SparkSession, d: str) -> DataFrame:
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     late = seconds("ingested_at") - seconds("created_at") > 86400
     mode = F.when(F.col("mode").isin("隐私模式", "privacy"), "privacy").otherwise("normal")
-    return _log(spark, d).groupBy(F.to_date("created_at").alias("day"), mode.alias("mode")).agg(F.count(F.lit(1)).alias("questions"), F.sum(F.when(late, 1).otherwise(0)).alias("late"))
+    return _log(spark, d).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), mode.alias("mode")).agg(F.count(F.lit(1)).alias("questions"), F.sum(F.when(late, 1).otherwise(0)).alias("late"))
 
 
 # ---- answers ----------------------------------------------------------------------------------------------------------
@@ -277,13 +278,14 @@ def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
 def chunk_positions(spark: SparkSession, d: str) -> DataFrame:
     """Stored positions decoded; bad JSON reads as no position."""
     rows = table(spark, d, "chunks_index").select("chunk_id", F.from_json("pos_json", "bbox array<double>, paragraph_index int").alias("p")).distinct()
-    return rows.select("chunk_id", F.element_at("p.bbox", 1).alias("x0"), F.element_at("p.bbox", 4).alias("y1"), "p.paragraph_index")
+    none = lambda c, v: F.coalesce(c, F.lit(v))
+    return rows.select("chunk_id", none(F.element_at("p.bbox", 1), -1.0).alias("x0"), none(F.element_at("p.bbox", 4), -1.0).alias("y1"), none(F.col("p.paragraph_index"), -1).alias("paragraph_index"))
 
 
 def char_counts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks whose stored length is wrong or missing."""
     rows = table(spark, d, "chunks_index").select("chunk_id", "char_count", F.length("content").alias("chars")).distinct()
-    return rows.where("char_count is null or char_count <> chars")
+    return rows.where("char_count is null or char_count <> chars").withColumn("char_count", F.coalesce("char_count", F.lit(-1)))
 
 
 def embed_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +324,7 @@ _CITED = r"list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d{1,2})\
 _EXT = r"regexp_extract(coalesce(%s, ''), '(?s)[^.](\.[^.]*)$', 1)"
 
 SQL = {
-    "doc_counts": "SELECT coalesce(k.kb_name, c.kb_name) AS kb_name, k.doc_count AS stored, coalesce(n, 0) AS documents FROM knowledge_bases k FULL JOIN (SELECT kb_name, count(*) AS n FROM documents WHERE kb_name IS NOT NULL GROUP BY kb_name) c ON k.kb_name = c.kb_name",
+    "doc_counts": "SELECT coalesce(k.kb_name, c.kb_name) AS kb_name, CASE WHEN k.kb_name IS NULL THEN -2 ELSE coalesce(k.doc_count, -1) END AS stored, coalesce(n, 0) AS documents FROM knowledge_bases k FULL JOIN (SELECT kb_name, count(*) AS n FROM documents WHERE kb_name IS NOT NULL GROUP BY kb_name) c ON k.kb_name = c.kb_name",
     "stats": "SELECT (SELECT count(*) FROM knowledge_bases) AS bases, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks_index) AS chunks, (SELECT count(*) FROM redaction_map) AS redactions, (SELECT count(*) FROM query_log) AS queries",
     "kb_overview": "SELECT kb_name, '- `' || kb_name || '` · **' || CASE WHEN mode = 'privacy' THEN '隐私模式' ELSE '普通模式' END || '** · 文档 ' || (SELECT count(*) FROM documents t WHERE t.kb_name = k.kb_name) || ' 个 · 向量块 ' || (SELECT count(*) FROM vector_store t WHERE t.kb_name = k.kb_name) || ' 个 · 脱敏项 ' || (SELECT count(*) FROM redaction_map t WHERE t.kb_name = k.kb_name) || ' 条' AS line FROM knowledge_bases k",
     "collection_names": "SELECT kb_name, 'kb_' || substring(sha1(kb_name), 1, 16) AS collection FROM knowledge_bases",
@@ -347,13 +349,13 @@ SQL = {
       SELECT id, coalesce(array_to_string(k, '、'), '') AS routed, coalesce(array_to_string(m, '、'), '') AS missing, CASE WHEN len(c) = 0 THEN 'none_selected' WHEN len(k) = 0 THEN 'all_missing' WHEN len(m) > 0 THEN 'some_missing' ELSE 'ok' END AS outcome FROM r""",
     "mode_resolve": f"WITH {_LOG}, p AS (SELECT list(kb_name) AS names FROM knowledge_bases WHERE mode = 'privacy') SELECT id, CASE WHEN len(list_filter({_NAMES}, lambda x: list_contains(names, x))) > 0 THEN 'privacy' ELSE 'normal' END AS mode FROM log CROSS JOIN p",
     "session_list": f"WITH {_SESS} SELECT session_id, title, turns, strftime(updated_at, '%H:%M') AS clock FROM sess ORDER BY updated_at DESC NULLS LAST, last_id DESC LIMIT 50",
-    "session_turns": f"WITH {_SESS} SELECT session_id, turns, created_at, updated_at FROM sess",
+    "session_turns": f"WITH {_SESS} SELECT session_id, turns, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM sess",
     "turn_index": f"WITH {_LOG} SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS turn FROM log",
     "recent_records": f"WITH {_SESS} SELECT r.id, coalesce(title, '') AS title, {_short('question', 20)} AS question, CASE WHEN mode IN ('隐私模式', 'privacy') THEN '隐私' ELSE '普通' END AS mode FROM (SELECT * FROM log ORDER BY id DESC LIMIT 100) r LEFT JOIN sess USING (session_id)",
     "latest_session": f"WITH {_SESS} SELECT session_id FROM sess WHERE updated_at IS NOT NULL ORDER BY updated_at DESC, last_id DESC LIMIT 1",
     "session_messages": f"""WITH {_LOG}, m AS (SELECT session_id, id, 0 AS part, 'user' AS role, question AS content FROM log UNION ALL SELECT session_id, id, 1, 'assistant', answer FROM log)
       SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id, part) AS message_no, role, md5(content) AS content_md5 FROM m WHERE session_id IS NOT NULL AND {sql.strip('content')} <> ''""",
-    "log_daily": f"WITH {_LOG} SELECT CAST(created_at AS DATE) AS day, CASE WHEN mode IN ('隐私模式', 'privacy') THEN 'privacy' ELSE 'normal' END AS mode, count(*) AS questions, CAST(sum(CASE WHEN floor(epoch(ingested_at)) - floor(epoch(created_at)) > 86400 THEN 1 ELSE 0 END) AS BIGINT) AS late FROM log GROUP BY 1, 2",
+    "log_daily": f"WITH {_LOG} SELECT strftime(created_at, '%Y-%m-%d') AS day, CASE WHEN mode IN ('隐私模式', 'privacy') THEN 'privacy' ELSE 'normal' END AS mode, count(*) AS questions, CAST(sum(CASE WHEN floor(epoch(ingested_at)) - floor(epoch(created_at)) > 86400 THEN 1 ELSE 0 END) AS BIGINT) AS late FROM log GROUP BY 1, 2",
     "citations": f"""WITH {_LOG}, c AS (SELECT id, {_CITED} AS n, coalesce(json_array_length(refs_json), 0) AS h FROM log), u AS (SELECT id, h, {_ORDERED} AS u FROM c), g AS (SELECT *, list_filter(u, lambda x: x >= 1 AND x <= h) AS g FROM u)
       SELECT id, array_to_string(u, ',') AS numbers, array_to_string(CASE WHEN len(g) > 0 THEN g ELSE range(1, CAST(1 + least(3, h) AS BIGINT)) END, ',') AS cited FROM g""",
     "citation_snippet": rf"""WITH c AS (SELECT DISTINCT chunk_id, content FROM chunks_index), p AS (SELECT chunk_id, replace(replace(replace(regexp_replace(regexp_replace({sql.collapse('content')}, '\*{{1,3}}|_{{2,}}', '', 'g'), '`+', '', 'g'), '](', ']\('), '<', '&lt;'), '>', '&gt;') AS s FROM c)
@@ -370,13 +372,13 @@ SQL = {
       SELECT f.id, md5(f.t) AS html_md5 FROM f JOIN m USING (id) WHERE i = len(m.n) + 1""".replace("\\\\", "\\"),
     "citation_panel": f"""WITH {_LOG}, r AS (SELECT id, unnest(from_json(refs_json, '[{{"index":"INT","source_kb":"VARCHAR","file_name":"VARCHAR","page":"INT"}}]')) AS r, unnest(range(json_array_length(refs_json)::BIGINT)) AS p FROM log WHERE refs_json IS NOT NULL)
       SELECT id, string_agg('**' || r.index || '. ' || coalesce(r.file_name, '未知文件') || '** · ' || CASE WHEN r.page > 0 THEN '第 ' || r.page || ' 页' ELSE '（无页码信息）' END || ' · 知识库：' || coalesce(r.source_kb, '未标注'), chr(10) ORDER BY p) AS panel FROM r GROUP BY id""",
-    "chunk_positions": "SELECT DISTINCT chunk_id, CAST(json_extract(pos_json, '$.bbox[0]') AS DOUBLE) AS x0, CAST(json_extract(pos_json, '$.bbox[3]') AS DOUBLE) AS y1, CAST(json_extract(pos_json, '$.paragraph_index') AS INT) AS paragraph_index FROM chunks_index",
+    "chunk_positions": "SELECT DISTINCT chunk_id, coalesce(CAST(json_extract(pos_json, '$.bbox[0]') AS DOUBLE), -1) AS x0, coalesce(CAST(json_extract(pos_json, '$.bbox[3]') AS DOUBLE), -1) AS y1, coalesce(CAST(json_extract(pos_json, '$.paragraph_index') AS INT), -1) AS paragraph_index FROM chunks_index",
     "fingerprint": f"WITH {_LOG}, n AS (SELECT id, question, mode, {_NAMES} AS n FROM log) SELECT id, sha1({sql.collapse('question')} || '|' || coalesce(array_to_string(list_sort(list_distinct(n)), '、'), '') || '|all|' || coalesce(mode, '') || '|strict') AS fingerprint FROM n",
     "cache_probe": f"""WITH {_LOG}, c AS (SELECT DISTINCT {sql.collapse('question')} AS q, array_to_string(list_sort(list_distinct({_NAMES})), '、') AS k, mode AS m FROM qa_cache)
       SELECT id FROM log WHERE EXISTS (SELECT 1 FROM c WHERE c.q = {sql.collapse('log.question')} AND c.k = array_to_string(list_sort(list_distinct({_NAMES.replace('kb_names', 'log.kb_names')})), '、') AND c.m = log.mode)""",
     "chunk_metadata": """WITH c AS (SELECT DISTINCT chunk_id, doc_id, kb_name, page, chunk_type, section_id, content FROM chunks_index)
       SELECT coalesce(chunk_id, '') AS chunk_id, coalesce(CAST(c.doc_id AS VARCHAR), '') AS doc_id, coalesce(c.kb_name, '') AS kb_name, coalesce(filename, '') AS filename, coalesce(file_path, '') AS file_path, coalesce(chunk_type, '') AS chunk_type, coalesce(section_id, '') AS section_id, coalesce(page, 0) AS page FROM c LEFT JOIN documents d ON d.doc_id = c.doc_id""",
-    "char_counts": "SELECT DISTINCT chunk_id, char_count, length(content) AS chars FROM chunks_index WHERE char_count IS NULL OR char_count <> length(content)",
+    "char_counts": "SELECT DISTINCT chunk_id, coalesce(char_count, -1) AS char_count, length(content) AS chars FROM chunks_index WHERE char_count IS NULL OR char_count <> length(content)",
     "embed_dedup": f"SELECT text_key, count(DISTINCT chunk_id) AS chunks FROM (SELECT chunk_id, sha1(CASE WHEN coalesce({sql.strip('content')}, '') = '' THEN '（空内容）' ELSE substring({sql.strip('content')}, 1, 3000) END) AS text_key FROM chunks_index) x GROUP BY text_key",
     "api_call_totals": "SELECT event_type, count(*) AS calls, max(event_id) AS last_seq FROM events GROUP BY event_type",
 }
