@@ -195,7 +195,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     """(spans, dups): verified maximal spans (a, b, start_a, start_b, len) of at least min_span characters
     between records with different texts, a < b, and the staged copies of docs."""
     dups = stage(copies(docs.where(F.length(text) >= min_span), key, text), "copies")
-    rep = drop_keys(repeated_edges(edges(docs, key, text, min_span)), dups.select(F.col(key).alias("id")), "id")
+    # copies go before anything is shuffled, so a text that a third of all records hold gives its edges once
+    rep = repeated_edges(edges(drop_keys(docs.select(key, text), dups.select(key), key), key, text, min_span))
     paths = stage(unitigs(rep), "unitigs")
     hot = paths.groupBy("unitig").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("start")).alias("len")).where((F.col("n") > HOT) & (F.col("len") < min_span)).select("unitig")
     hot = stage(hot, "hot")
