@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions import patterns as P
 from docloom.functions.text import tokens
-from docloom.runtime import sized
+from docloom.runtime import sized, stage
 
 
 def query_terms(queries: DataFrame, key: str, text: str, terms: int = P.QUERY_TERMS) -> DataFrame:
@@ -50,6 +59,94 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     )
 
 
+#: Questions scored together, and records multiplied at once.
+QUESTIONS, RECORDS = 256, 512
+
+
+def _terms(text: str | None) -> list[str]:
+    """The same terms as docloom.functions.text.tokens."""
+    low = (text or "").lower()
+    out = re.findall(P.ASCII_RUN, low)
+    for run in re.findall(P.CJK_RUN, low):
+        out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
+
+
+def _question_blocks(queries: DataFrame, key: str, text: str, size: int) -> Iterator[list[tuple[object, list[str]]]]:
+    held: list[tuple[object, list[str]]] = []
+    for q, t in queries.select(key, text).toLocalIterator():
+        if found := _terms(t)[: P.QUERY_TERMS]:
+            held.append((q, found))
+            if len(held) == size:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, scope: DataFrame | None = None, size: int = QUESTIONS) -> DataFrame:
+    """(query_id, key, score, rank): the k best records of each question by the scores of ``bm25``.
+
+    A stated set of questions is scored a block at a time against all records. A first pass counts in how many
+    records each of the block's terms stands; a second multiplies the term weights of some hundred records at once with the block's
+    weights and keeps the best of each question. Nothing is shuffled but counts and candidates, so the work grows with the
+    corpus and not with how common the terms are. More blocks are further passes, each written before the next.
+    """
+    spark = docs.sparkSession
+    kinds = dict(docs.dtypes) | {"_q": dict(queries.dtypes)[query_key]}
+    schema = f"query_id {kinds['_q']}, {key} {kinds[key]}, score double"
+    kind = to_arrow_type(queries.schema[query_key].dataType)
+    allowed = docs if scope is None else docs.join(scope.toDF(key).distinct(), key, "left_semi")
+    out = None
+    for asked in _question_blocks(queries, query_key, query_text, size):
+        vocab = {t: i for i, t in enumerate(sorted({t for _, ts in asked for t in ts}))}
+        given = spark.sparkContext.broadcast(vocab)
+
+        def count(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            words = given.value
+            n, records, length = np.zeros(len(words), np.int64), 0, 0
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    found = _terms(t)
+                    records, length = records + 1, length + len(found)
+                    for x in {words[y] for y in found if y in words}:
+                        n[x] += 1
+            ids = np.arange(-2, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([[records, length], n]))], names=["term", "n"])
+
+        counts = dict(docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+        total, mean = counts.get(-2, 0), counts.get(-1, 0) / max(1, counts.get(-2, 0))
+        weight = np.zeros((len(vocab), len(asked)))
+        for q, (_, ts) in enumerate(asked):
+            for t, times in Counter(ts).items():
+                n = counts.get(vocab[t], 0)
+                idf = math.log((total - n + 0.5) / (n + 0.5))
+                weight[vocab[t], q] = times * (idf if idf > 0 else 1e-6) * 2.2
+        told = spark.sparkContext.broadcast((vocab, weight, mean, pa.array([q for q, _ in asked], kind)))
+
+        def score(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            words, w, mean, names = told.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, RECORDS):
+                    b = whole.slice(at, RECORDS)
+                    b = b.take(pa.compute.sort_indices(b, sort_keys=[(b.schema.names[0], "ascending")]))
+                    m = np.zeros((b.num_rows, len(words)))
+                    for i, t in enumerate(b.column(1).to_pylist()):
+                        found = _terms(t)
+                        base = 1.2 * (0.25 + 0.75 * len(found) / mean) if mean else 1.2
+                        for x, tf in Counter(words[y] for y in found if y in words).items():
+                            m[i, x] = tf / (tf + base)
+                    s = m @ w
+                    best = np.argsort(-np.round(s, 9), axis=0, kind="stable")[: k + 4]
+                    value = np.take_along_axis(s, best, 0)
+                    r, c = np.nonzero(value > 0)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), b.column(0).take(pa.array(best[r, c])), pa.array(-value[r, c])], names=["query_id", b.schema.names[0], "score"])
+
+        part = top(allowed.select(key, text).mapInArrow(score, schema), "score", key, k)
+        out = part if out is None else out.unionByName(stage(part, "pass"))
+    return spark.createDataFrame([], schema + ", rank int") if out is None else out
+
+
 def top(scored: DataFrame, by: str, key: str, limit: int, group: str = "query_id", best_first: bool = False) -> DataFrame:
     """The best ``limit`` rows of each group with their rank from 1; the window's limit is applied before the shuffle. Scores that agree to 9 digits rank by key."""
     score = F.round(by, 9)

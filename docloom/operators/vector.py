@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.runtime import stage
 
@@ -37,7 +38,7 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     schema = f"query_id {kind}, {key} {kind}" + (f", {group} {gkind}" if group else "") + ", similarity double"
     out = None
     for ids, mat in _blocks(queries, key, vector, dim, block):
-        held = spark.sparkContext.broadcast((ids, mat))
+        held = spark.sparkContext.broadcast((pa.array(ids, to_arrow_type(queries.schema[key].dataType)), mat))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             qids, q = held.value
@@ -56,7 +57,7 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                     qq.append(np.broadcast_to(np.arange(len(qids)), order.shape).ravel())
                     ss.append(np.take_along_axis(sim, order, 0).ravel())
                 r, c = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rr, qq))
-                cols = [pa.array(qids).take(pa.array(c)), keys.take(pa.array(r))]
+                cols = [qids.take(pa.array(c)), keys.take(pa.array(r))]
                 if group:
                     cols.append(b.column(2).take(pa.array(pos)).take(pa.array(r)))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(ss) if ss else np.zeros(0))], schema=_arrow(cols, key, group))

@@ -27,8 +27,7 @@ def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, d: str, scope: DataFrame | None = None) -> DataFrame:
-    scored = keyword.bm25(_chunks(spark, d), table(spark, d, "eval_items"), "chunk_id", "content", "item_id", "text", scope)
-    return keyword.top(scored, "score", "chunk_id", P.KEYWORD_CANDIDATES)
+    return keyword.bm25_top(_chunks(spark, d), table(spark, d, "eval_items"), "chunk_id", "content", "item_id", "text", P.KEYWORD_CANDIDATES, scope)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +83,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    found = keyword.top(keyword.bm25(_chunks(spark, d), _questions(spark, d), "chunk_id", "content", "query_id", "text"), "score", "chunk_id", P.KEYWORD_CANDIDATES)
+    found = keyword.bm25_top(_chunks(spark, d), _questions(spark, d), "chunk_id", "content", "query_id", "text", P.KEYWORD_CANDIDATES)
     return fusion.rrf(_vector(spark, d).select("query_id", "chunk_id", "rank"), found.select("query_id", "chunk_id", "rank"), "chunk_id")
 
 

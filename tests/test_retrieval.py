@@ -28,6 +28,14 @@ def test_bm25_agrees_with_fts5(spark):
             want[(q_id, k)] = s
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    scope = df.where("k < 'd060'").select("k")
+    for size, some in ((256, None), (2, scope)):
+        best = {(r.query_id, r["rank"]): (r.k, r.score) for r in keyword.bm25_top(df.repartition(3), q, "k", "t", "q", "t", 5, some, size=size).collect()}
+        for q_id, _ in asks:
+            own = sorted((round(s, 9), k, s) for (x, k), s in want.items() if x == q_id and (some is None or k < "d060"))[:5]
+            assert [best[q_id, n][0] for n in range(1, len(own) + 1)] == [k for _, k, _ in own]
+            assert all(abs(best[q_id, n][1] - s) < 1e-9 for n, (_, _, s) in enumerate(own, 1))
+    assert keyword.bm25_top(df.limit(0), q, "k", "t", "q", "t", 5).count() == 0 and keyword.bm25_top(df, q.limit(0), "k", "t", "q", "t", 5).count() == 0
 
 
 def test_cosine_against_numpy(spark):
