@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.copies import copies, copy_pairs, spread
-from docloom.llm.winnow import encode, mix, winnow
+from docloom.llm.winnow import encode, run_hashes, winnow
 from docloom.runtime import drop_keys, keep_keys, sized, stage
 
 MIN_SPAN = 200
@@ -67,11 +67,11 @@ def edges(docs: DataFrame, key: str, text: str, min_span: int = MIN_SPAN) -> Dat
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_pylist()
             for i, j in blocks(texts):
-                t, pos, h = winnow(*encode(texts[i:j]), k, window)
+                points, offsets = encode(texts[i:j])
+                t, pos, h = winnow(points, offsets, k, window)
                 a = np.flatnonzero(t[1:] == t[:-1])
                 head, tail, start, stop = h[a], h[a + 1], pos[a], pos[a + 1] + k
-                with np.errstate(over="ignore"):
-                    edge = mix(head * np.uint64(3) + tail + mix((stop - start).astype(np.uint64)))
+                edge = run_hashes(points, offsets[t[a]] + start, offsets[t[a]] + stop)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.view(np.int64)) for x in (edge, head, tail)] + [pa.array(ids[i:j][t[a]]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
                     names=["edge", "head", "tail", "id", "start", "stop"],
@@ -90,19 +90,20 @@ def repeated_edges(all_edges: DataFrame) -> DataFrame:
     )
 
 
-def unitigs(rep: DataFrame) -> DataFrame:
-    """(unitig, id, start, stop): repeated edges compacted along nonbranching paths.
+def unitigs(rep: DataFrame, k: int) -> DataFrame:
+    """(unitig, id, start, stop): repeated edges, made with anchors of k characters, compacted along nonbranching paths.
 
     A node ends a path if more than one distinct repeated edge enters or leaves
     it, or if in some record the repeated run begins or ends there. Between two
-    such nodes every record that has the first edge has all the others, so the
-    first edge names the path.
+    such nodes every record that has the first edge has all the others, with
+    the same text, so the first edge names the path.
     """
     w = Window.partitionBy("id").orderBy("start", "stop")
-    runs = rep.withColumn("prev", F.lag("tail").over(w)).withColumn("next", F.lead("head").over(w))
-    # consecutive anchors of one record: the last edge's tail is the next edge's head
-    runs = runs.withColumn("opens", F.coalesce(F.col("prev") != F.col("head"), F.lit(True))).withColumn(
-        "closes", F.coalesce(F.col("next") != F.col("tail"), F.lit(True))
+    at_head, at_tail = F.struct("head", "start"), F.struct("tail", (F.col("stop") - k).alias("start"))
+    runs = rep.withColumn("prev", F.lag(at_tail).over(w)).withColumn("next", F.lead(at_head).over(w))
+    # edges adjoin if the last one's tail is the next one's head at the same place: an anchor may come again after text of the record's own
+    runs = runs.withColumn("opens", F.coalesce((F.col("prev.tail") != F.col("head")) | (F.col("prev.start") != F.col("start")), F.lit(True))).withColumn(
+        "closes", F.coalesce((F.col("next.head") != F.col("tail")) | (F.col("next.start") != F.col("stop") - k), F.lit(True))
     )
     runs = stage(runs.drop("prev", "next"), "runs")
     distinct = runs.groupBy("edge", "head", "tail").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
@@ -197,7 +198,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     dups = stage(copies(docs.where(F.length(text) >= min_span), key, text), "copies")
     # copies go before anything is shuffled, so a text that a third of all records hold gives its edges once
     rep = repeated_edges(edges(drop_keys(docs.select(key, text), dups.select(key), key), key, text, min_span))
-    paths = stage(unitigs(rep), "unitigs")
+    paths = stage(unitigs(rep, geometry(min_span)[0]), "unitigs")
     hot = paths.groupBy("unitig").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("start")).alias("len")).where((F.col("n") > HOT) & (F.col("len") < min_span)).select("unitig")
     hot = stage(hot, "hot")
     groups = paths.join(sized(hot), "unitig", "left_anti").select("unitig", "id", "start")

@@ -53,6 +53,16 @@ def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
         return mix(total)
 
 
+def run_hashes(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hash of points[i:j] for each start i and stop j, by differences of running sums; meant for runs of up to some hundred characters."""
+    n = len(points)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(n, _BASE), dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points.astype(np.uint64) + _BASE) * powers, dtype=np.uint64)])
+        back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))]), dtype=np.uint64)
+        return mix((sums[stops] - sums[starts]) * back[starts] + mix((stops - starts).astype(np.uint64)))
+
+
 def window_min(values: np.ndarray, window: int) -> np.ndarray:
     """min(values[i:i+window]) for each i, by doubling."""
     level, width = values, 1

@@ -147,6 +147,33 @@ def test_hot_boilerplate_is_told_apart(spark):
     assert {tuple(r) for r in spans.sharing_pairs(df, min_span=120).collect()} == want
 
 
+def test_a_path_ends_where_an_anchor_comes_again(spark):
+    rng = random.Random(21)
+    docs = []
+    for i in range(20):
+        first, line, last = text(70, rng), text(rng.randrange(12, 30), rng), text(150, rng)
+        docs += [(2 * i, first + line + last), (2 * i + 1, first + line + text(60, rng) + line + last)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in spans.sharing_pairs(df, min_span=110).collect()} == {(2 * i, 2 * i + 1) for i in range(20)}
+    share = {r.doc_id: r.shared_chars for r in spans.shared_share(df, min_span=50).collect()}
+    assert all(share[2 * i] == len(docs[2 * i][1]) for i in range(20))
+
+
+def test_an_edge_holds_the_text_between_its_anchors(spark):
+    rng = random.Random(22)
+    docs = []
+    for i in range(40):
+        t = text(300, rng)
+        at = rng.randrange(60, 90)
+        docs += [(2 * i, t), (2 * i + 1, t[:at] + "#" + t[at + 1 :])]
+    docs = [(i, t[:290]) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in spans.sharing_pairs(df, min_span=200).collect()} == {(2 * i, 2 * i + 1) for i in range(40)}
+    points, offsets = winnow.encode(["abcab", "xab"])
+    h = winnow.run_hashes(points, np.array([0, 3, 6, 1]), np.array([2, 5, 8, 3]))
+    assert h[0] == h[1] == h[2] != h[3]
+
+
 def test_leaks(spark):
     rng = random.Random(13)
     items = [(i, text(150, rng)) for i in range(12)] + [(50, None), (51, "short")]
