@@ -11,21 +11,28 @@ from docloom.runtime import stage, text_key
 EXPAND = 32
 
 
-def copies(df: DataFrame, key: str, text: str) -> DataFrame:
+def copies(df: DataFrame, key: str, text: str, by_text: bool = False) -> DataFrame:
     """(key, rep) of every record that repeats the text of a smaller key; one row per such record.
 
-    Null texts have no copies. The minimum per text combines on the map side,
+    With ``by_text`` the text's key ``t`` is a third column, one row per record and text, for tables whose keys may come
+    with several texts: there a class is (rep, t). Null texts have no copies. The minimum per text combines on the map side,
     so a text held by a third of all rows meets its class in partial form.
     """
     marked = df.where(F.col(text).isNotNull()).select(F.col(key), text_key(text).alias("t"))
     reps = marked.groupBy("t").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return marked.join(reps, "t").where(F.col(key) != F.col("rep")).select(key, "rep").distinct()
+    return marked.join(reps, "t").where(F.col(key) != F.col("rep")).select(key, "rep", *["t"] * by_text).distinct()
+
+
+def _class(dups: DataFrame) -> list[str]:
+    """The columns that name a class in the result of copies()."""
+    return [c for c in ("rep", "t") if c in dups.columns]
 
 
 def _small_classes(dups: DataFrame, key: str, expand: int) -> DataFrame:
-    """(rep, m: the other members in order) of the classes of up to ``expand`` records."""
-    few = dups.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < expand).select("rep")
-    return dups.join(few, "rep", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(key)).alias("m"))
+    """(rep, and t if dups has it, m: the other members in order) of the classes of up to ``expand`` records."""
+    by = _class(dups)
+    few = dups.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < expand).select(*by)
+    return dups.join(few, by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias("m"))
 
 
 def copy_pairs(dups: DataFrame, key: str, expand: int = EXPAND) -> DataFrame:
@@ -44,16 +51,18 @@ def copy_pairs(dups: DataFrame, key: str, expand: int = EXPAND) -> DataFrame:
 
 
 def spread(pairs: DataFrame, dups: DataFrame, key: str, expand: int = EXPAND) -> DataFrame:
-    """Pairs (a, b) between representatives, also for the copies of each side.
+    """Pairs (a, b) between representatives, also for the copies of each side; (a, b, t_a, t_b) if dups is by text.
 
     Only classes of up to ``expand`` records are written out; of a larger class the
     representative stands for its members, which copy_pairs() links to it.
     """
-    few = _small_classes(dups, key, expand).select("rep", F.concat(F.array("rep"), "m").alias("m"))
+    by = _class(dups)
+    few = _small_classes(dups, key, expand).select(*by, F.concat(F.array("rep"), "m").alias("m"))
     few = stage(few, "members")
     for side in ("a", "b"):
+        on = [side, f"t_{side}"][: len(by)]
         pairs = (
-            pairs.join(few.withColumnRenamed("rep", side), side, "left")
+            pairs.join(few.toDF(*on, "m"), on, "left")
             .withColumn(side, F.explode(F.coalesce("m", F.array(side))))
             .drop("m")
         )

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from docloom.llm.copies import copies, copy_pairs, spread
 from docloom.llm.spans import blocks
 from docloom.llm.winnow import encode, gram_hashes, mix
-from docloom.runtime import drop_keys, keep_keys, stage
+from docloom.runtime import drop_keys, keep_keys, stage, text_key
 
 BANDS, ROWS = 40, 4
 PLANES = BANDS * ROWS
@@ -217,31 +217,34 @@ def jaccard(n: int):  # noqa: ANN201
 
 
 def similar_texts(df: DataFrame, key: str, text: str, n: int, threshold: float = THRESHOLD, least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(pairs, dups): (a, b, similarity) of different texts by their representatives' keys, and the staged copies.
+    """(pairs, dups): (a, b, t_a, t_b, similarity) of different texts by their representatives' keys and their text
+    keys, and the staged copies by text.
 
     If a key comes with several texts, each takes part.
     """
     rows = df.where(F.length(text) >= max(n, least)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    dups = stage(copies(rows, "key", "text"), "copies")
-    rows = drop_keys(rows, dups.select("key"), "key").withColumn("id", F.xxhash64("key", "text"))
+    dups = stage(copies(rows, "key", "text", by_text=True), "copies")
+    rows = drop_keys(rows.withColumn("t", text_key("text")), dups.select("key", "t"), ["key", "t"]).withColumn("id", F.xxhash64("key", "text"))
     signed = stage(sketched(rows, n), "signed")
     cands = stage(close_pairs(stage(tiles(signed), "tiles"), radius(threshold)), "cands")
     ids = stage(cands.select(F.col("a").alias("id")).union(cands.select(F.col("b").alias("id"))).distinct(), "ids")
     texts = stage(keep_keys(rows, ids, "id").dropDuplicates(["id"]), "texts")
     both = (
-        cands.join(texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("text").alias("tb")), "b")
-        .where("ka <> kb")
+        cands.join(texts.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("t").alias("t_a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("t").alias("t_b"), F.col("text").alias("tb")), "b")
         .withColumn("similarity", jaccard(n)("ta", "tb"))
     )
-    pairs = both.where(F.col("similarity") >= threshold).groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(F.max("similarity").alias("similarity"))
+    pairs = both.where(F.col("similarity") >= threshold).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "t_a", "t_b", "similarity")
     return pairs, dups
 
 
+def _all_pairs(pairs: DataFrame, dups: DataFrame) -> DataFrame:
+    return spread(pairs.select("a", "b", "t_a", "t_b"), dups, "key").unionByName(copy_pairs(dups, "key")).distinct()
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, n: int, threshold: float = THRESHOLD, least: int = 0) -> DataFrame:
     """(a, b) of all records whose n-gram sets have a Jaccard similarity of the threshold or more, copies included."""
-    pairs, dups = similar_texts(df, key, text, n, threshold, least)
-    return spread(pairs.select("a", "b"), dups, "key").unionByName(copy_pairs(dups, "key")).distinct()
+    return _all_pairs(*similar_texts(df, key, text, n, threshold, least))
 
 
 def stem(name: str = "filename"):  # noqa: ANN201

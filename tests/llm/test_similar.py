@@ -86,6 +86,17 @@ def test_large_classes_of_copies_stay_linear(spark):
     assert linked == {(0, 200), (0, 201)}
 
 
+def test_every_text_of_a_key_takes_part(spark):
+    rng = random.Random(10)
+    one, two, three = (text(150, rng) for _ in range(3))
+    rows = [("a", one), ("a", two), ("b", one), ("c", two), ("d", edited(two, 3, rng)), ("b", three), ("e", edited(three, 3, rng))]
+    rows += [("g", x := text(150, rng)), ("g", edited(x, 2, rng)), ("h", edited(x, 2, rng)), ("i", y := text(150, rng)), ("i", edited(y, 2, rng))]
+    df = spark.createDataFrame(rows, "k string, t string")
+    want = {tuple(sorted(p)) for p in brute(rows, 5, 0)}
+    assert want >= {("a", "b"), ("a", "c"), ("b", "e"), ("c", "d")} and ("b", "c") not in want
+    assert {tuple(r) for r in neardup.similar_pairs(df, "k", "t", 5).collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 102), (5, 5)]
     got = {r.key: (r.class_id, r.links) for r in graph.components(spark.createDataFrame(edges, "a int, b int")).collect()}
