@@ -22,6 +22,7 @@ Exact copies are compared once for their class. Null texts and texts of under
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.copies import copies, copy_pairs, spread
+from docloom.llm.graph import components
 from docloom.llm.spans import blocks
 from docloom.llm.winnow import encode, gram_hashes, mix
-from docloom.runtime import drop_keys, keep_keys, stage, text_key
+from docloom.runtime import drop_keys, keep_keys, sized, stage, text_key
 
 BANDS, ROWS = 40, 4
 PLANES = BANDS * ROWS
@@ -247,6 +249,36 @@ def similar_pairs(df: DataFrame, key: str, text: str, n: int, threshold: float =
     return _all_pairs(*similar_texts(df, key, text, n, threshold, least))
 
 
+def partners(pairs: DataFrame, dups: DataFrame) -> DataFrame:
+    """(key, links): with how many other records each record is similar, copies included; from similar_texts(), both staged.
+
+    Counted per text: the sizes of its own class and of the classes near it, so no pairs are written out. Only keys
+    with several texts, which may meet a class more than once, are told apart one by one.
+    """
+    sides = [(dups, "key", "t"), (dups, "rep", "t"), (pairs, "a", "t_a"), (pairs, "b", "t_b")]
+    of = stage(reduce(DataFrame.union, [x.select(F.col(k).alias("key"), F.col(t).alias("t")) for x, k, t in sides]).distinct(), "members")
+    several = stage(of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
+    one, more = drop_keys(of, several, "key"), stage(keep_keys(of, several, "key"), "more")
+    near = pairs.select("t_a", "t_b").union(pairs.select("t_b", "t_a")).union(of.select("t", "t")).toDF("t", "o").distinct()
+    near = stage(near, "near")
+    size = one.groupBy(F.col("t").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    some = more.select(F.col("t").alias("o"), F.col("key").alias("other"))
+    extra = near.join(some, "o").select("t", "other").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("more"))
+    each = near.join(size, "o", "left").groupBy("t").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n")).join(extra, "t", "left")
+    links = one.join(sized(stage(each, "each")), "t").select("key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    around = stage(more.join(near, "t").select("key", "o").distinct(), "around")
+    single = around.join(size, "o").groupBy("key").agg(F.sum("n").alias("links"))
+    again = around.join(some, "o").where("key <> other").select("key", "other").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    return links.union(single.union(again).groupBy("key").agg(F.sum("links").alias("links")))
+
+
+def groups(df: DataFrame, key: str, text: str, n: int, threshold: float = THRESHOLD, least: int = 0) -> DataFrame:
+    """(key, class_id, links) of every record that has a similar one: the smallest key of its class, and its number of partners."""
+    pairs, dups = similar_texts(df, key, text, n, threshold, least)
+    pairs = stage(pairs, "similar")
+    return components(_all_pairs(pairs, dups)).select("key", "class_id").join(partners(pairs, dups), "key")
+
+
 def stem(name: str = "filename"):  # noqa: ANN201
     """A file name without its extension, in lower case."""
     return F.lower(F.regexp_replace(name, r"(?s)(?<=[^.])\.[^.]*$", ""))

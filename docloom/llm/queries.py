@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import graph, leaks, lookalike, neardup, packing, pairs, pieces, pii, spans, vectors
-from docloom.runtime import stage, table
+from docloom.llm import leaks, lookalike, neardup, packing, pairs, pieces, pii, spans, vectors
+from docloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,23 +19,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken(log.unionByName(cache)).select(F.col("source").alias("source_table"), F.col("key").alias("record_key"), "defect")
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
+def _near(spark: SparkSession, d: str, find: Callable[..., DataFrame]) -> DataFrame:
     chunks = table(spark, d, "chunks_index").select("chunk_id", "content")
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), neardup.stem("filename").alias("stem"))
-    content = neardup.similar_pairs(chunks, "chunk_id", "content", n=5, least=80)
-    names = neardup.similar_pairs(files, "key", "stem", n=3)
+    content = find(chunks, "chunk_id", "content", n=5, least=80)
+    names = find(files, "key", "stem", n=3)
     return content.withColumn("field_name", F.lit("content")).unionByName(names.withColumn("field_name", F.lit("filename")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).select("field_name", F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+    return _near(spark, d, neardup.similar_pairs).select("field_name", F.col("a").alias("key_a"), F.col("b").alias("key_b"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each grouped record: its class (the smallest key in it) and its number of partners."""
-    near = stage(_near(spark, d), "near")
-    out = [graph.components(near.where(F.col("field_name") == f)).withColumn("field_name", F.lit(f)) for f in ("content", "filename")]
-    return out[0].unionByName(out[1]).select("field_name", F.col("key").alias("record_key"), "class_id", "links")
+    return _near(spark, d, neardup.groups).select("field_name", F.col("key").alias("record_key"), "class_id", "links")
 
 
 _PERSONAL = (("chunks_index", "chunk_id", "content"), ("query_log", "id", "question"), ("redaction_map", "id", "original"))

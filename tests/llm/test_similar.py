@@ -86,6 +86,24 @@ def test_large_classes_of_copies_stay_linear(spark):
     assert linked == {(0, 200), (0, 201)}
 
 
+def counted(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set()).add(a)
+    return {k: len(v) for k, v in out.items()}
+
+
+def test_partners_do_not_depend_on_the_size_of_a_class(spark):
+    rng = random.Random(9)
+    base, other = text(200, rng), text(200, rng)
+    rows = [(f"c{i:02d}", base) for i in range(40)] + [(f"e{i}", edited(base, 4, rng)) for i in range(3)]
+    rows += [(f"d{i:02d}", other) for i in range(32)] + [("x", text(200, rng)), ("f0", edited(other, 4, rng))]
+    got = {r.key: (r.class_id, r.links) for r in neardup.groups(spark.createDataFrame(rows, "k string, t string"), "k", "t", 5).collect()}
+    assert {k: n for k, (_, n) in got.items()} == counted(brute(rows, 5, 0))
+    assert got["c07"][1] == 42 and {c for c, _ in got.values()} == {"c00", "d00"}
+
+
 def test_every_text_of_a_key_takes_part(spark):
     rng = random.Random(10)
     one, two, three = (text(150, rng) for _ in range(3))
@@ -95,6 +113,7 @@ def test_every_text_of_a_key_takes_part(spark):
     want = {tuple(sorted(p)) for p in brute(rows, 5, 0)}
     assert want >= {("a", "b"), ("a", "c"), ("b", "e"), ("c", "d")} and ("b", "c") not in want
     assert {tuple(r) for r in neardup.similar_pairs(df, "k", "t", 5).collect()} == want
+    assert {r.key: r.links for r in neardup.groups(df, "k", "t", 5).collect()} == counted(want)
 
 
 def test_components(spark):
