@@ -28,6 +28,8 @@ FIGURE_CAPTION = r"(?U)^\s*(图|表|图表|Figure|Fig\.?|Table)\s*[\d一二三
 # Citations and placeholders.
 CITATION = r"\[(\d{1,2})\]"
 PLACEHOLDER = r"(?U)\[[^\W\d][\w·]{0,19}\d{1,4}\]"
+#: The label and the whole number of a placeholder.
+NUMBERED = r"(?U)^\[([^\W\d][\w·]*?)(\d+)\]$"
 ILLEGAL_IN_NAMES = r'[\\/:*?"<>|\r\n\t]'
 
 # Number-shaped personal data as (label, pattern, priority).

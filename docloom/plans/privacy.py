@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import patterns as P
 from docloom.functions.text import entity_label, matches, placeholders, restore, segments
 from docloom.operators import redaction as R
-from docloom.runtime import table
+from docloom.runtime import stage, table
 
 
 def _digits(n: int, k: str = "c_custkey") -> str:
@@ -98,9 +98,47 @@ def pii_hit_count(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("doc_id").agg(F.sum("n").alias("hits")).where("hits > 0")
 
 
+def used_numbers(texts: DataFrame, stored: DataFrame) -> DataFrame:
+    """(label, original, n) of the placeholders that texts(text) or rows of stored(id, placeholder, original) hold.
+
+    The first row of a placeholder has its original, and an original of a label one number; other numbers come
+    without an original, so that they are not given again.
+    """
+    held = texts.select(F.explode(F.array_distinct(placeholders("text"))).alias("placeholder")).distinct().withColumn("original", F.lit(None).cast("string"))
+    first = stored.where("placeholder is not null").groupBy("placeholder").agg(F.min_by("original", "id").alias("original"))
+    parts = held.unionByName(first).select("original", *(F.regexp_extract("placeholder", P.NUMBERED, k).alias(c) for k, c in ((1, "label"), (2, "n"))))
+    numbers = parts.select("label", "original", F.expr("try_cast(n AS bigint)").alias("n")).where("n is not null")
+    return numbers.groupBy("label", "original").agg(F.when(F.col("original").isNull(), F.max("n")).otherwise(F.min("n")).alias("n")).unionByName(
+        numbers.where("original is not null").groupBy("label").agg(F.max("n").alias("n")).withColumn("original", F.lit(None).cast("string"))
+    )
+
+
+def redacted_texts(texts: DataFrame, stored: DataFrame, reuse: bool) -> tuple[DataFrame, DataFrame]:
+    """R.redact of texts(key, text) behind the numbers in use. With ``reuse`` stored originals keep their placeholders."""
+    known = used_numbers(texts, stored)
+    known = stage(known if reuse else known.withColumn("original", F.lit(None).cast("string")), "known")
+    return R.redact(texts.withColumn("version", F.md5("text")), ["key", "version"], "text", known)
+
+
+def restored_texts(texts: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, restored) of texts redacted and restored. Stored originals get new placeholders too, so a text's own old ones stay what they were."""
+    out, table_ = redacted_texts(texts, stored, False)
+    by = ["key", "version"]
+    each = out.select(*by, F.explode(F.array_distinct(placeholders("redacted"))).alias("placeholder")).join(table_, "placeholder")
+    maps = each.groupBy(*by).agg(F.collect_list(F.struct("placeholder", "original")).alias("m"))
+    none = F.array().cast("array<struct<placeholder:string,original:string>>")
+    return out.join(maps, by, "left").select("key", restore("redacted", F.coalesce("m", none)).alias("restored"))
+
+
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = R.redact(forms(spark, d), ["form_id"], "text")
-    return out.select("form_id", "redacted", "hits")
+    """All chunk contents and forms, redacted behind the archive's own placeholders."""
+    out, _ = redacted_texts(_texts(spark, d), table(spark, d, "redaction_map"), True)
+    return out.select("key", "redacted", "hits")
+
+
+def pii_restore_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk contents and forms redacted and restored: every text must be what it was."""
+    return restored_texts(_texts(spark, d), table(spark, d, "redaction_map")).select("key", F.md5("restored").alias("text_md5"))
 
 
 def pii_restore(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +181,7 @@ def recogniser_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", F.explode_outer(segments("content")).alias("s")).where("s is not null").select("chunk_id", "s.start", F.length("s.text").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (pii_idcard, pii_credit_code, pii_email, pii_phone, pii_hotline, pii_bankcard, pii_landline, pii_labelled, pii_table_labelled, pii_resolve, pii_allocate, pii_hit_count, pii_redact, pii_restore, placeholders_unresolved, chunks_restored, redaction_lookup, recogniser_segments)}
+QUERIES = {f.__name__: f for f in (pii_idcard, pii_credit_code, pii_email, pii_phone, pii_hotline, pii_bankcard, pii_landline, pii_labelled, pii_table_labelled, pii_resolve, pii_allocate, pii_hit_count, pii_redact, pii_restore, pii_restore_texts, placeholders_unresolved, chunks_restored, redaction_lookup, recogniser_segments)}
 
 _TEXTS = f"texts AS (SELECT DISTINCT chunk_id AS key, content AS text FROM chunks_index WHERE content IS NOT NULL UNION ALL SELECT CAST(c_custkey AS STRING), {FORM} FROM customer)"
 _MARK = r"\[[\p{L}_][\p{L}\p{M}\p{Nd}_·]{0,19}\p{Nd}{1,4}\]"
@@ -168,6 +206,7 @@ SQL = {
       SELECT label, original, '[' || label || row_number() OVER (PARTITION BY label ORDER BY f, original) || ']' AS placeholder FROM r""",
     "pii_hit_count": f"SELECT doc_id, hits FROM (SELECT doc_id, CAST(sum(len(list_distinct(regexp_extract_all(coalesce(content, ''), '{_MARK}')))) AS BIGINT) AS hits FROM (SELECT DISTINCT chunk_id, doc_id, content FROM chunks_index) x GROUP BY doc_id) y WHERE hits > 0",
     "pii_restore": f"SELECT c_custkey AS form_id, md5({FORM}) AS text_md5 FROM customer",
+    "pii_restore_texts": f"WITH {_TEXTS} SELECT key, md5(text) AS text_md5 FROM texts",
     "placeholders_unresolved": f"SELECT placeholder, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(content, '{_MARK}'))) AS placeholder FROM (SELECT DISTINCT chunk_id, content FROM chunks_index) c) x WHERE placeholder NOT IN (SELECT placeholder FROM redaction_map WHERE placeholder IS NOT NULL) GROUP BY placeholder",
     "chunks_restored": f"""WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, content FROM chunks_index), o AS (SELECT placeholder, min_by(original, id) AS original FROM redaction_map GROUP BY placeholder),
       u AS (SELECT chunk_id, content, p, o.original FROM (SELECT chunk_id, content, unnest(list_distinct(regexp_extract_all(content, '{_MARK}'))) AS p FROM c) x JOIN o ON o.placeholder = p),

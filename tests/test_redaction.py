@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from docloom.operators import redaction as R
+from docloom.plans import privacy
 
 
 def spans_of(spark, text, extra=None):
@@ -49,6 +50,17 @@ def test_allocation_right_to_left_and_reuse(spark):
     assert again == {"王五": "[姓名7]", "李四光": "[姓名8]", "张三丰": "[姓名9]"}
 
 
+def test_old_placeholders_are_neither_given_again_nor_filled(spark):
+    rows = [("a", "[姓名1]与[姓名9]，姓名：张三丰。"), ("b", "姓名：李四光，见[电话2]，电话 13812345678"), ("b", "姓名：王五。"), ("c", "无")]
+    texts = spark.createDataFrame(rows, "key string, text string")
+    stored = spark.createDataFrame([(1, "[姓名4]", "王五"), (2, "[姓名5]", "王五"), (3, "[姓名4]", "赵六"), (4, None, "x"), (5, "kein", "y")], "id int, placeholder string, original string")
+    out, given = privacy.redacted_texts(texts, stored, True)
+    assert {r.original: r.placeholder for r in given.collect()} == {"王五": "[姓名4]", "张三丰": "[姓名10]", "李四光": "[姓名11]", "13812345678": "[电话3]"}
+    assert ("b", "姓名：[姓名4]。") in {(r.key, r.redacted) for r in out.collect()}
+    assert sorted(tuple(r) for r in privacy.restored_texts(texts, stored).collect()) == sorted(rows)
+    assert {"key"} < set(privacy.pii_redact(spark, "/root/testdata/sf0.001").columns)
+
+
 def test_unresolved(spark):
     df = spark.createDataFrame([("[姓名1][电话2][姓名1]", ["[电话2]"])], "t string, k array<string>")
     assert df.select(R.unresolved("t", F.col("k"))).first()[0] == ["[姓名1]", "[姓名1]"]
