@@ -1,4 +1,4 @@
-"""Pluggable models with deterministic offline defaults: embedding, reranking, answering, entity recognition."""
+"""Pluggable models with deterministic offline defaults: embedding, answering, describing."""
 
 from __future__ import annotations
 
