@@ -44,27 +44,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in spark.checkpoint.dir. Only a session on one machine may go without: it gets a local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docloom.shared.dir", None)
     if named:
         return named.rstrip("/")
-    own = spark.conf.get("docloom.shared.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="docloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        own = f"file://{own}"
-        spark.conf.set("docloom.shared.dir", own)
+    if not _local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="docloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    own = f"file://{own}"
+    spark.conf.set("docloom.shared.dir", own)
     return own
 
 
+_staged: dict[str, list[str]] = {}
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_unstage_all)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def unstage(spark: SparkSession) -> None:
+    """Delete the tables this application has staged so far; results that read them must have been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _unstage_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            unstage(spark)
+        except Exception:  # noqa: BLE001 - the session is ending; what stays is removed with the shared folder
+            return
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df once as a table in the shared folder and return a scan of it."""
-    path = f"{shared_dir(df.sparkSession)}/docloom-{name}-{uuid.uuid4().hex}"
+    """Write df once as a table in the shared folder and return a scan of it. It is deleted when the application ends, or by ``unstage``."""
+    path = _path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, column: str = "bucket") -> dict[int, str]:
+    """Write df in one folder for each value of a column of few small numbers, and return the folders."""
+    path = _path(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).listStatus(where)]
+    return {int(n.split("=")[1]): f"{path}/{n}" for n in names if n.startswith(f"{column}=")}
+
+
 def row_limit(df: DataFrame, budget: int = BROADCAST_BYTES) -> int:
     """Rows of df that fit the budget, with 24 bytes for each row and 64 for a value without a fixed width."""
     return budget // (24 + sum(_WIDTH.get(f.dataType.typeName(), 64) for f in df.schema.fields))

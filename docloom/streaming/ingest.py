@@ -60,7 +60,7 @@ class OrphanMonitor:
     def __init__(self, spark: SparkSession) -> None:
         self.state = orphans.Orphans.empty(spark)
 
-    def update(self, refs: DataFrame, parents: DataFrame) -> DataFrame:
+    def update(self, refs: DataFrame, events: DataFrame) -> DataFrame:
         """Fold a batch in and return the counts after it."""
-        self.state = orphans.step(self.state, refs, parents)
+        self.state = orphans.step(self.state, refs, events)
         return orphans.snapshot(self.state)

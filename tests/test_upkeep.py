@@ -69,47 +69,65 @@ def history(spark, seed):
     when = lambda: t0 + timedelta(hours=rng.randrange(1000))
     keys = [f"k{i}" for i in range(12)] + [None]
     refs = [("d", rng.choice(keys), "s", "f", f"r{i}", rng.choice([when(), None])) for i in range(60)]
-    parents = [("d", rng.choice(keys[:8]), when(), rng.random() < 0.2, True) for _ in range(9)] + [("d", rng.choice(keys[:10]), None, True, False) for _ in range(2)]
-    return spark.createDataFrame(refs, orphans.REFS), spark.createDataFrame(parents, orphans.PARENTS + ", known boolean"), refs, parents
+    events = [("d", rng.choice(keys[:8]), "arrive", rng.choice([when(), when(), None])) for _ in range(9)] + [("d", rng.choice(keys[:10]), "delete", when()) for _ in range(4)]
+    return spark.createDataFrame(refs, orphans.REFS), spark.createDataFrame(events, orphans.EVENTS), refs, events
 
 
-def expected(refs, parents):
+def expected(refs, events):
     out = set()
     for _, key, source, field, record, at in refs:
-        own = [p for p in parents if p[1] == key]
+        own = [e for e in events if e[1] == key]
+        since = [e[3] for e in own if e[2] == "arrive" and e[3]]
         if key is None:
             continue
-        if any(p[3] for p in own):
+        if any(e[2] == "delete" for e in own):
             out.add((source, field, record, "deleted"))
-        elif not any(p[4] for p in own):
+        elif not own:
             out.add((source, field, record, "missing"))
-        elif at is not None and min(p[2] for p in own if p[2]) > at:
+        elif at is not None and since and min(since) > at:
             out.add((source, field, record, "late"))
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_orphans_do_not_depend_on_batches(spark, parts):
-    refs, parents, raw_refs, raw_parents = history(spark, parts)
-    state = orphans.Orphans.empty(spark)
+@pytest.mark.parametrize(("parts", "buckets"), [(1, 1), (3, 5)])
+def test_orphans_do_not_depend_on_batches(spark, parts, buckets):
+    refs, events, raw_refs, raw_events = history(spark, parts)
+    state, own = orphans.Orphans.empty(spark, buckets), F.pmod(F.hash("target", "at"), F.lit(parts))
     for k in range(parts):
-        state = orphans.step(state, refs.where(F.pmod(F.hash("record_key"), F.lit(parts)) == k), parents.where(F.pmod(F.hash("target", "since"), F.lit(parts)) == k))
-    assert {tuple(r) for r in orphans.found(state).collect()} == expected(raw_refs, raw_parents)
-    assert orphans.snapshot(state).agg(F.sum("orphans")).first()[0] == len(expected(raw_refs, raw_parents))
+        state = orphans.step(state, refs.where(F.pmod(F.hash("record_key"), F.lit(parts)) == k), events.where(own == k))
+    state = orphans.step(state, refs.limit(5), events.limit(3))  # what comes again counts once
+    assert {tuple(r) for r in orphans.found(state).collect()} == expected(raw_refs, raw_events)
+    assert orphans.snapshot(state).agg(F.sum("orphans")).first()[0] == len(expected(raw_refs, raw_events))
+    assert state.refs().count() == len({r for r in raw_refs if r[1] is not None})
 
 
 def test_orphans_resolve_and_reopen(spark):
     t = datetime(2024, 1, 1)
     one = lambda rows, schema: spark.createDataFrame(rows, schema)
-    parent = orphans.PARENTS + ", known boolean"
-    states = []
-    state = orphans.step(orphans.Orphans.empty(spark), one([("d", "a", "s", "f", "r", t)], orphans.REFS), one([], parent))
+    states, none = [], one([], orphans.EVENTS)
+    state = orphans.step(orphans.Orphans.empty(spark), one([("d", "a", "s", "f", "r", t)], orphans.REFS), none)
     states.append(orphans.found(state).first().ref_state)
-    state = orphans.step(state, one([], orphans.REFS), one([("d", "a", t - timedelta(1), False, True)], parent))
-    states.append(orphans.found(state).count())
-    state = orphans.step(state, one([], orphans.REFS), one([("d", "a", None, True, False)], parent))
-    states.append(orphans.found(state).first().ref_state)
-    assert states == ["missing", 0, "deleted"]
+    for what in ("arrive", "delete", "arrive"):  # a deleted target stays deleted
+        state = orphans.step(state, one([], orphans.REFS), one([("d", "a", what, t - timedelta(1))], orphans.EVENTS))
+        states.append([r.ref_state for r in orphans.found(state).collect()])
+    assert states == ["missing", [], ["deleted"], ["deleted"]]
+
+
+def test_a_small_batch_touches_its_buckets_only(spark):
+    rows = [("d", f"k{i}", "s", "f", f"r{i}", datetime(2024, 1, 1)) for i in range(200)]
+    state = orphans.step(orphans.Orphans.empty(spark, 16), spark.createDataFrame(rows, orphans.REFS), spark.createDataFrame([], orphans.EVENTS))
+    after = orphans.step(state, spark.createDataFrame([], orphans.REFS), spark.createDataFrame([("d", "k7", "arrive", None)], orphans.EVENTS))
+    assert sum(state.ref_paths[b] != after.ref_paths[b] for b in state.ref_paths) == 1 and len(state.ref_paths) == 16
+    assert orphans.found(after).count() == 199 and orphans.step(after, spark.createDataFrame([], orphans.REFS), spark.createDataFrame([], orphans.EVENTS)) == after
+
+
+def test_snapshots_show_what_reopens(spark):
+    by = {}
+    for r in orphans.snapshots(spark, "/root/testdata/sf0.001").collect():
+        by[r.period, r.ref_state] = by.get((r.period, r.ref_state), 0) + r.orphans
+    assert 0 <= by.get((1, "deleted"), 0) < by[orphans.PERIODS, "deleted"]
+    seen = [{tuple(r)[:3]: r.ref_state for r in s.refs().select("source_table", "field_name", "record_key", "ref_state").collect()} for s in orphans.replayed(spark, "/root/testdata/sf0.001")]
+    assert any(seen[-1].get(k) == "deleted" and v is None for before in seen[:-1] for k, v in before.items())  # valid once, then reopened
 
 
 def docx() -> bytes:
@@ -183,6 +201,6 @@ def test_windowed_counts(spark, tmp_path):
 
 
 def test_orphan_monitor(spark):
-    refs, parents, raw_refs, raw_parents = history(spark, 9)
-    counts = ingest.OrphanMonitor(spark).update(refs, parents)
-    assert counts.agg(F.sum("orphans")).first()[0] == len(expected(raw_refs, raw_parents))
+    refs, events, raw_refs, raw_events = history(spark, 9)
+    counts = ingest.OrphanMonitor(spark).update(refs, events)
+    assert counts.agg(F.sum("orphans")).first()[0] == len(expected(raw_refs, raw_events))
