@@ -99,25 +99,34 @@ def test_packing(spark):
 
 
 ANSWERS = [f"风机阈值应当每{u}核对一次，记录保存三年[1]。接地电阻由{u}负责。" for u in "日周月季年"] * 8 + ["The valve opens twice. Keep the log for three years."] * 20 + ["Die Pumpe läuft täglich. Der Bericht folgt später."] * 20
-ODDS = pairs.train(ANSWERS)
 ZH, EN, DE = "风机的接地阈值如何核对？", "How is the valve tested before the pump?", "Wie wird die Pumpe bei der Abnahme geprüft?"
+ASKED = [f"{a}的{b}如何{c}？" for a in ("锅炉", "电缆", "阀门", "叉车") for b in ("流量", "温度", "附件") for c in ("确认", "归档")] + [f"How is the {a} checked after the {b}?" for a in ("motor", "cable", "filter") for b in ("test", "shift")]
+MODELS = pairs.learnt([(ASKED[i % len(ASKED)], a) for i, a in enumerate(ANSWERS)])
 PAIRS = [
     (ZH, None, "empty"), (ZH, "", "empty"), (ZH, "[1][2] ——。", "empty"), (ZH, "​", "empty"), (None, "风机应当核对。", None), ("", "风机应当核对。", None),
     (ZH, "抱歉，我无法回答这个问题，请咨询管理员。", "refusal"), (ZH, "抱歉让您久等，风机应当每日核对。", None), (EN, "I'm sorry, but I can't provide that information. Is there anything else?", "refusal"), (DE, "Leider ich kann diese Frage nicht beantworten.", "refusal"), (DE, "Leider gilt die alte Regel nicht mehr: Die Pumpe läuft täglich.", None),
     (ZH, ZH, "copies_question"), (ZH, f"您的问题是：{ZH}", "copies_question"), (ZH, f"**{ZH[:-1]}**[1]", "copies_question"), (EN, EN.upper(), "copies_question"), (ZH, ZH + ZH, "copies_question"), (ZH, ZH + "风机应当每日核对一次。", None),
     (ZH, "The valve is opened by the pump before the test.", "wrong_language"), (ZH + "（请用英文回答）", "The valve is opened by the pump before the test.", None), (ZH + "（请用英文回答）", "风机应当每日核对一次。", "wrong_language"), (EN, "Die Pumpe läuft mit der Anlage.", "wrong_language"), (ZH, "この資料では手順を確認してから担当へ連絡します。", "wrong_language"), (ZH, "参照“The valve is opened”核对风机。", None), (ZH, "风机核对。\n| pump | valve |\n|---|---|\n| tank | 9 |", None),
-    (ZH, "53台[1]", None), (ZH, "是", None), (EN, "Twice a week [1]", None), (DE, "32 Tage", None), (ZH, "风机应当每日核对一次，接地电阻的", "truncated"), (ZH, "风机应当每日核对。例如：", "truncated"), (ZH, "风机应当每日核对。对于计划……", "truncated"), (ZH, "1. 风机应当每日核对。\n2.", "truncated"), (EN, "The valve opens twice. the pump is tes", "truncated"),
+    (ZH, "53台[1]", None), (ZH, "是", None), (EN, "Twice a week [1]", None), (DE, "32 Tage", None), (ZH, "风机应当每日核对一次，接地电阻的", "truncated"), (ZH, "风机应当每日核对。例如：", "truncated"), (ZH, "风机应当每日核对。对于计划……", "truncated"), (ZH, "1. 风机应当每日核对。\n2.", "truncated"), (EN, "The valve opens twice. the pump is tes", "truncated"), (ZH, "1. 风机应当每日核对。\n2. 接地电阻由专人负责。\n3.", "truncated"),
+    # wordings that no list holds as they stand
+    (EN, "I'd rather not go into that topic.", "refusal"), (ZH, "恕不作答。", "refusal"), (DE, "Dazu darf ich nichts sagen.", "refusal"), (ZH, "这个问题我不便评论。", "refusal"), (EN, "I must decline to answer that.", "refusal"), (DE, "Darüber möchte ich nicht sprechen.", "refusal"), (ZH, "对不起，我没有权限透露这些内容。", "refusal"),
+    (EN, "I cannot answer that fully, but the valve opens twice a day.", None), (ZH, "无法确认具体日期，但风机每周核对一次。", None), (ZH, "我" + "真的" * 200 + "无法回答。", "refusal"),
+    (EN, "How is the valve really tested before the pump?", "copies_question"), (EN, "Before the pump how is the valve tested?", "copies_question"), (EN, "I shall restate this for you: " + EN, "copies_question"), (ZH, (ZH + " ") * 20, "copies_question"), (ZH, (ZH + "\n") * 3000, "copies_question"), (ZH, "请允许我复述：" + ZH, "copies_question"), ("啊？", "啊？", "copies_question"),
+    (EN, EN + " Twice a week.", None), (EN, "The valve is tested before the pump twice a week.", None), (ZH, "风机的接地阈值每周核对一次。", None),
+    (ZH, "La pompe est vérifiée chaque jour par le responsable de la station avant la mise en service.", "wrong_language"), (EN, "La bomba se revisa cada día por el responsable de la estación antes de la puesta en marcha.", "wrong_language"), (ZH, "Насос проверяется каждый день перед запуском станции.", "wrong_language"), (ZH, "펌프는 매일 시작하기 전에 점검합니다.", "wrong_language"), (ZH + "（请用法语回答）", "La pompe est vérifiée chaque jour par le responsable de la station.", None), (EN, "阀门每天检查两次。", "wrong_language"),
 ]
 
 
 @pytest.mark.parametrize(("question", "answer", "kind"), PAIRS)
 def test_defects(question, answer, kind):
-    assert pairs.defect(question, answer, ODDS) == kind
+    assert pairs.defect(question, answer, MODELS) == kind
 
 
 def test_broken_pairs(spark):
-    rows = [(f"{i}", "log", q, a, False) for i, (q, a, _) in enumerate(PAIRS)] + [(f"a{i}", "log", ZH, a, False) for i, a in enumerate(ANSWERS)]
+    rows = [(f"{i}", "log", q, a, False) for i, (q, a, _) in enumerate(PAIRS)] + [(f"a{i}", "log", ASKED[i % len(ASKED)], a, False) for i, a in enumerate(ANSWERS)]
     rows += [("c1", "cache", ZH, None, True), ("c2", "cache", ZH, "{}", True), ("c3", "cache", ZH, '{"answer": "风机应', True), ("c4", "cache", ZH, '{"answer":"\\u98ce\\u673a\\u6838\\u5bf9\\u3002"}', True), ("c5", "cache", ZH, "[]", True), ("c1", "cache", ZH, None, True)]
     got = {r.key: r.defect for r in pairs.broken(spark.createDataFrame(rows, "key string, source string, question string, answer string, cached boolean")).collect()}
     assert {k: v for k, v in got.items() if k[0] == "c"} == {"c1": "empty", "c2": "empty", "c3": "truncated", "c5": "empty"}
-    assert sum(got.get(str(i)) == kind for i, (_, _, kind) in enumerate(PAIRS)) >= len(PAIRS) - 1
+    # the sample holds the broken answers too; what they make of endings and copies may differ, the rest may not
+    wrong = {i for i, (_, _, kind) in enumerate(PAIRS) if got.get(str(i)) != kind}
+    assert all({PAIRS[i][2], got.get(str(i))} <= {None, "truncated", "copies_question"} for i in wrong) and len(wrong) <= 3, wrong
