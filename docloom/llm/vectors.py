@@ -1,19 +1,23 @@
 """The most similar vectors for every vector (problem 6), by an inverted multi-index.
 
 Fitting: each half of the unit vectors gets a codebook of K centroids by
-k-means on a bounded sample (``SAMPLE`` vectors, those with the smallest hashed
-ids). Indexing: every vector lies in the cell of its two nearest half
-centroids. Search: a query walks the centroid pairs in order of summed distance
-with a heap until the cells it met hold ``candidates`` vectors, and reranks
-their entries by exact cosine in double precision.
-
+k-means on a bounded sample (the vectors with the smallest hashed ids). K grows
+with the root of the number of vectors, so a cell holds about ``CELL`` of them at any size up to ``BOOK`` centroids.
+Indexing: every vector lies in the cell of its two nearest half centroids.
+Search: a query walks the centroid pairs in order of summed distance with a
+heap until the cells it met hold enough candidates, and reranks their entries
+by exact cosine of the original numbers in double precision. How many are enough is measured: for a
+bounded sample of queries the true neighbours are found by brute force, and the walk goes as far
+as ``recall`` of them need.
+
+Entries are shuffled once by cell, queries once to each cell they walk to, so
+the shuffle grows in proportion to the vectors. Only a cell of more than ``ENTRIES`` entries
+or ``QUERIES`` queries is cut into pieces, each pair of pieces being a task group of its own.
 Equal vectors are one class in the index, so a vector held by a third of all
-rows costs one entry; its members are ranked afterwards. Entries and queries of
-one first-half centroid are cut into pieces of bounded size, each pair of
-pieces being a task group of its own, so a crowded centroid spreads over tasks.
+rows costs one entry; its members are ranked afterwards.
 
 Vectors that are null, all zero, not of ``dim`` numbers or hold a null, a NaN or
-an infinite number take no part. Ties are broken by the smaller id. A row that
+an infinite number take no part. Cosines that agree to 9 digits are ties, broken by the smaller id. A row that
 comes twice counts once.
 """
 
@@ -33,12 +37,15 @@ from docloom.runtime import drop_keys, hashed_sample, stage
 
 DIM = 64
 SAMPLE = 20_000
-CANDIDATES = 2000
-ENTRIES, QUERIES = 4096, 8192
+#: Entries of a cell on average, and most centroids of a codebook (the counts of its cells are 4 MB at most).
+CELL, BOOK = 128, 1024
+#: Queries whose true neighbours are found by brute force, the share of these that the walk must reach, and the least candidates of a walk.
+PROBES, RECALL, LEAST = 512, 0.998, 500
+ENTRIES, QUERIES = 8192, 8192
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
-    """(key, v): unit vectors as bytes of float32, of the rows that take part."""
+    """(key, v): the vectors as bytes of float32, of the rows that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,15 +55,18 @@ def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             norm = np.sqrt((x * x).sum(axis=1))
             good = np.isfinite(norm) & (norm > 0)
-            unit = np.ascontiguousarray((x[good] / norm[good, None]).astype(np.float32))
-            raw = pa.Array.from_buffers(pa.binary(dim * 4), len(unit), [None, pa.py_buffer(unit.tobytes())]).cast(pa.binary())
+            own = np.ascontiguousarray(x[good].astype(np.float32))
+            own[own == 0] = 0  # -0.0 equals 0.0
+            raw = pa.Array.from_buffers(pa.binary(dim * 4), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), raw], names=["key", "v"])
 
     return df.where(F.col(key).isNotNull()).select(key, vector).mapInArrow(run, "key long, v binary").distinct()
 
 
 def unpack(raw: list[bytes], dim: int = DIM) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -84,11 +94,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
 
 
 def fit(vectors: DataFrame, count: int, dim: int = DIM, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Codebooks of the two halves, from the ``sample`` vectors whose ids hash smallest. K grows with the root of the count, up to 256."""
-    picked = hashed_sample(vectors.select("key", "v"), sample, "key").select("v").toPandas()
-    x = unpack([bytes(v) for v in picked["v"]], dim).astype(np.float64)
-    k = min(len(x), max(4, min(256, int(np.sqrt(count) / 8))))
-    half = dim // 2
+    """Codebooks of the two halves, from the ``sample`` vectors whose ids hash smallest, at most 40 for each centroid more."""
+    k = max(2, min(BOOK, int(np.sqrt(count / CELL))))
+    picked = hashed_sample(vectors.select("key", "v"), max(sample, 40 * k), "key").select("v").toPandas()
+    x = unpack([bytes(v) for v in picked["v"]], dim)
+    k, half = min(k, len(x)), dim // 2
     return kmeans(x[:, :half], k), kmeans(x[:, half:], k)
 
 
@@ -111,8 +121,48 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, candidates: int) ->
     return cells
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int = DIM, candidates: int = CANDIDATES, floor: float = -1.0) -> DataFrame:
-    """(query, other, cosine): up to k most similar other rows of ``vectors`` for every row of ``queries`` (both (key, v)), of at least ``floor``."""
+def needed(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int, floor: float, dim: int = DIM, probes: int = PROBES, recall: float = RECALL) -> int:
+    """Candidates that reach ``recall`` of the true neighbours of a sample of queries, with a fifth more."""
+    asked = hashed_sample(index.select("key", "v"), probes, "key").collect()
+    ids, q = np.array([r.key for r in asked]), unpack([bytes(r.v) for r in asked], dim)
+    told, half = index.sparkSession.sparkContext.broadcast((ids, q)), dim // 2
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, mat = told.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, own = unpack(b.column(1).to_pylist(), dim), b.column(0).to_numpy()
+            cos = mat @ x.T
+            cos[names[:, None] == own[None, :]] = -2
+            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            r, c = np.repeat(np.arange(len(names)), top.shape[1]), top.ravel()
+            keep = cos[r, c] >= floor
+            r, c = r[keep], c[keep]
+            take = pa.array(c)
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(np.round(cos[r, c], 9)), b.column(0).take(take), b.column(2).take(take), b.column(3).take(take)], names=["q", "cosine", "key", "i", "j"])
+
+    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "key")
+    near = index.mapInArrow(best, "q int, cosine double, key long, i int, j int").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    want = []
+    walks: dict[int, dict[tuple[int, int], int]] = {}
+    d1, d2 = nearest(q[:, :half], books[0]), nearest(q[:, half:], books[1])
+    for r in near.collect():  # at most probes x k rows
+        if r.q not in walks:
+            held, at = 0, {}
+            for cell in walk(d1[r.q], d2[r.q], counts, int(counts.sum())):
+                at[cell] = held  # entries met before this cell
+                held += counts[cell]
+            walks[r.q] = at
+        want.append(walks[r.q][r.i, r.j] + 1)
+    return max(LEAST, int(1.2 * float(np.quantile(want, recall))) if want else 0)
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int = DIM, candidates: int | None = None, floor: float = -1.0) -> DataFrame:
+    """(query, other, cosine): up to k most similar other rows of ``vectors`` for every row of ``queries`` (both (key, v)), of at least ``floor``.
+
+    ``candidates`` fixes how far a walk goes; by default it is measured.
+    """
     spark = vectors.sparkSession
     total = vectors.count()
     if not total:
@@ -129,83 +179,72 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int = DIM, c
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names=["key", "v", "i", "j"])
 
     index = stage(vectors.select("key", "v").mapInArrow(assign, "key long, v binary, i int, j int"), "cells")
-    # at most 256 x 256 cells and 256 rows, whatever the number of vectors
-    counts = np.zeros((len(c1), len(c2)), np.int64)
+    # at most BOOK x BOOK cells, whatever the number of vectors
+    counts = np.zeros((len(c1), len(c2)), np.int32)
     for i, j, n in index.groupBy("i", "j").count().collect():
         counts[i, j] = n
+    enough = candidates or needed(index, (c1, c2), counts, k, floor, dim)
     table = spark.sparkContext.broadcast(counts)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
         for b in batches:
-            at, row, firsts, seconds = [], [], [], []
+            row, cell = [], []
             if b.num_rows:
                 x = unpack(b.column(1).to_pylist(), dim)
                 for r, (d1, d2) in enumerate(zip(nearest(x[:, :half], one), nearest(x[:, half:], two))):
-                    by: dict[int, list[int]] = {}
-                    for i, j in walk(d1, d2, table.value, candidates):
-                        by.setdefault(i, []).append(j)
-                    for i, js in by.items():
-                        row.append(r)
-                        firsts.append(i)
-                        seconds.append(js)
+                    own = walk(d1, d2, table.value, enough)
+                    row += [r] * len(own)
+                    cell += [i * len(two) + j for i, j in own]
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(firsts, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], names=["query", "q", "i", "js"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell, pa.int32())], names=["key", "v", "cell"])
+
+    probes = stage(queries.select("key", "v").mapInArrow(probe, "key long, v binary, cell int"), "probes")
+    asked = np.zeros(counts.size, np.int64)
+    for c, n in probes.groupBy("cell").count().collect():  # at most BOOK x BOOK rows
+        asked[c] = n
+    crowded = [(int(c), max(1, -(-int(counts.flat[c]) // ENTRIES)), max(1, -(-int(asked[c]) // QUERIES))) for c in np.flatnonzero((counts.ravel() > ENTRIES) | (asked > QUERIES))]
+    pieces = F.broadcast(spark.createDataFrame(crowded, "cell int, e int, n int"))  # crowded cells only, at most total / ENTRIES + asks / QUERIES of them
 
-    probes = stage(queries.select("key", "v").mapInArrow(probe, "query long, q binary, i int, js array<int>"), "probes")
-    asked = dict(probes.groupBy("i").count().collect())
-    epieces = [max(1, -(-int(n) // ENTRIES)) for n in counts.sum(1)]
-    qpieces = [max(1, -(-int(asked.get(i, 0)) // QUERIES)) for i in range(len(c1))]
-    pieces = spark.createDataFrame([(i, e, q) for i, (e, q) in enumerate(zip(epieces, qpieces))], "i int, e int, n int")
-    pieces = F.broadcast(pieces)  # one row for each first-half centroid, at most 256
-    entries = index.join(pieces, "i").select("i", F.pmod(F.xxhash64("key"), "e").cast("int").alias("ep"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("qp"), "key", "v", "j")
-    asks = probes.join(pieces, "i").select("i", F.explode(F.sequence(F.lit(0), F.col("e") - 1)).alias("ep"), F.pmod(F.xxhash64("query"), "n").cast("int").alias("qp"), "query", "q", "js")
+    def cut(rows: DataFrame, own: str, other: str, own_piece: str, other_piece: str) -> DataFrame:
+        """Rows of a crowded cell: in one piece of their own side, and once for every piece of the other."""
+        return rows.join(pieces, "cell", "left").select(
+            "cell", F.pmod(F.xxhash64("key"), F.coalesce(own, F.lit(1))).cast("int").alias(own_piece), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other_piece), "key", "v"
+        )
+
+    entries = cut(index.select((F.col("i") * len(c2) + F.col("j")).alias("cell"), "key", "v"), "e", "n", "ep", "qp")
+    asks = cut(probes, "n", "e", "qp", "ep")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "cosine": pd.Series([], dtype="float64")})
         if left.empty or right.empty:
             return none
-        left = left.sort_values("j", kind="stable")
-        e, ids, cell = unpack(left["v"].tolist(), dim).astype(np.float64), left["key"].to_numpy(), left["j"].to_numpy()
-        e /= np.sqrt((e * e).sum(1))[:, None]
-        q = unpack(right["q"].tolist(), dim).astype(np.float64)
-        q /= np.sqrt((q * q).sum(1))[:, None]
-        who = right["query"].to_numpy()
-        width = right["js"].map(len).to_numpy()
-        rows, js = np.repeat(np.arange(len(right)), width), np.concatenate(right["js"].tolist())
-        order = np.argsort(js, kind="stable")
-        rows, js = rows[order], js[order]
+        left = left.sort_values("key", kind="stable")
+        e, ids = unpack(left["v"].tolist(), dim), left["key"].to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for j in np.unique(js):
-            a, z = np.searchsorted(cell, [j, j + 1])
-            if a == z:
-                continue
-            mine = rows[np.searchsorted(js, j) : np.searchsorted(js, j + 1)]
-            cos = q[mine] @ e[a:z].T
-            cos[who[mine][:, None] == ids[None, a:z]] = -2
-            if z - a > k and floor <= -1:
-                keep = np.zeros_like(cos, bool)
-                np.put_along_axis(keep, np.argpartition(-cos, k - 1, axis=1)[:, :k], True, axis=1)
-                keep &= cos > -2
-            else:
-                keep = cos >= max(floor, -1.5)
-            r, c = np.nonzero(keep)
-            out.append((who[mine[r]], ids[a + c], cos[r, c]))
-        if not out:
-            return none
-        got = pd.DataFrame({n: np.concatenate([o[x] for o in out]) for x, n in enumerate(("query", "other", "cosine"))})
-        got = got.sort_values(["query", "cosine", "other"], ascending=[True, False, True])
-        return got[got.groupby("query").cumcount() < k]
-
-    part = ["i", "ep", "qp"]
+        for at in range(0, len(right), 1024):
+            part = right.iloc[at : at + 1024]
+            who, q = part["key"].to_numpy(), unpack(part["v"].tolist(), dim)
+            cos = np.round(q @ e.T, 9)
+            cos[who[:, None] == ids[None, :]] = -2
+            # few reach the floor; where more than k do, the best k by cosine, then id
+            r, c = np.nonzero(cos >= max(floor, -1.5))
+            order = np.lexsort((ids[c], -cos[r, c], r))
+            r, c = r[order], c[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c = r[place < k], c[place < k]
+            out.append((who[r], ids[c], cos[r, c]))
+        return pd.DataFrame({n: np.concatenate([o[x] for o in out]) for x, n in enumerate(("query", "other", "cosine"))})
+
+    part = ["cell", "ep", "qp"]
     local = entries.groupBy(*part).cogroup(asks.groupBy(*part)).applyInPandas(rerank, "query long, other long, cosine double")
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "other")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
-def similar_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embeddings", k: int = 5, least: float = 0.9, dim: int = DIM, candidates: int = CANDIDATES) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embeddings", k: int = 5, least: float = 0.9, dim: int = DIM, candidates: int | None = None) -> DataFrame:
     """(a, b), a < b, with a cosine of at least ``least`` where one is among the k most similar of the other; equal vectors rank by id."""
-    rows = stage(usable(df, key, vector, dim), "unit")
+    rows = stage(usable(df, key, vector, dim), "usable")
     dups = stage(copies(rows, "key", "v"), "copies")
     reps = stage(drop_keys(rows, dups.select("key"), "key"), "reps")
     near = stage(neighbours(reps, reps, k, dim, candidates, least - 1e-9), "near")
