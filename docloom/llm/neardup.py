@@ -12,8 +12,8 @@
 
 Error: a pair of similarity s misses all bands with probability (1 - s^4)^40,
 0.4 % at 0.6 and under 0.01 % from 0.68 on; the radius is four standard
-deviations beyond the mean distance at the threshold. No bucket is capped: its
-block pairs are rows of their own and spread over tasks.
+deviations beyond the mean distance at the threshold. No bucket is capped: a
+crowded one is numbered in pieces, and its block pairs are rows of their own and spread over tasks.
 
 Exact copies are compared once for their class. Null texts and texts of under
 ``least`` characters (at least n) take part in nothing.
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.copies import copies, copy_pairs, spread
 from docloom.llm.graph import components
+from docloom.llm.skew import CALM, crowded, dealt
 from docloom.llm.spans import blocks
 from docloom.llm.winnow import encode, gram_hashes, mix
 from docloom.runtime import drop_keys, keep_keys, sized, stage, text_key
@@ -88,18 +89,23 @@ def sketched(df: DataFrame, n: int) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, bands array<long>, sketch binary")
 
 
-def tiles(signed: DataFrame) -> DataFrame:
-    """(bucket, blk, m): every bucket of two or more records in blocks of LANES members (id, sketch)."""
+def tiles(signed: DataFrame, calm: int = CALM) -> DataFrame:
+    """(bucket, blk, m): every bucket of two or more records in blocks of LANES members (id, sketch); a crowded bucket is dealt in pieces."""
+    met = signed.select(F.explode("bands").alias("bucket"), "id")
+    hot = crowded(met, "bucket", calm)
     w = Window.partitionBy("bucket").orderBy("id")
-    met = (
-        signed.select(F.explode("bands").alias("bucket"), "id")
+    calm_rows = met if hot is None else met.join(sized(hot), "bucket", "left_anti")
+    blocked = (
         # a repeated row repeats its id; both windows run over one sort
-        .withColumn("before", F.lag("id").over(w)).where("before is null or before <> id")
+        calm_rows.withColumn("before", F.lag("id").over(w)).where("before is null or before <> id")
         .select("bucket", "id", F.row_number().over(w).alias("rn"), F.lead("id").over(w).alias("next"))
         .where("rn > 1 or next is not null").select("bucket", "id", F.floor((F.col("rn") - 1) / LANES).cast("int").alias("blk"))
     )
+    if hot is not None:
+        many = met.join(sized(hot.select("bucket")), "bucket", "left_semi").distinct()
+        blocked = blocked.unionByName(dealt(many, "bucket", ["id"], LANES, calm=calm).select("bucket", "id", "blk"))
     return (
-        met.join(signed.select("id", "sketch").dropDuplicates(["id"]), "id")
+        blocked.join(signed.select("id", "sketch").dropDuplicates(["id"]), "id")
         .groupBy("bucket", "blk").agg(F.collect_list(F.struct("id", "sketch")).alias("m"))
     )
 

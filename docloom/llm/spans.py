@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.copies import copies, copy_pairs, spread
+from docloom.llm.skew import CALM, crowded, dealt
 from docloom.llm.winnow import encode, run_hashes, winnow
 from docloom.runtime import drop_keys, keep_keys, sized, stage
 
@@ -82,12 +83,13 @@ def edges(docs: DataFrame, key: str, text: str, min_span: int = MIN_SPAN) -> Dat
     return source.mapInArrow(run, f"edge long, head long, tail long, id {kind}, start int, stop int")
 
 
-def repeated_edges(all_edges: DataFrame) -> DataFrame:
-    """Edges with more than one occurrence. One shuffle; neighbours in the sorted stream tell, so nothing is collected per edge."""
+def repeated_edges(all_edges: DataFrame, calm: int = CALM) -> DataFrame:
+    """Edges with more than one occurrence; all_edges should be staged. Neighbours in the sorted stream tell, so nothing is collected per edge; a crowded edge needs no sort."""
+    hot = crowded(all_edges, "edge", calm)
     w = Window.partitionBy("edge").orderBy("id", "start")
-    return (
-        all_edges.withColumn("more", F.lag("id").over(w).isNotNull() | F.lead("id").over(w).isNotNull()).where("more").drop("more")
-    )
+    rest = all_edges if hot is None else all_edges.join(sized(hot), "edge", "left_anti")
+    out = rest.withColumn("more", F.lag("id").over(w).isNotNull() | F.lead("id").over(w).isNotNull()).where("more").drop("more")
+    return out if hot is None else out.unionByName(all_edges.join(sized(hot.select("edge")), "edge", "left_semi"))
 
 
 def unitigs(rep: DataFrame, k: int) -> DataFrame:
@@ -149,12 +151,10 @@ def _surroundings(group: DataFrame, docs: DataFrame, key: str, text: str, min_sp
 def meet(groups: DataFrame, block: int = HOT) -> DataFrame:
     """(a, b, start_a, start_b), a < b, of members of one group.
 
-    Members are numbered per group and dealt into blocks; block pairs are joined
+    Members are dealt into blocks, those of a crowded group in pieces; block pairs are joined
     by key, so a group of any size spreads over tasks in pieces of block x block.
     """
-    w = Window.partitionBy("unitig").orderBy("id", "start")
-    dealt = groups.withColumn("blk", F.floor((F.row_number().over(w) - 1) / block).cast("int"))
-    tiles = dealt.groupBy("unitig", "blk").agg(F.collect_list(F.struct("id", "start")).alias("m"))
+    tiles = dealt(groups, "unitig", ["id", "start"], block).groupBy("unitig", "blk").agg(F.collect_list(F.struct("id", "start")).alias("m"))
     left = tiles.select("unitig", F.explode(F.expr("sequence(0, blk)")).alias("other"), "blk", F.col("m").alias("mb"))
     right = tiles.select("unitig", F.col("blk").alias("other"), F.col("m").alias("ma"))
     return (
@@ -192,18 +192,18 @@ def _common(x: str, y: str) -> int:
     return lo
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> tuple[DataFrame, DataFrame]:
-    """(spans, dups): verified maximal spans (a, b, start_a, start_b, len) of at least min_span characters
-    between records with different texts, a < b, and the staged copies of docs."""
+def _paths(docs: DataFrame, key: str, text: str, min_span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(staged unitig occurrences, staged sizes (unitig, n, len) of those with more than HOT occurrences, staged copies)."""
     dups = stage(copies(docs.where(F.length(text) >= min_span), key, text), "copies")
     # copies go before anything is shuffled, so a text that a third of all records hold gives its edges once
     rep = repeated_edges(edges(drop_keys(docs.select(key, text), dups.select(key), key), key, text, min_span))
     paths = stage(unitigs(rep, geometry(min_span)[0]), "unitigs")
-    hot = paths.groupBy("unitig").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("start")).alias("len")).where((F.col("n") > HOT) & (F.col("len") < min_span)).select("unitig")
-    hot = stage(hot, "hot")
-    groups = paths.join(sized(hot), "unitig", "left_anti").select("unitig", "id", "start")
-    if not hot.isEmpty():
-        groups = groups.unionByName(_surroundings(paths.join(sized(hot), "unitig", "left_semi"), docs, key, text, min_span))
+    many = paths.groupBy("unitig").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop") - F.col("start")).alias("len")).where(F.col("n") > HOT)
+    return paths, stage(many, "many"), dups
+
+
+def _verified(groups: DataFrame, docs: DataFrame, key: str, text: str, min_span: int) -> DataFrame:
+    """(a, b, start_a, start_b, len): maximal spans of at least min_span characters of the members of groups(unitig, id, start), compared in their texts."""
     # one candidate for each pair and diagonal
     cands = (
         meet(groups).groupBy("a", "b", (F.col("start_b") - F.col("start_a")).alias("shift"))
@@ -218,7 +218,24 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
         .withColumn("e", extend("ta", "tb", "start_a", F.col("start_a") + F.col("shift")))
     )
     spans = both.select("a", "b", (F.col("start_a") - F.col("e.left")).alias("start_a"), (F.col("start_a") + F.col("shift") - F.col("e.left")).alias("start_b"), (F.col("e.left") + F.col("e.right")).alias("len"))
-    return spans.where(F.col("len") >= min_span).distinct(), dups
+    return spans.where(F.col("len") >= min_span).distinct()
+
+
+def _told_apart(paths: DataFrame, many: DataFrame, docs: DataFrame, key: str, text: str, min_span: int, pairs: bool) -> DataFrame:
+    """(unitig, id, start) of the occurrences to be compared: those of crowded short unitigs under their surroundings, those of crowded long ones only if pairs are wanted."""
+    short = many.where(F.col("len") < min_span).select("unitig")
+    apart = short if pairs else many.select("unitig")
+    groups = paths.join(sized(apart), "unitig", "left_anti").select("unitig", "id", "start")
+    if not short.isEmpty():
+        groups = groups.unionByName(_surroundings(paths.join(sized(short), "unitig", "left_semi"), docs, key, text, min_span))
+    return groups
+
+
+def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> tuple[DataFrame, DataFrame]:
+    """(spans, dups): verified maximal spans (a, b, start_a, start_b, len) of at least min_span characters
+    between records with different texts, a < b, and the staged copies of docs."""
+    paths, many, dups = _paths(docs, key, text, min_span)
+    return _verified(_told_apart(paths, many, docs, key, text, min_span, pairs=True), docs, key, text, min_span), dups
 
 
 def sharing_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
@@ -227,16 +244,49 @@ def sharing_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return spread(spans.select("a", "b").distinct(), dups, key).unionByName(copy_pairs(dups, key)).distinct()
 
 
+def reaches(group: DataFrame, docs: DataFrame, key: str, text: str, min_span: int = MIN_SPAN) -> DataFrame:
+    """(id, s, e) for occurrences (unitig, id, start, stop) of unitigs of min_span characters or more: how far the text around each is the same in another record.
+
+    No pairs are made. The longest context that another record shares is found by doubling: in each round a context of so many more characters is
+    kept where two records have it, told by the smallest and largest id of its hash. A context of two windows and an anchor is enough, as
+    records that agree further have the next edge in common, and its path covers what follows.
+    """
+    k, window = geometry(min_span)
+    reach = 1 << (2 * window + k).bit_length()
+    doc = F.col("doc")
+    ends = group.groupBy("unitig").agg((F.min("id") != F.max("id")).alias("several")).where("several").select("unitig")
+    rows = group.join(ends, "unitig", "left_semi").join(docs.select(F.col(key).alias("id"), F.col(text).alias("doc")).dropDuplicates(["id"]), "id")
+    left = F.reverse(F.expr(f"substring(doc, greatest(start - {reach - 1}, 0) + 1, least(start, {reach - 1}))"))
+    right = F.substring(doc, F.col("stop") + 1, F.lit(reach - 1))
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), left.alias("c")), F.struct(F.lit("r").alias("side"), right.alias("c")))).alias("x")
+    state = stage(rows.select("unitig", "id", "start", "stop", sides).select("unitig", "id", "start", "stop", "x.side", "x.c", F.lit(0).alias("n")), "contexts")
+    step = reach // 2
+    while step:
+        more = F.col("n") + step
+        tried = state.withColumn("h", F.when(F.length("c") >= more, F.xxhash64("unitig", "side", more, F.expr(f"substring(c, 1, n + {step})"))))
+        shared = tried.where("h is not null").groupBy("h").agg((F.min("id") != F.max("id")).alias("two")).where("two")
+        state = tried.join(shared, "h", "left").withColumn("n", F.when(F.col("two"), more).otherwise(F.col("n"))).drop("h", "two")
+        step //= 2
+    wide = stage(state.select("unitig", "id", "start", "stop", "side", "n"), "reaches").groupBy("unitig", "id", "start", "stop").agg(
+        F.max(F.when(F.col("side") == "l", F.col("n"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("n"))).alias("r")
+    )
+    return wide.select("id", (F.col("start") - F.col("l")).alias("s"), (F.col("stop") + F.col("r")).alias("e"))
+
+
 def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
     """For every record that shares a span: its length, how many of its characters stand elsewhere too, and their share.
 
-    A copy is shared whole; other records by the union of their spans.
+    A copy is shared whole; other records by the union of their spans. A crowded path of min_span characters or more, such as boilerplate
+    in very many records, makes no pairs here, see ``reaches``.
     """
-    spans, dups = shared_spans(docs, key, text, min_span)
-    spans = stage(spans, "spans")
+    paths, many, dups = _paths(docs, key, text, min_span)
+    spans = stage(_verified(_told_apart(paths, many, docs, key, text, min_span, pairs=False), docs, key, text, min_span), "spans")
     ivals = spans.select(F.col("a").alias(key), F.col("start_a").alias("s"), (F.col("start_a") + F.col("len")).alias("e")).union(
         spans.select("b", "start_b", F.col("start_b") + F.col("len"))
     )
+    long = many.where(F.col("len") >= min_span).select("unitig")
+    if not long.isEmpty():
+        ivals = ivals.union(reaches(paths.join(sized(long), "unitig", "left_semi"), docs, key, text, min_span).select(F.col("id").alias(key), "s", "e"))
     w = Window.partitionBy(key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     own = ivals.withColumn("from", F.greatest("s", F.coalesce(F.max("e").over(w), F.lit(0)))).groupBy(key).agg(
         F.sum(F.greatest(F.col("e") - F.col("from"), F.lit(0))).cast("long").alias("own")

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from docloom.llm import copies, graph, leaks, neardup, spans, winnow
+from docloom.llm import copies, graph, leaks, neardup, skew, spans, winnow
 
 RNG = random.Random(1)
 SIGNS = "电缆风机接地计划排产仓储abcde fghij。，1234"
@@ -177,6 +177,50 @@ def test_hot_boilerplate_is_told_apart(spark):
     assert {tuple(r) for r in spans.sharing_pairs(df, min_span=120).collect()} == want
 
 
+def covered(docs, least):
+    """Characters of each text that stand in a stretch of ``least`` characters that another text has too."""
+    where = {}
+    for k, t in docs:
+        for i in range(len(t) - least + 1):
+            where.setdefault(t[i : i + least], set()).add(k)
+    out = {}
+    for k, t in docs:
+        own = {p for i in range(len(t) - least + 1) if len(where[t[i : i + least]]) > 1 for p in range(i, i + least)}
+        if own:
+            out[k] = len(own)
+    return out
+
+
+def test_crowded_long_boilerplate_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    plate, tails = text(180, rng), [text(90, rng) for _ in range(4)]
+    docs = [(i, text(rng.randrange(5, 60), rng) + (tails[i % 4][-rng.randrange(1, 70) :] if i % 3 else "") + plate + (tails[(i + 1) % 4][: rng.randrange(1, 80)] if i % 2 else "") + text(40, rng)) for i in range(75)]
+    docs += [(200, text(150, rng)), (201, docs[3][1][-150:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(spans, "HOT", 20)
+    paths, many, _ = spans._paths(df, "doc_id", "text", 80)
+    assert many.where("len >= 80").count() and spans._told_apart(paths, many, df, "doc_id", "text", 80, pairs=False).count() < spans._told_apart(paths, many, df, "doc_id", "text", 80, pairs=True).count()
+    assert {r.doc_id: r.shared_chars for r in spans.shared_share(df, min_span=80).collect()} == covered(docs, 80)
+
+
+def test_crowded_groups_are_dealt_in_pieces(spark):
+    rows = [(7 if i % 3 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, id long")
+    hot = skew.crowded(df, "k", calm=300)
+    assert [(r.k, r.n, r.pieces) for r in hot.collect()] == [(7, 2000, 7)] and skew.crowded(df, "k", calm=5000) is None
+    out = skew.dealt(df, "k", ["id"], 64, calm=300).collect()
+    blocks = {}
+    for r in out:
+        blocks.setdefault((r.k, r.blk), []).append(r.id)
+    own = sorted(b for k, b in blocks if k == 7)
+    assert own == list(range(len(own))) and max(map(len, blocks.values())) <= 64 and sorted(r.id for r in out) == list(range(3000))
+    bands = spark.createDataFrame([(i, [1, 100 + i % 40, 1000 + i]) for i in range(500)], "id long, bands array<long>").selectExpr("id", "bands", "cast('x' as binary) sketch")
+    shape = lambda calm: sorted((r.bucket, len(r.m)) for r in neardup.tiles(bands, calm).collect())
+    assert sum(n for b, n in shape(100) if b == 1) == sum(n for b, n in shape(10**6) if b == 1) == 500 and [x for x in shape(100) if x[0] != 1] == [x for x in shape(10**6) if x[0] != 1]
+    edges = spark.createDataFrame([(5 if i % 2 else i, i, 0) for i in range(900)] + [(2, 1000, 3)], "edge long, id long, start int")
+    assert spans.repeated_edges(edges, 100).count() == spans.repeated_edges(edges).count() == 452
+
+
 def test_a_path_ends_where_an_anchor_comes_again(spark):
     rng = random.Random(21)
     docs = []
