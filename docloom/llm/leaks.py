@@ -5,7 +5,7 @@ the rightmost smallest k-gram hash of every window is kept. Common hashes are
 hits; each is extended on the reduced texts to the whole common run. With
 k + window - 1 equal to the required run no run is missed.
 
-Null or short texts, on either side, leak nothing. A test item or a document
+Null or short texts, on either side, leak nothing. Every text of a key that comes with several takes part. A test item or a document
 that comes twice gives one row.
 """
 
@@ -77,18 +77,21 @@ def leaks(docs: DataFrame, items: DataFrame, min_run: int = MIN_RUN, key: str =
     The items' fingerprints are broadcast only if their measured number allows; else the hashes are joined by shuffle.
     """
     k = min(K, max(4, min_run // 2))
-    tests = stage(fingerprints(items, item, text, min_run, k).distinct(), "tests").select("fp", F.col("id").alias("item"), F.col("pos").alias("at"))
-    hits = fingerprints(docs, key, text, min_run, k).join(sized(tests), "fp")
+    # a text is named by its key and itself, so that a key with several texts keeps them apart
+    docs = docs.select(F.xxhash64(key, text).alias("_id"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    items = items.select(F.xxhash64(item, text).alias("_id"), F.col(item).alias("_key"), F.col(text).alias("_text"))
+    tests = stage(fingerprints(items, "_id", "_text", min_run, k).distinct(), "tests").select("fp", F.col("id").alias("item"), F.col("pos").alias("at"))
+    hits = fingerprints(docs, "_id", "_text", min_run, k).join(sized(tests), "fp")
     # hits on one diagonal belong together; all positions stay, as a diagonal may hold several runs
     hits = stage(hits.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats")), "hits")
-    need = stage(hits.select(F.col("id").alias(key)).distinct(), "need")
-    texts = keep_keys(docs.select(key, text), need, key).dropDuplicates([key]).select(F.col(key).alias("id"), reduced_text(text).alias("td"))
-    asked = items.where(F.length(text) >= min_run).select(F.col(item).alias("item"), reduced_text(text).alias("ti")).dropDuplicates(["item"])
+    need = stage(hits.select(F.col("id").alias("_id")).distinct(), "need")
+    texts = keep_keys(docs, need, "_id").dropDuplicates(["_id"]).select(F.col("_id").alias("id"), F.col("_key").alias(key), reduced_text("_text").alias("td"))
+    asked = items.where(F.length("_text") >= min_run).dropDuplicates(["_id"]).select(F.col("_id").alias("item"), F.col("_key").alias("_item"), reduced_text("_text").alias("ti"))
     both = (
         hits.join(texts, "id").join(asked, "item").withColumn("at", F.explode("ats"))
         .withColumn("e", extend("td", "ti", F.col("at") + F.col("shift"), "at"))
     )
     return (
         both.withColumn("run", F.col("e.left") + F.col("e.right")).where(F.col("run") >= min_run)
-        .groupBy(F.col("id").alias(key), F.col("item").alias(item)).agg(F.max("run").alias("run"))
+        .groupBy(key, F.col("_item").alias(item)).agg(F.max("run").alias("run"))
     )

@@ -9,7 +9,7 @@ is divided: into full containers of its own and a rest, which is packed like
 any other item.
 
 A null or empty text has no tokens and takes part as an item of size 0. Rows
-that repeat a key and text are packed once. Assignments follow from the keys
+that repeat a key and text are packed once; different texts of one key are items of their own. Assignments follow from the keys
 alone, so a task that runs again after a loss gives the same containers.
 """
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import stage
+from docloom.runtime import stage, text_key
 
 CAPACITY = 2048
 OPEN = 256
@@ -48,15 +48,16 @@ def encoder(vocabulary: str):  # noqa: ANN201
 
 
 def measured(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens) of every row; strings of special tokens are ordinary text."""
+    """(key, tokens, text_a, text_b) of every row, the last two naming the text; strings of special tokens are ordinary text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for b in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), b.column(3)], names=[key, "tokens", "text_a", "text_b"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, tokens long")
+    named = df.select(key, text, text_key(text).alias("t"))
+    return named.select(key, text, "t.a", "t.b").mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, tokens long, text_a long, text_b long")
 
 
 def best_fit(sizes: Iterable[int], capacity: int = CAPACITY, spaces: int = OPEN) -> Iterator[tuple[int, int]]:
@@ -90,7 +91,7 @@ def best_fit(sizes: Iterable[int], capacity: int = CAPACITY, spaces: int = OPEN)
 
 def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, spaces: int = OPEN, vocabulary: str = VOCABULARY, items: int = ITEMS) -> DataFrame:
     """(key, part from 0, token_from, tokens, container) of every text."""
-    sizes = stage(measured(df, key, text, vocabulary).distinct(), "tokens")
+    sizes = stage(measured(df, key, text, vocabulary).distinct().drop("text_a", "text_b"), "tokens")
     packers = max(1, -(-sizes.count() // items))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

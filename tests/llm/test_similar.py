@@ -269,4 +269,7 @@ def test_leaks(spark):
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, item_id int, pos int")
     it = spark.createDataFrame(items, "item_id long, text string")
     assert want and {(r.doc_id, r.item_id) for r in leaks.leaks(df, it).collect()} == want
+    two = spark.createDataFrame([(1, docs[1][1]), (1, text(90, rng)), (2, items[3][1]), (2, text(200, rng))], "doc_id long, text string")
+    twice = spark.createDataFrame([(3, text(200, rng)), (3, items[3][1])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(two, twice).collect()} >= {(2, 3)}
     assert leaks.leaks(df, it.limit(0)).count() == 0 and letters("Ａ b-Ⅷ") == letters("ａBⅧ")

@@ -88,7 +88,7 @@ def test_best_fit():
 
 def test_packing(spark):
     rng = random.Random(4)
-    rows = [(i, "word " * rng.randrange(400)) for i in range(80)] + [(900, None), (901, ""), (902, "<|endoftext|> " * 50), (5, "word"), (903, "lang " * 5000)]
+    rows = [(i, "word " * rng.randrange(400)) for i in range(80)] + [(900, None), (901, ""), (902, "<|endoftext|> " * 50), (5, "word"), (903, "lang " * 5000), (904, "one two"), (904, "two one")]
     rows.append(rows[0])
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, tokens int")
     out = packing.packed(df, "doc_id", "text", capacity=256, spaces=16).collect()
@@ -99,6 +99,7 @@ def test_packing(spark):
     assert sum(size.values()) == sum(len(packing.encoder(packing.VOCABULARY).encode_ordinary(t or "")) for _, t in set(rows))
     long = sorted((r.part, r.token_from, r.tokens) for r in out if r.doc_id == 903)
     assert [x[2] for x in long[:-1]] == [256] * (len(long) - 1) and [x[1] for x in long] == [256 * p for p in range(len(long))]
+    assert sum(r.doc_id == 904 for r in out) == 2  # two texts of one key and size
     assert {r.doc_id for r in out} == {k for k, _ in rows} and packing.packed(df.limit(0), "doc_id", "text").count() == 0
     again = packing.packed(df, "doc_id", "text", capacity=256, spaces=16).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
