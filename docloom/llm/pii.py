@@ -1,13 +1,16 @@
 """Personal details in free text (problem 3): found, listed and replaced by typed placeholders.
 
-Around every stretch that has the shape of a personal detail, or a word that
-announces one, lies a window. A character-level bidirectional LSTM with CRF
-transitions, trained in numpy from labelled spans (docloom.llm.pii_train), tags
-the windows; long ones are cut into overlapping windows. The spans of all
-windows of a text are reconciled: of overlapping spans the one that passes its
-type's check and is longest stands. The check holds a span against the shapes:
-a number or address the tagger accepts is taken from its first to its last
-character as the shape has it.
+A character-level bidirectional LSTM with CRF transitions, trained in numpy from
+labelled spans (docloom.llm.pii_train), reads every text whole, long ones in
+overlapping windows. The spans of all windows of a text are reconciled at once:
+what a window's edge cuts is united with what the next window sees, and of
+overlapping spans those stand whose CRF scores sum highest. A span is then held
+against the shapes of its type, which give a number or address its exact first
+and last character; a detail without one of the shapes stands as tagged.
+
+Characters the training did not know are read by their class: digit, letter,
+ideograph, and for ideographs whether names are written with them. No list
+decides what is a name.
 
 Null and empty texts hold nothing and stay as they are. Placeholders that stand
 in a text already are no details. A row that comes twice gives its details once.
@@ -15,12 +18,13 @@ in a text already are no details. A row that comes twice gives its details once.
 
 from __future__ import annotations
 
+import bisect
 import io
 import pkgutil
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +32,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import tagger
-from docloom.llm.pii_rules import CUES, FAMILY, NAME_LATIN, PLAIN, TYPES, shapes
+from docloom.llm.pii_rules import NAME_HAN, NAME_LATIN, PLAIN, TYPES, acceptable, kind_of_number, plain, shaped
+from docloom.llm.winnow import encode
 
 # The names of the placeholders.
 LABELS = dict(zip(TYPES, ("姓名", "电话", "邮箱", "身份证", "地址")))
 TAGS = 1 + 2 * len(TYPES)
-FEATURES = 8 + 2 * len(TYPES) + 2
-LEFT, RIGHT, WINDOW, OVERLAP = 20, 12, 160, 64
+WINDOW, OVERLAP = 400, 80
 PLACEHOLDER = re.compile(r"\[[^\W\d_]{1,8}\d{1,6}\]")
-_CUE = re.compile("|".join(map(re.escape, sorted(CUES, key=len, reverse=True))))
+#: Classes of characters; the last three say of an ideograph that it is a family name, is written in given names, or both.
+CLASSES = ("digit", "upper", "lower", "space", "sign", "pause", "stop", "other letter", "other", "ideograph", "family", "given", "both")
+
+
+@cache
+def lists() -> dict[str, list[str]]:
+    """The lists that come with the package: family, compound, given, first and last names, and common words."""
+    rows = pkgutil.get_data("docloom.llm", "data/names.txt").decode().splitlines()
+    return {k: v.split() for k, v in (r.split(":", 1) for r in rows if r and r[0] != "#")}
+
+
+@cache
+def kinds() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, CLASSES.index("other"), np.int8)
+    for c in range(0x3400):
+        x = chr(c)
+        if x.isdigit():
+            k = "digit"
+        elif x.isupper():
+            k = "upper"
+        elif x.islower():
+            k = "lower"
+        elif x.isspace():
+            k = "space"
+        elif x.isalpha():
+            k = "other letter"
+        else:
+            k = "sign" if x in "@.-_+()[]/" else "pause" if x in ":|,;、：，；" else "stop" if x in "!?。\n" else "other"
+        out[c] = CLASSES.index(k)
+    out[0xAC00:0xD7A4] = CLASSES.index("other letter")
+    for a, b in ((0x3400, 0xA000), (0x20000, 0x323B0)):
+        out[a:b] = CLASSES.index("ideograph")
+    family, given = {*lists()["family"], *"".join(lists()["compound"])}, set(lists()["given"])
+    for c in family | given:
+        out[ord(c)] = CLASSES.index("both" if c in family and c in given else "family" if c in family else "given")
+    for wide, narrow in PLAIN.items():
+        out[wide] = out[narrow]
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights, the characters of the embedding (from index 1), and the fitted given and first names."""
+    """Weights, and the characters of the embedding: index 0.. are unknown characters by class, then these."""
 
     params: tagger.Params
-    vocab: dict[str, int]
-    given: frozenset[str]
-    first: frozenset[str]
+    chars: str
+
+    @cached_property
+    def index(self) -> np.ndarray:
+        """The embedding's index of every code point."""
+        out = kinds().astype(np.int16)
+        for i, c in enumerate(self.chars):
+            out[ord(c)] = len(CLASSES) + i
+        for wide, narrow in PLAIN.items():
+            out[wide] = out[narrow]
+        return out
+
+    @cached_property
+    def static(self) -> np.ndarray:
+        """Features of every index: the one of its class, and of ideographs family and given."""
+        own = np.concatenate([np.arange(len(CLASSES)), kinds()[[ord(c) for c in self.chars]].astype(np.int64)])
+        out = np.zeros((len(own), len(CLASSES) + 2), np.float32)
+        out[np.arange(len(own)), own] = 1
+        for k, name in enumerate(("family", "given")):
+            out[:, len(CLASSES) + k] = np.isin(own, [CLASSES.index(name), CLASSES.index("both")])
+        return out
+
+    @cached_property
+    def reader(self) -> tagger.Reader:
+        return tagger.Reader(self.params, self.static)
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        points, offsets = encode(texts)
+        x = self.index[points]
+        return [x[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
 
     def save(self, path: str) -> None:
-        chars = "".join(sorted(self.vocab, key=self.vocab.get))
         small = {n: v.astype(np.float16) for n, v in self.params.items()}
-        np.savez_compressed(path, _chars=np.frombuffer(chars.encode("utf-32-le"), np.uint32), _given=np.array(sorted(self.given)), _first=np.array(sorted(self.first)), **small)
+        np.savez_compressed(path, _chars=np.frombuffer(self.chars.encode("utf-32-le"), np.uint32), **small)
 
     @staticmethod
     def load(raw: bytes) -> Model:
         z = np.load(io.BytesIO(raw))
-        chars = z["_chars"].tobytes().decode("utf-32-le")
-        return Model({n: z[n].astype(np.float32) for n in z.files if n[0] != "_"}, {c: i + 1 for i, c in enumerate(chars)}, frozenset(z["_given"].tolist()), frozenset(z["_first"].tolist()))
+        return Model({n: z[n].astype(np.float32) for n in z.files if n[0] != "_"}, z["_chars"].tobytes().decode("utf-32-le"))
 
 
 @cache
@@ -66,116 +133,100 @@ def model() -> Model:
     return Model.load(pkgutil.get_data("docloom.llm", "weights/pii.npz"))
 
 
-def _class(c: str) -> int:
-    if c.isdigit():
-        return 0
-    if "一" <= c <= "鿿":
-        return 1
-    if c.isupper():
-        return 2
-    if c.islower():
-        return 3
-    if c.isspace():
-        return 4
-    return 5 if c in "@.-_+()[]/（）" else 6 if c in "：:|，,。.；;" else 7
-
-
-def inputs(m: Model, text: str, found: list[tuple[int, int, int, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Character indices and features of a whole text."""
-    plain = text.translate(PLAIN)
-    chars = np.array([m.vocab.get(c, 0) for c in plain], np.int32)
-    feats = np.zeros((len(text), FEATURES), np.float32)
-    feats[np.arange(len(text)), [_class(c) for c in plain]] = 1
-    for a, b, t, w in found:
-        feats[a, 8 + 2 * t] = 1
-        feats[a + 1 : b, 9 + 2 * t] = 1
-        if t == 0:
-            feats[a:b, -2] = w
-    for hit in _CUE.finditer(text):
-        feats[hit.start() : hit.end(), -1] = 1
-    return chars, feats
-
-
-def windows(text: str, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int]]:
-    """Stretches of a text that the tagger reads."""
-    at = sorted([(a, b) for a, b, _, _ in found] + [x.span() for x in _CUE.finditer(text)])
-    out: list[list[int]] = []
-    for a, b in at:
-        a, b = max(0, a - LEFT), min(len(text), b + RIGHT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    cut = []
-    for a, b in out:
-        while b - a > WINDOW:
-            cut.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
-        cut.append((a, b))
-    return cut
-
-
-def spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, stop, type index) of a tag sequence; a span may begin with an inner tag."""
-    out, i = [], 0
-    while i < len(tags):
-        if tags[i]:
-            t, j = (tags[i] - 1) // 2, i + 1
-            while j < len(tags) and tags[j] == 2 + 2 * t:
-                j += 1
-            out.append((i, j, int(t)))
-            i = j
-        else:
-            i += 1
-    return out
+def windows(length: int) -> list[tuple[int, int]]:
+    """The windows of a text, of even length, which overlap by OVERLAP or a little more."""
+    if length <= WINDOW:
+        return [(0, length)]
+    n = -(-(length - OVERLAP) // (WINDOW - OVERLAP))
+    step = (length - WINDOW) / (n - 1)
+    return [(a, a + WINDOW) for a in (round(i * step) for i in range(n))]
 
 
-def checked(text: str, span: tuple[int, int, int], found: list[tuple[int, int, int, float]]) -> tuple[int, int, int] | None:
-    """The span as its shape has it, or None if nothing of its type's shape is there."""
-    a, b, t = span
-    over = [(min(b, d) - max(a, c), c, d, w) for c, d, u, w in found if u == t and c < b and a < d]
-    if t == 0:
-        over = [x for x in over if x[3] >= 0.5] or over
-        if not over:
-            name = text[a:b]
-            whole = NAME_LATIN.fullmatch(name) and not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha()
-            return span if whole or re.fullmatch(f"[{FAMILY}][一-鿿]{{1,2}}", name) else None
-    if not over:
-        return None
-    _, c, d, _ = max(over)
-    if t == 4 and c < a < d and "一" <= text[a] <= "鿿":
-        c = a  # where a Chinese address begins in running text only the tagger knows
-    return c, d, t
-
-
-def reconciled(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Disjoint spans in order: of overlapping ones the longest stands, then the first."""
-    out: list[tuple[int, int, int]] = []
-    for s in sorted(set(found), key=lambda x: (x[0] - x[1], x)):
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
-    return sorted(out)
+Span = tuple[int, int, int, float]
+
+
+def united(spans: list[tuple[int, int, int, float, bool]]) -> list[Span]:
+    """Spans (start, stop, type, score, cut by a window's edge) of all windows: cut ones joined with those of their type that they overlap."""
+    out: list[list] = []
+    for s in sorted(spans):
+        for o in out[-6:]:  # the spans of one window are disjoint, and at most three windows meet
+            if o[2] == s[2] and s[0] < o[1] and o[0] < s[1] and (s[4] or o[4]):
+                o[:] = min(o[0], s[0]), max(o[1], s[1]), o[2], max(o[3], s[3]), o[4] and s[4]
+                break
+        else:
+            out.append(list(s))
+    return [tuple(o[:4]) for o in out]
+
+
+def reconciled(spans: list[Span]) -> list[Span]:
+    """Of overlapping spans those whose scores sum highest: the best set of disjoint spans."""
+    spans = sorted({s[:3]: s for s in sorted(spans, key=lambda x: x[3])}.values(), key=lambda s: (s[1], s[0], s[2]))
+    if len(spans) < 2:
+        return spans
+    ends, total, came = [s[1] for s in spans], [0.0], []
+    for i, s in enumerate(spans):
+        k = bisect.bisect_right(ends, s[0], 0, i)
+        take = total[k] + max(s[3], 1e-6)
+        came.append(k if take > total[i] else -1)
+        total.append(max(take, total[i]))
+    out, i = [], len(spans)
+    while i:
+        i -= 1
+        if came[i] >= 0:
+            out.append(spans[i])
+            i = came[i]
+    return out[::-1]
+
+
+def checked(text: str, flat: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
+    """The ends of a span as its type's shape has them, as they are if it has none, or None if it can be no such detail."""
+    if kind == 0:
+        while a < b and not flat[a].isalpha():
+            a += 1
+        while a < b and not (flat[b - 1].isalpha() or flat[b - 1] == "."):
+            b -= 1
+        name = flat[a:b]
+        if NAME_HAN.fullmatch(name):
+            return a, b
+        whole = NAME_LATIN.fullmatch(name) and not flat[a - 1 : a].isalpha() and not flat[b : b + 1].isalpha()
+        return (a, b) if whole and " " in name else None
+    hit = shaped(flat, a, b, kind)
+    if hit is None:
+        while a < b and not (flat[a].isalnum() or flat[a] in "+("):
+            a += 1
+        while a < b and not (flat[b - 1].isalnum() or flat[b - 1] == ")"):
+            b -= 1
+        cut = re.match(r"[A-Za-z0-9_]", flat[b : b + 1]) or re.match(r"[A-Za-z0-9_-]", flat[a - 1 : a])
+        return (a, b) if acceptable(flat[a:b], kind) and not cut else None
+    x, y = hit
+    if kind == 4 and x < a < y and "\u3400" <= flat[a] <= "\u9fff":
+        x = a  # where a Chinese address begins in running text only the tagger knows
+    return x, y
 
 
 def detect(m: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, stop, type index) of the personal details of every text."""
-    shaped = [shapes(t, m.given, m.first) if t else [] for t in texts]
-    at, chars, feats = [], [], []
-    for k, (t, found) in enumerate(zip(texts, shaped)):
-        if not t or not (cut := windows(t, found)):
-            continue
-        for a, b in cut:
-            part = t[a:b]
-            c, f = inputs(m, part, [(max(0, x - a), min(b, y) - a, u, w) for x, y, u, w in found if x < b and y > a])
-            at.append((k, a))
-            chars.append(c)
-            feats.append(f)
+    at, seqs = [], []
+    for k, x in enumerate(m.encoded(texts)):
+        for a, b in windows(len(x)) if len(x) else ():
+            at.append((k, a, b))
+            seqs.append(x[a:b])
+    seen: dict[int, list] = {}
+    for (k, a, b), got in zip(at, m.reader.spans(seqs)):
+        for x, y, t, score in got:
+            edge = (x == 0 and a > 0) or (y == b - a and b < len(texts[k]))
+            seen.setdefault(k, []).append((x + a, y + a, t, score, edge))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (k, a), tags in zip(at, tagger.decode(m.params, chars, feats)):
-        for x, y, t in spans(tags):
-            if (s := checked(texts[k], (x + a, y + a, t), shaped[k])) is not None:
-                out[k].append(s)
-    return [reconciled(o) for o in out]
+    for k, spans in seen.items():
+        flat, good = plain(texts[k]), []
+        held = [h.span() for h in PLACEHOLDER.finditer(texts[k])]
+        for a, b, t, score in united(spans):
+            t = kind_of_number(flat, a, b, t) if t in (1, 3) else t
+            ends = checked(texts[k], flat, a, b, t)
+            if ends and not any(x < ends[1] and ends[0] < y for x, y in held):
+                good.append((*ends, t, score))
+        out[k] = [s[:3] for s in reconciled(good)]
+    return out
 
 
 def found(df: DataFrame, key: str, text: str) -> DataFrame:

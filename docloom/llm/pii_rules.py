@@ -1,4 +1,4 @@
-"""Shapes of personal details: what the tagger sees as features, and what its spans are checked against.
+"""Shapes of personal details, which the tagger's spans are checked against: they give a number or address its exact ends.
 
 All work on a text of the same length in which full-width forms are plain, so
 offsets hold for the text as it stands.
@@ -7,15 +7,12 @@ offsets hold for the text as it stands.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 TYPES = ("person", "phone", "email", "id_number", "address")
 
 #: Full-width letters, digits, signs and spaces, one to one.
 PLAIN = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20, 0xA0: 0x20, 0x2011: 0x2D, 0x2010: 0x2D, 0x2013: 0x2D}
 
-# Common family names.
-FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤施喻华葛俞柳鲁苗"
 # Road endings.
 _ROAD_ZH = r"(?:大道|大街|胡同|路|街|巷|弄|道|村)"
 _ROAD_EN = r"(?:Street|Road|Lane|Close|Avenue|Ave|Drive|Court|Way|Place|Square|Terrace|Boulevard|Blvd|Row|Crescent|St|Rd|Ln|Dr)"
@@ -49,61 +46,57 @@ ADDRESS_ZH = re.compile(
 )
 ADDRESS_EN = re.compile(rf"(?<![A-Za-z0-9])\d{{1,5}} (?:[A-Z][\w'-]+ ){{1,3}}{_ROAD_EN}\b\.?,? [A-Z][\w'-]+(?: [A-Z][\w'-]+)?(?:,? [A-Z]{{2}})?(?: \d{{5}}(?:-\d{{4}})?)?(?![A-Za-z0-9])")
 ADDRESS_DE = re.compile(rf"(?<![A-Za-zÀ-ÿ])[A-ZÄÖÜ][a-zäöüß-]*{_ROAD_DE} \d{{1,4}}[a-z]?, \d{{5}} [A-ZÄÖÜ][a-zäöüß]+(?:[- ][A-ZÄÖÜ][a-zäöüß]+)?")
-# Cheap marks of a shape, found first; the shapes are then tried only around them.
+# Marks of a shape, found first: a shape is tried only in the whole run of fitting characters around one.
 _FULL_WIDTH = re.compile("[！-～　\xa0‑‐–]")
-_NUMBER = re.compile(r"[+(]?\d[\d ()./-]{5,}[\dXx]")
-_CODE = re.compile(r"(?<![A-Za-z0-9_-])[A-Z][A-Z0-9]{8}(?![A-Za-z0-9_])")
-_HOUSE_ZH = re.compile(rf"{_ROAD_ZH}\d{{1,5}}号")
-_SIGN = re.compile(r"@|[(\[ ][ ]?(?:at|AT)[ )\]]")
-_HOUSE_DE = re.compile(rf"{_ROAD_DE} \d")
-
-
-def _around(shape: re.Pattern, mark: re.Pattern, text: str, left: int, right: int) -> list[tuple[int, int]]:
-    """Spans of a shape, tried from ``left`` before each mark to ``right`` behind it, or to the mark's neighbour."""
-    out, at = [], 0
-    for m in mark.finditer(text):
-        for hit in shape.finditer(text, max(at, m.start() - left), min(len(text), m.end() + right)):
-            out.append(hit.span())
-            at = hit.end()
-    return out
-
-
-#: Capitalised words that begin no name.
-_NO_NAME = "The This That These Those An And For With From To In On At By Of Or Please Call Write Build Contact Email Phone Address Deliver Serial Ticket Invoice Identity Herr Frau Mr Ms Mrs Dr Die Der Das Den Dem Ein Eine Bitte Telefon Anschrift Lieferung Vorgang Charge What How Who Who's Which Wie Wer Welche Ich Für Mein My Your Our".split()
-_LATIN = r"[A-ZÄÖÜ][a-zäöüßé]+(?:['-][A-ZÄÖÜ]?[a-zäöüß]+)?"
-NAME_LATIN = re.compile(rf"(?<![A-Za-zÀ-ÿ@.-])(?!(?:{'|'.join(_NO_NAME)})\b)({_LATIN})((?: [A-Z]\.)? (?!(?:{'|'.join(_NO_NAME)})\b){_LATIN})(?![A-Za-zÀ-ÿ@-])")
-#: Words around a name, and titles, which are no part of it.
-CUES = "经办人 联系人 申请人 负责人 签收人 姓名 先生 女士 会上 请转交 本项由 我是 我叫 替 的申请 提出异议 负责落实 已提交材料 问一下 Mr Ms Mrs Dr Herr Frau Ansprechpartner Contact 联系 person behalf signed ask".split()
-_CUE_BEFORE = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Dr|Herr|Herrn|Frau)\.? |(?:partner(?:in)?|person|contact|name|经办人|联系人|申请人|负责人|姓名)[ ]?(?:[:：（(|]| \|)? ?|\bI am |\bIch bin |\bbehalf of |\bFür |\bask |\bfor |我是|我叫|替|请转交|本项由|会上|联系)$", re.I)
-_CUE_AFTER = re.compile(r"^(?: ?(?:hat|for|last|approved|unterschrieb)\b|[:：]|[（(]|先生|女士|的申请|提出|负责|已|问一下|，手机| / )", re.I)
-
-
-@cache
-def _family_names(given: frozenset[str]) -> re.Pattern:
-    return re.compile(f"[{FAMILY}][{''.join(sorted(given)) or FAMILY}]{{1,2}}")
-
-
-def names(text: str, given: frozenset[str], first: frozenset[str]) -> list[tuple[int, int, float]]:
-    """Stretches that may be names, with how much speaks for each: fitted given names and cues around."""
-    out = []
-    for m in _family_names(given).finditer(text):
-        i, j = m.span()
-        cue = bool(_CUE_BEFORE.search(text[max(0, i - 14) : i])) + bool(_CUE_AFTER.match(text[j : j + 8]))
-        out.append((i, j, (1.0 if j == i + 3 else 0.6) + 0.5 * cue))
-    for m in NAME_LATIN.finditer(text):
-        before = _CUE_BEFORE.search(text[max(0, m.start() - 24) : m.start()])
-        out.append((m.start(), m.end(), (1.0 if m[1] in first else 0.0) + (0.5 if before else 0.0) + (0.2 if _CUE_AFTER.match(text[m.end() : m.end() + 8]) else 0.0)))
-    return out
-
-
-def shapes(text: str, given: frozenset[str], first: frozenset[str]) -> list[tuple[int, int, int, float]]:
-    """(start, stop, type index, weight) of every stretch with the shape of a personal detail; they may overlap."""
-    plain = _FULL_WIDTH.sub(lambda m: chr(PLAIN[ord(m[0])]), text)
-    out = [(a, b, 2, 1.0) for a, b in _around(EMAIL, _SIGN, plain, 80, 80)]
-    out += [(a, b, 3, 1.0) for mark in (_NUMBER, _CODE) for a, b in _around(IDENTITY, mark, plain, 0, 3)]
-    out += [(a, b, 1, 1.0) for a, b in _around(PHONE, _NUMBER, plain, 0, 4)]
-    out += [(a, b, 4, 1.0) for a, b in _around(ADDRESS_ZH, _HOUSE_ZH, plain, 30, 24)]
-    out += [(m.start(), m.end(), 4, 1.0) for m in ADDRESS_EN.finditer(plain)]
-    out += [(a, b, 4, 1.0) for a, b in _around(ADDRESS_DE, _HOUSE_DE, plain, 40, 60)]
-    out += [(a, b, 0, w) for a, b, w in names(plain, given, first)]
-    return out
+
+
+def plain(text: str) -> str:
+    """The text with full-width forms as plain ones, character for character."""
+    return _FULL_WIDTH.sub(lambda m: chr(PLAIN[ord(m[0])]), text)
+
+
+_LATIN = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’.-]*"
+NAME_LATIN = re.compile(rf"{_LATIN}(?: (?:[A-Z]\.|(?:van|von|de|da|di|der|den|del|la|le|bin|al|zu)|{_LATIN}))*")
+NAME_HAN = re.compile("[\u3400-\u9fff\U00020000-\U000323af]{2,4}|[\u3400-\u9fff·]{3,15}")
+_RUN = {1: re.compile(r"[-+\d ()./]"), 2: re.compile(r"[\w.+@()\[\] -]"), 3: re.compile(r"[A-Za-z\d -]"), 4: re.compile(r"[^\n。！？!?；;]")}
+SHAPES = {1: (PHONE,), 2: (EMAIL,), 3: (IDENTITY,), 4: (ADDRESS_ZH, ADDRESS_EN, ADDRESS_DE)}
+
+
+def run_around(text: str, a: int, b: int, kind: int) -> tuple[int, int]:
+    """The whole run of characters around a span that may belong to a detail of its type, however long."""
+    fits = _RUN[kind].match
+    while a and fits(text, a - 1):
+        a -= 1
+    while b < len(text) and fits(text, b):
+        b += 1
+    return a, b
+
+
+def shaped(text: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
+    """The stretch of the type's shape that overlaps most with a span of a plain text."""
+    lo, hi = run_around(text, a, b, kind)
+    over = []
+    for shape in SHAPES[kind]:
+        for m in shape.finditer(text, lo, min(len(text), hi + 2)):
+            x, y = m.span()
+            if x < b and y > a:
+                over.append((min(b, y) - max(a, x), y - x, -x, x, y))
+    return max(over)[3:] if over else None
+
+
+def acceptable(text: str, kind: int) -> bool:
+    """Whether a stretch without one of the shapes can be a detail of its type at all."""
+    digits = sum(c.isdigit() for c in text)
+    if kind == 1:
+        return 7 <= digits <= 15 and not any(c.isalpha() for c in text)
+    if kind == 2:
+        return bool(re.search(r"[^\s@]\s?(?:@|[(\[ ]at[)\] ])\s?[\w-]+.*(?:\.|dot).*[A-Za-z]{2}$", text, re.I | re.S))
+    if kind == 3:
+        return digits >= 4 and 8 <= sum(c.isalnum() for c in text) <= 20 and " " not in text
+    return digits >= 1 and len(text) >= 8 and bool(re.search(r"[路街巷弄道村号室楼栋]|, |\d{5}", text))
+
+
+def kind_of_number(text: str, a: int, b: int, kind: int) -> int:
+    """phone or id_number for a span tagged as one of them: the other one if only that one's shape is there."""
+    other = 4 - kind
+    return other if shaped(text, a, b, kind) is None and shaped(text, a, b, other) is not None else kind

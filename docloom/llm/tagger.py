@@ -1,16 +1,20 @@
 """A character-level bidirectional LSTM with CRF transitions in numpy: training by backpropagation, decoding by Viterbi.
 
-Batches are [time, batch, ...] arrays with a mask; a masked step carries the state on unchanged.
+Batches are [time, batch, ...] arrays with a mask; a masked step carries the state on unchanged. Every character is an
+index into the embedding and into a fixed table of features, so a reader projects both to the gates once for each index
+and not for each character.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 Params = dict[str, np.ndarray]
 
 
-def init(vocab: int, features: int, tags: int, embed: int = 20, hidden: int = 24, seed: int = 3) -> Params:
+def init(vocab: int, features: int, tags: int, embed: int = 24, hidden: int = 48, seed: int = 3) -> Params:
     rng = np.random.default_rng(seed)
 
     def mat(a: int, b: int) -> np.ndarray:
@@ -81,9 +85,9 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def loss_and_grad(p: Params, chars: np.ndarray, feats: np.ndarray, mask: np.ndarray, tags: np.ndarray) -> tuple[float, Params]:
+def loss_and_grad(p: Params, static: np.ndarray, chars: np.ndarray, mask: np.ndarray, tags: np.ndarray) -> tuple[float, Params]:
     """Mean negative log likelihood of the tag sequences under the CRF, and its gradient."""
-    e, (x, cf, cb, h) = emissions(p, chars, feats, mask, keep=True)
+    e, (x, cf, cb, h) = emissions(p, chars, static[chars], mask, keep=True)
     t, b, k = e.shape
     tr, m = p["trans"], mask[:, :, None]
     alpha, beta = np.empty_like(e), np.zeros_like(e)
@@ -132,50 +136,187 @@ def padded(seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(p: Params, chars: list[np.ndarray], feats: list[np.ndarray], tags: list[np.ndarray], epochs: int = 6, size: int = 48, rate: float = 4e-3, seed: int = 5) -> list[float]:
-    """Adam on shuffled batches; p changes in place. Returns the mean loss of each epoch."""
+def train(
+    p: Params, static: np.ndarray, chars: list[np.ndarray], tags: list[np.ndarray], epochs: int = 6, size: int = 48, rate: float = 4e-3, seed: int = 5,
+    vary: Callable[[np.ndarray, np.ndarray, np.random.Generator], np.ndarray] | None = None, log: Callable[[int, float], None] | None = None,
+) -> list[float]:
+    """Adam on shuffled batches; p changes in place. vary(chars, tags, rng) may change a batch's characters. Returns the mean loss of each epoch."""
     rng = np.random.default_rng(seed)
-    m1, m2, step, log = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}, 0, []
+    m1, m2, step, losses = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}, 0, []
     lengths = np.array([len(c) for c in chars])
     for epoch in range(epochs):
         total = 0.0
         for own in batches(lengths, size, rng):
             mask = np.arange(lengths[own].max())[:, None] < lengths[own][None, :]
-            loss, g = loss_and_grad(p, padded([chars[i] for i in own]), padded([feats[i] for i in own]), mask, padded([tags[i] for i in own]))
+            x, y = padded([chars[i] for i in own]), padded([tags[i] for i in own])
+            loss, g = loss_and_grad(p, static, vary(x, y, rng) if vary else x, mask, y)
             total += loss * len(own)
             step += 1
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            lr = rate * 0.5 ** (3 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            lr = rate * 0.5 ** (4 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for n in p:
                 d = g[n] * min(1, 5 / max(norm, 1e-9))
                 m1[n] = 0.9 * m1[n] + 0.1 * d
                 m2[n] = 0.999 * m2[n] + 0.001 * d * d
                 p[n] -= (lr * m1[n] / (np.sqrt(m2[n]) + 1e-8)).astype(p[n].dtype)
-        log.append(total / len(chars))
-    return log
-
-
-def decode(p: Params, chars: list[np.ndarray], feats: list[np.ndarray], size: int = 256) -> list[np.ndarray]:
-    """The best tag sequence of every window."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chars)
-    lengths = np.array([len(c) for c in chars], np.int64)
-    for own in batches(lengths, size):
-        mask = np.arange(lengths[own].max())[:, None] < lengths[own][None, :]
-        e, _ = emissions(p, padded([chars[i] for i in own]), padded([feats[i] for i in own]), mask)
-        score, back = p["start"] + e[0], []
-        for s in range(1, len(e)):
-            both = score[:, :, None] + p["trans"]
-            best = both.argmax(1)
-            new = np.take_along_axis(both, best[:, None, :], 1)[:, 0] + e[s]
-            m = mask[s][:, None]
-            back.append(np.where(m, best, np.arange(e.shape[2])))
-            score = np.where(m, new, score)
-        tag = score.argmax(1)
-        path = [tag]
-        for ptr in reversed(back):
-            tag = ptr[np.arange(len(tag)), tag]
-            path.append(tag)
-        path = np.stack(path[::-1])
-        for i, k in enumerate(own):
-            out[k] = path[: lengths[k], i]
+            np.clip(p["trans"], -4, 4, out=p["trans"])  # so that few positions are in doubt, see Reader
+        losses.append(total / len(chars))
+        if log:
+            log(epoch, losses[-1])
+    return losses
+
+
+class Reader:
+    """Whole sequences read by a trained model: emissions of every position, and the exact best path where one is in doubt."""
+
+    def __init__(self, p: Params, static: np.ndarray) -> None:
+        n = p["whf"].shape[0]
+        self.n, self.p = n, p
+        x = np.concatenate([p["emb"], static.astype(np.float32)], axis=1)
+        # sigmoid(z) = (1 + tanh(z / 2)) / 2, so one tanh serves all four gates; a gate is a block of its own, [4, rows, n]
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+        self.gate = {d: np.ascontiguousarray(self._blocks(x @ p[f"wx{d}"] + p[f"bias{d}"]) * half) for d in "fb"}
+        self.back = {d: np.ascontiguousarray(self._blocks(p[f"wh{d}"]) * half) for d in "fb"}
+        tr = p["trans"]
+        # what the two transitions at a position can gain over those of tag 0, for every tag
+        after = np.maximum((tr - tr[:1, :]).max(1), 0)
+        self.gain = (tr - tr[:, :1]).max(0) + after
+        self.gain_first = (p["start"] - p["start"][0]) + after
+
+    def _blocks(self, w: np.ndarray) -> np.ndarray:
+        return w.reshape(len(w), 4, self.n).transpose(1, 0, 2)
+
+    def _run(self, chars: np.ndarray, mask: np.ndarray, d: str, full: int) -> np.ndarray:
+        t, b = chars.shape
+        n, gate, back = self.n, self.gate[d], self.back[d]
+        h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
+        out, z, y = np.empty((t, b, n), np.float32), np.empty((4, b, n), np.float32), np.empty((4, b, n), np.float32)
+        for s in range(t) if d == "f" else range(t - 1, -1, -1):
+            np.take(gate, chars[s], axis=1, out=z, mode="clip")
+            np.matmul(h, back, out=y)
+            z += y
+            np.tanh(z, out=z)
+            z[:3] += 1
+            i, f, o, g = z
+            f *= c
+            i *= g
+            f += i
+            f *= 0.5
+            h2 = np.tanh(f)
+            h2 *= o
+            h2 *= 0.5
+            if s >= full:  # positions that some sequence does not reach
+                m = mask[s][:, None]
+                c, h = np.where(m, f, c), np.where(m, h2, h)
+            else:
+                c, h = f.copy(), h2
+            out[s] = h
+        return out
+
+    def emissions(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """[time, batch, tags] of sequences with the given lengths."""
+        mask = np.arange(len(chars))[:, None] < lengths[None, :]
+        full, n = int(lengths.min()), self.n
+        e = self._run(chars, mask, "f", full).reshape(-1, n) @ self.p["out"][:n]
+        e += self._run(chars, mask, "b", full).reshape(-1, n) @ self.p["out"][n:]
+        e += self.p["bout"]
+        return e.reshape(*chars.shape, -1)
+
+    def spans(self, seqs: list[np.ndarray], size: int = 512) -> list[list[tuple[int, int, int, float]]]:
+        """(start, stop, type, score) of the best path of every sequence; the score is what the CRF loses if the span's tags become 0.
+
+        A position where tag 0 leads by more than any transitions could make up is 0 on the best path; the path is
+        sought only through the stretches between such positions, which gives the same path.
+        """
+        out: list[list[tuple[int, int, int, float]]] = [[] for _ in seqs]
+        lengths = np.array([len(s) for s in seqs], np.int64)
+        for own in batches(lengths, size):
+            n = lengths[own]
+            e = self.emissions(padded([seqs[i] for i in own]), n)
+            over = (e[:, :, 1:] + self.gain[1:]).max(axis=2) >= e[:, :, 0]
+            over[0] = (e[0, :, 1:] + self.gain_first[1:]).max(axis=1) >= e[0, :, 0]
+            over &= np.arange(len(e))[:, None] < n[None, :]
+            cells = over.T.ravel()  # sequence after sequence
+            if not cells.any():
+                continue
+            flat, t = np.ascontiguousarray(e.transpose(1, 0, 2)).reshape(-1, e.shape[2]), len(e)
+            # stretches in doubt; none runs on into the next sequence
+            begins = cells & ~np.concatenate([[False], cells[:-1]])
+            begins[::t] |= cells[::t]
+            ends = cells & ~np.concatenate([cells[1:], [False]])
+            ends[t - 1 :: t] |= cells[t - 1 :: t]
+            first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            keep = self._may(flat, first, last, t)
+            first, last = first[keep], last[keep]
+            paths = self._best(flat, first, last, first % t == 0, (last - 1) % t + 1 == n[first // t])
+            for a, path in zip(first.tolist(), paths):
+                if path.any():
+                    row, base = a // t, a % t
+                    for x, y, kind in runs(path):
+                        out[own[row]].append((base + x, base + y, kind, self._score(flat, path, a, x, y, base, base + y == n[row])))
+        return out
+
+    def _may(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, t: int) -> np.ndarray:
+        """Which stretches can have a tag at all: the best first tag, what further tags can add and the way back to 0 together gain something."""
+        tr, size = self.p["trans"], last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        lead = flat[at, 1:] - flat[at, :1]
+        into = np.where((at % t == 0)[:, None], self.p["start"] - self.p["start"][0], tr[0] - tr[0, 0])[:, 1:]
+        begin = (lead + into).max(axis=1)
+        more = np.maximum((lead + (tr - tr[0, 0])[:, 1:].max(axis=0)).max(axis=1), 0)
+        heads = np.concatenate([[0], np.cumsum(size)[:-1]])
+        return np.maximum.reduceat(begin, heads) + np.add.reduceat(more, heads) + max(0.0, float((tr[1:, 0] - tr[0, 0]).max())) > 0
+
+    def _score(self, flat: np.ndarray, path: np.ndarray, a: int, x: int, y: int, base: int, ends: bool) -> float:
+        tr, tags = self.p["trans"], path[x:y]
+        gain = float((flat[a + x : a + y][np.arange(y - x), tags] - flat[a + x : a + y, 0]).sum()) + float((tr[tags[:-1], tags[1:]] - tr[0, 0]).sum())
+        if base + x == 0:
+            gain += float(self.p["start"][tags[0]] - self.p["start"][0])
+        else:
+            before = path[x - 1] if x else 0
+            gain += float(tr[before, tags[0]] - tr[before, 0])
+        if ends:
+            return gain
+        after = path[y] if y < len(path) else 0
+        return gain + float(tr[tags[-1], after] - tr[0, after])
+
+    def _best(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> list[np.ndarray]:
+        """Viterbi through stretches: from the start scores or from tag 0, to the end or to tag 0."""
+        p, out = self.p, [np.zeros(0, np.int64)] * len(first)
+        lengths, into = last - first, np.ascontiguousarray(p["trans"].T)
+        for own in batches(lengths, 1024):
+            n = lengths[own]
+            e = flat[np.minimum(first[own][:, None] + np.arange(n.max())[None, :], len(flat) - 1)]
+            score = np.where(heads[own][:, None], p["start"], p["trans"][0]) + e[:, 0]
+            back = []
+            for s in range(1, n.max()):
+                both = score[:, None, :] + into  # [batch, to, from]
+                best = both.argmax(2)
+                new = np.take_along_axis(both, best[:, :, None], 2)[:, :, 0] + e[:, s]
+                m = (s < n)[:, None]
+                back.append(np.where(m, best, np.arange(e.shape[2])))
+                score = np.where(m, new, score)
+            tag = (score + np.where(tails[own][:, None], 0, p["trans"][:, 0])).argmax(1)
+            path = [tag]
+            for ptr in reversed(back):
+                tag = ptr[np.arange(len(tag)), tag]
+                path.append(tag)
+            path = np.stack(path[::-1], axis=1)
+            for i, k in enumerate(own.tolist()):
+                out[k] = path[i, : n[i]]
+        return out
+
+
+def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, type index) of a tag sequence; a span may begin with an inner tag."""
+    out, i = [], 0
+    while i < len(tags):
+        if tags[i]:
+            t, j = (int(tags[i]) - 1) // 2, i + 1
+            while j < len(tags) and tags[j] == 2 + 2 * t:
+                j += 1
+            out.append((i, j, t))
+            i = j
+        else:
+            i += 1
     return out
