@@ -198,3 +198,15 @@ def entity_label(c: Column | str) -> Column:
     for k, v in P.ENTITY_LABELS.items():
         out = out.when(name == k, F.lit(v))
     return out.otherwise(name)
+
+
+def file_address(path: Column | str, page: Column | str) -> Column:
+    """The file: address of a path, percent-encoded if it is absolute, as it stands if not, with the page where there is one; empty for no path."""
+    p = F.replace(F.coalesce(col(path), F.lit("")), F.lit("\\"), F.lit("/"))
+    encoded = F.regexp_replace(F.url_encode(p), r"\+", "%20")
+    for code, plain in (("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(plain))
+    address = F.when(p.startswith("/"), F.concat(F.lit("file://"), encoded)).otherwise(F.concat(F.lit("file:///"), p))
+    number = col(page)
+    mark = F.when(number.isNotNull() & (number != 0), F.concat(F.lit("#page="), number.cast("string"))).otherwise("")
+    return F.when(p == "", "").otherwise(F.concat(address, mark))

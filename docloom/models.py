@@ -1,20 +1,21 @@
-"""Pluggable models with deterministic offline defaults: embedding, answering, describing."""
+"""Pluggable models with deterministic offline defaults: embedding, answering, describing, recognising. A reranking model plugs into docloom.operators.fusion."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import patterns as P
-from docloom.functions.text import strip
+from docloom.functions.text import segments, strip
 
 
 class Embedder(Protocol):
@@ -106,3 +107,61 @@ def described(figures: DataFrame, context: str, describe: Callable[[str], str],
         return s.map(lambda x: describe(x) if x else None)
 
     return figures.withColumn("description", run(F.substring(strip(F.coalesce(F.col(context), F.lit(""))), 1, limit)))
+
+
+#: What a recogniser gives for a text: a list of entities with type, start, end and maybe span, or such a list under "output".
+Recogniser = Callable[[str], object]
+_TITLED = re.compile("([\u4e00-\u9fa5]{2,3})(?=先生|女士)")
+
+
+def titled_names(text: str) -> list[dict]:
+    """An offline recogniser: the two or three ideographs before a title."""
+    return [{"type": "PER", "start": m.start(), "end": m.end(), "span": m[0]} for m in _TITLED.finditer(text)]
+
+
+def entities(result: object) -> list[dict]:
+    """The entities in a recogniser's answer, whatever wraps them; anything else is none."""
+    for _ in range(2):
+        if isinstance(result, dict):
+            result = result.get("output", [])
+    return [x for x in result if isinstance(x, dict)] if isinstance(result, list) else []
+
+
+def _whole(x: object) -> int:
+    try:
+        return int(x)  # type: ignore[call-overload]
+    except (TypeError, ValueError):
+        return -1
+
+
+def recognised(df: DataFrame, text: str, recogniser: Recogniser = titled_names) -> DataFrame:
+    """df with ``recognised``: spans (start, stop, value, label, source, priority 50) of a recogniser that reads a text in segments.
+
+    A segment on which the recogniser fails gives no spans, so the rules stand alone. Entities without a place or out of the text drop out.
+    """
+    kind = "array<struct<start:int,stop:int,value:string,label:string,source:string,priority:int>>"
+    wanted = T.StructType([*df.schema.fields, T.StructField("recognised", T._parse_datatype_string(kind))])
+
+    def spans(several: list[dict] | None) -> list[dict]:
+        out = []
+        for at, body in ((s["start"], s["text"]) for s in several or []):
+            try:
+                found = entities(recogniser(body))
+            except Exception:  # noqa: BLE001, S112 - the rules stand alone where a model fails
+                continue
+            for e in found:
+                a, z, name = _whole(e.get("start")), _whole(e.get("end")), str(e.get("type") or "").upper()
+                if 0 <= a < z <= len(body):
+                    label = P.ENTITY_LABELS.get(name, name or P.NO_LABEL)
+                    out.append({"start": at + a, "stop": at + z, "value": str(e.get("span") or body[a:z]), "label": label, "source": "ner", "priority": 50})
+        return out
+
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("label", pa.string()), ("source", pa.string()), ("priority", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = b.num_columns - 1
+            found = pa.array([spans(x) for x in b.column(last).to_pylist()], shape)
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], found], names=[*b.schema.names[:last], "recognised"])
+
+    return df.withColumn("_segments", segments(text)).mapInArrow(run, wanted)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import patterns as P
 from docloom.functions.text import citations, strip, tokens
+from docloom.runtime import stage
 
 
 def rrf(vector: DataFrame, keyword: DataFrame, key: str, k: int = P.RRF_K) -> DataFrame:
@@ -28,22 +33,57 @@ def backfill(fused: DataFrame, content: DataFrame, key: str, text: str) -> DataF
     return fused.join(content.where(F.col(text) != "").select(key, text), key)
 
 
-def overlap_score(query: F.Column, document: F.Column) -> F.Column:
-    """Offline reranker: the share of the question's different terms that the document (its first characters) has."""
-    q = F.array_distinct(tokens(query))
-    d = tokens(F.substring(document, 1, P.RERANK_CHARS))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, d)) / F.size(q))
+Scorer = Callable[[DataFrame, str, str, str], DataFrame]
+
+
+def overlap_score(hits: DataFrame, query: str, text: str, key: str) -> DataFrame:
+    """Offline scorer: hits with ``s``, the share of the question's different terms that the document (its first characters) has.
+
+    Terms are made once for each question and once for each document, not for each hit.
+    """
+    hits = stage(hits, "hits")  # read three times
+    asked = hits.groupBy("query_id").agg(F.first(query).alias("_q")).select("query_id", F.array_distinct(tokens("_q")).alias("_qt"))
+    docs = hits.groupBy(key).agg(F.first(text).alias("_d")).select(key, F.array_distinct(tokens(F.substring("_d", 1, P.RERANK_CHARS))).alias("_dt"))
+    both = hits.join(stage(asked, "asked"), "query_id").join(stage(docs, "terms"), key)
+    score = F.when(F.size("_qt") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("_qt", "_dt")) / F.size("_qt"))
+    return both.withColumn("s", F.round(score, 9)).drop("_qt", "_dt")
+
 
+def batch_scorer(score: Callable[[Sequence[str], Sequence[str]], Sequence[float]]) -> Scorer:
+    """A scorer of an external reranking model, called with batches of questions and of documents (their first characters).
+
+    If a call fails, or gives something else than a finite number for each pair, the pairs of that batch have no score; ``rerank``
+    then leaves their questions in the order they came in.
+    """
 
-def rerank(hits: DataFrame, query: str, text: str, key: str, top: int = P.RERANK_TOP) -> DataFrame:
-    """hits(query_id, key, position, query, text) in a new order: the ``top`` by reranker score, then the rest as they were."""
-    scored = hits.withColumn("s", F.round(overlap_score(F.col(query), F.col(text)), 9))
+    @F.pandas_udf(T.DoubleType())
+    def run(q: pd.Series, d: pd.Series) -> pd.Series:
+        try:
+            out = pd.to_numeric(pd.Series(list(score(q.tolist(), d.tolist()))), errors="coerce")
+            return out.astype("float64") if len(out) == len(q) else pd.Series([None] * len(q), dtype="float64")
+        except Exception:  # noqa: BLE001 - a model that fails must not end the search
+            return pd.Series([None] * len(q), dtype="float64")
+
+    def scorer(hits: DataFrame, query: str, text: str, key: str) -> DataFrame:  # noqa: ARG001
+        s = run(F.coalesce(query, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, P.RERANK_CHARS))
+        return hits.withColumn("s", F.round(F.when(~F.isnan(s), s), 9))
+
+    return scorer
+
+
+def rerank(hits: DataFrame, query: str, text: str, key: str, top: int = P.RERANK_TOP, scorer: Scorer = overlap_score) -> DataFrame:
+    """hits(query_id, key, position, query, text) in a new order: the ``top`` by the scorer's score, then the rest as they were.
+
+    A question of which any hit has no score keeps its order, without scores.
+    """
+    scored = scorer(hits, query, text, key)
+    whole = F.min(F.col("s").isNotNull()).over(Window.partitionBy("query_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("s"), "position")
-    ranked = scored.withColumn("r", F.row_number().over(best))
-    order = Window.partitionBy("query_id").orderBy(F.when(F.col("r") <= top, F.col("r")).otherwise(F.lit(top + 1)), "position")
+    ranked = scored.withColumn("_ok", whole).withColumn("r", F.when(F.col("_ok"), F.row_number().over(best)).otherwise(F.lit(top + 1)))
+    order = Window.partitionBy("query_id").orderBy(F.least("r", F.lit(top + 1)), "position")
     return (
         ranked.withColumn("final_position", F.row_number().over(order))
-        .withColumn("rerank_score", F.when(F.col("r") <= top, F.col("s"))).drop("r", "s")
+        .withColumn("rerank_score", F.when(F.col("r") <= top, F.col("s"))).drop("r", "s", "_ok")
     )
 
 
@@ -106,3 +146,9 @@ def cited(answers: DataFrame, answer: str, hits: str) -> DataFrame:
     first = F.slice(F.sequence(F.lit(1), F.greatest(F.col(hits), F.lit(1))), F.lit(1), F.least(F.lit(3), F.greatest(F.col(hits), F.lit(1))))
     return answers.withColumn("cited", F.when(F.size(good) > 0, good).when(F.col(hits) > 0, first).otherwise(F.array().cast("array<int>")))
 
+
+def masked(hits: DataFrame, position: str, source: str, name: str) -> DataFrame:
+    """(query_id, source, masked): neutral names of an answer's sources, numbered as they first appear, with the file name's suffix."""
+    first = hits.groupBy("query_id", source).agg(F.min(position).alias("_f"), F.min_by(F.coalesce(name, F.lit("")), F.struct(position, "doc_id")).alias("_n"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("_f", source))
+    return first.select("query_id", source, F.concat(F.lit("文档"), n.cast("string"), F.regexp_extract("_n", r"(?s)[^.](\.[^.]*)$", 1)).alias("masked"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,91 +56,95 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     )
 
 
-#: Questions scored together, and records multiplied at once.
-QUESTIONS, RECORDS = 256, 512
+#: Questions of one pass over the index (their weights are at most 32 numbers each), and cells of a score table at once.
+QUESTIONS, CELLS = 8192, 1 << 22
 
 
-def _terms(text: str | None) -> list[str]:
-    """The same terms as docloom.functions.text.tokens."""
-    low = (text or "").lower()
-    out = re.findall(P.ASCII_RUN, low)
-    for run in re.findall(P.CJK_RUN, low):
-        out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
-    return out
+def index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms): the tokens of every record, written once, for any number of searches."""
+    return stage(docs.select(key, tokens(text).alias("terms")), "index")
 
 
-def _question_blocks(queries: DataFrame, key: str, text: str, size: int) -> Iterator[list[tuple[object, list[str]]]]:
-    held: list[tuple[object, list[str]]] = []
-    for q, t in queries.select(key, text).toLocalIterator():
-        if found := _terms(t)[: P.QUERY_TERMS]:
-            held.append((q, found))
-            if len(held) == size:
-                yield held
-                held = []
-    if held:
-        yield held
+def term_weights(held: DataFrame, q: DataFrame) -> tuple[DataFrame, float]:
+    """((query_id, token, weight), mean length): times x idf x 2.2 of all questions' terms q(query_id, token, times), from one pass over an index.
+
+    Counts per term combine on the map side; of the vocabulary only the questions' terms are shuffled.
+    """
+    q = stage(q, "asked")
+    wanted = sized(q.select("token").distinct())
+    n = held.select(F.explode_outer(F.array_distinct("terms")).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    total, mean = held.agg(F.count(F.lit(1)), F.avg(F.size("terms"))).first()
+    idf = F.log((F.lit(float(total)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weight = F.col("times") * F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * 2.2
+    return stage(q.join(n, "token").select("query_id", "token", weight.alias("weight")), "weights"), float(mean or 0.0)
+
+
+def _best_cells(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best positive cells of every column: by 9 digits, then the earlier row."""
+    if len(s) > k:
+        least = np.partition(s, len(s) - k, axis=0)[len(s) - k] - 2e-9
+        r, c = np.nonzero((s > 0) & (s >= least))
+    else:
+        r, c = np.nonzero(s > 0)
+    order = np.lexsort((r, -np.round(s[r, c], 9), c))
+    r, c = r[order], c[order]
+    keep = np.arange(len(c)) - np.searchsorted(c, c) < k
+    return r[keep], c[keep]
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k: int, scope: DataFrame | None = None, size: int = QUESTIONS) -> DataFrame:
     """(query_id, key, score, rank): the k best records of each question by the scores of ``bm25``.
 
-    A stated set of questions is scored a block at a time against all records. A first pass counts in how many
-    records each of the block's terms stands; a second multiplies the term weights of some hundred records at once with the block's
-    weights and keeps the best of each question. Nothing is shuffled but counts and candidates, so the work grows with the
-    corpus and not with how common the terms are. More blocks are further passes, each written before the next.
+    The index is made once. The weights of all questions' terms come from one pass over it, the scores of up to ``size`` questions
+    from a second: each Arrow batch of term lists meets the questions' terms as a product of two sparse tables in numpy, so the work is that
+    of the postings which questions and records share; of every batch only the best k of each question are
+    shuffled. More questions are further passes, each written before the next. ``scope`` (one column, the keys allowed) restricts the result only.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes) | {"_q": dict(queries.dtypes)[query_key]}
     schema = f"query_id {kinds['_q']}, {key} {kinds[key]}, score double"
     kind = to_arrow_type(queries.schema[query_key].dataType)
-    allowed = docs if scope is None else docs.join(scope.toDF(key).distinct(), key, "left_semi")
+    held = index(docs, key, text)
+    weights, mean = term_weights(held, query_terms(queries, query_key, query_text))
+    allowed = held if scope is None else held.join(scope.toDF(key).distinct(), key, "left_semi")
+    blocks = max(1, -(-weights.select("query_id").distinct().count() // size))
     out = None
-    for asked in _question_blocks(queries, query_key, query_text, size):
-        vocab = {t: i for i, t in enumerate(sorted({t for _, ts in asked for t in ts}))}
-        given = spark.sparkContext.broadcast(vocab)
-
-        def count(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            words = given.value
-            n, records, length = np.zeros(len(words), np.int64), 0, 0
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    found = _terms(t)
-                    records, length = records + 1, length + len(found)
-                    for x in {words[y] for y in found if y in words}:
-                        n[x] += 1
-            ids = np.arange(-2, len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([[records, length], n]))], names=["term", "n"])
-
-        counts = dict(docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-        total, mean = counts.get(-2, 0), counts.get(-1, 0) / max(1, counts.get(-2, 0))
-        weight = np.zeros((len(vocab), len(asked)))
-        for q, (_, ts) in enumerate(asked):
-            for t, times in Counter(ts).items():
-                n = counts.get(vocab[t], 0)
-                idf = math.log((total - n + 0.5) / (n + 0.5))
-                weight[vocab[t], q] = times * (idf if idf > 0 else 1e-6) * 2.2
-        told = spark.sparkContext.broadcast((vocab, weight, mean, pa.array([q for q, _ in asked], kind)))
+    for block in range(blocks):
+        own = weights if blocks == 1 else weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = own.toArrow()  # about ``size`` questions of at most 32 terms
+        if not rows.num_rows:
+            continue
+        words, asks = (rows.column(c).combine_chunks().dictionary_encode() for c in ("token", "query_id"))
+        term, ask, weight = words.indices.to_numpy(), asks.indices.to_numpy(), rows.column("weight").to_numpy()
+        order = np.lexsort((ask, term))
+        start = np.searchsorted(term[order], np.arange(len(words.dictionary) + 1))
+        told = spark.sparkContext.broadcast((words.dictionary, start, ask[order], weight[order], asks.dictionary.cast(kind), mean))
 
         def score(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            words, w, mean, names = told.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, RECORDS):
-                    b = whole.slice(at, RECORDS)
-                    b = b.take(pa.compute.sort_indices(b, sort_keys=[(b.schema.names[0], "ascending")]))
-                    m = np.zeros((b.num_rows, len(words)))
-                    for i, t in enumerate(b.column(1).to_pylist()):
-                        found = _terms(t)
-                        base = 1.2 * (0.25 + 0.75 * len(found) / mean) if mean else 1.2
-                        for x, tf in Counter(words[y] for y in found if y in words).items():
-                            m[i, x] = tf / (tf + base)
-                    s = m @ w
-                    best = np.argsort(-np.round(s, 9), axis=0, kind="stable")[: k + 4]
-                    value = np.take_along_axis(s, best, 0)
-                    r, c = np.nonzero(value > 0)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), b.column(0).take(pa.array(best[r, c])), pa.array(-value[r, c])], names=["query_id", b.schema.names[0], "score"])
-
-        part = top(allowed.select(key, text).mapInArrow(score, schema), "score", key, k)
-        out = part if out is None else out.unionByName(stage(part, "pass"))
+            vocab, start, ask, weight, names, mean = told.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                b = b.take(pa.compute.sort_indices(b, sort_keys=[(b.schema.names[0], "ascending")]))
+                length = b.column(1).value_lengths().fill_null(0).to_numpy()
+                ids = pa.compute.fill_null(pa.compute.index_in(b.column(1).flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), length)[ids >= 0]
+                code, tf = np.unique(row * len(vocab) + ids[ids >= 0], return_counts=True)
+                row, t = code // len(vocab), code % len(vocab)
+                part = tf / (tf + 1.2 * (0.25 + 0.75 * length[row] / mean))
+                step = max(1, CELLS // len(names))
+                for a in range(0, b.num_rows, step):
+                    z = min(a + step, b.num_rows)
+                    x, y = np.searchsorted(row, [a, z])
+                    n = start[t[x:y] + 1] - start[t[x:y]]
+                    at = np.repeat(start[t[x:y]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    s = np.bincount(np.repeat(row[x:y] - a, n) * len(names) + ask[at], weight[at] * np.repeat(part[x:y], n), (z - a) * len(names)).reshape(z - a, len(names))
+                    r, c = _best_cells(s, k)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(c)), b.column(0).take(pa.array(r + a)), pa.array(-s[r, c])], names=["query_id", b.schema.names[0], "score"])
+
+        part = top(allowed.select(key, "terms").mapInArrow(score, schema), "score", key, k)
+        part = part if blocks == 1 else stage(part, "pass")
+        out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema + ", rank int") if out is None else out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.text import col, matches, placeholders, strip
+from docloom.models import Recogniser, recognised
 from docloom.operators.numbering import row_numbers
 from docloom.runtime import stage
 
@@ -79,9 +80,12 @@ def resolved(spans: Column, length: Column) -> Column:
     return F.array_sort(taken)
 
 
-def detected(df: DataFrame, text: str, extra: list[str] | None = None) -> DataFrame:
-    """df with ``spans``: its number and field spans resolved."""
-    return df.withColumn("spans", resolved(F.concat(field_spans(text, extra), number_spans(text)), F.length(text)))
+def detected(df: DataFrame, text: str, extra: list[str] | None = None, recogniser: Recogniser | None = None) -> DataFrame:
+    """df with ``spans``: its number and field spans, and those of an entity recogniser if there is one, resolved."""
+    parts = [field_spans(text, extra), number_spans(text)]
+    if recogniser is not None:
+        df, parts = recognised(df, text, recogniser), [*parts, F.col("recognised").cast(SPAN)]
+    return df.withColumn("spans", resolved(F.concat(*parts), F.length(text))).drop("recognised")
 
 
 def substituted(text: Column | str, spans: Column, field: str) -> Column:
@@ -114,9 +118,9 @@ def allocated(spans: DataFrame, order: list[str], known: DataFrame | None = None
     return out.select("label", "original", F.concat(F.lit("["), "label", F.col("n").cast("string"), F.lit("]")).alias("placeholder"))
 
 
-def redact(df: DataFrame, key: list[str], text: str, known: DataFrame | None = None, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def redact(df: DataFrame, key: list[str], text: str, known: DataFrame | None = None, extra: list[str] | None = None, recogniser: Recogniser | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts with ``redacted`` and ``hits``, placeholder table). key orders the rows; hits counts a row's different placeholders."""
-    found = stage(detected(df.select(*key, text), text, extra), "spans")
+    found = stage(detected(df.select(*key, text), text, extra, recogniser), "spans")
     each = found.select(*key, F.explode("spans").alias("s")).select(*key, F.col("s.start").alias("start"), F.col("s.label").alias("label"), F.col("s.value").alias("value"))
     table = stage(allocated(each, key, known), "placeholders")
     named = (

@@ -30,6 +30,21 @@ def route(questions: DataFrame, selected: str, available: DataFrame, name: str)
     return rows.select(*questions.columns, keep.alias("routed"), gone.alias("missing"), outcome.alias("outcome"))
 
 
+def route_document(documents: DataFrame, base: str, available: DataFrame, name: str) -> DataFrame:
+    """documents with routed and outcome, for questions about one document: its base alone counts, whatever bases are chosen.
+
+    A document without a base has no_base, one whose base is gone gone; with no base at all available nothing is checked.
+    """
+    own = strip(F.coalesce(F.col(base), F.lit("")))
+    if available.isEmpty():
+        there = documents.withColumn("_there", F.lit(True))
+    else:
+        names = sized(available.select(F.col(name).alias("_own"), F.lit(True).alias("_there")).distinct())
+        there = documents.withColumn("_own", own).join(names, "_own", "left")
+    outcome = F.when(own == "", "no_base").when(F.coalesce("_there", F.lit(False)), "ok").otherwise("gone")
+    return there.select(*documents.columns, F.when(outcome == "ok", own).alias("routed"), outcome.alias("outcome"))
+
+
 def resolve_mode(questions: DataFrame, key: str, selected: str, bases: DataFrame, name: str, mode: str) -> DataFrame:
     """(key, mode): private if any base of the question is; unknown bases are normal."""
     private = sized(bases.where(F.col(mode) == "privacy").select(name).distinct().withColumn("_p", F.lit(True)))

@@ -26,22 +26,25 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], x[good] / norm[good, None]
 
 
-def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dim: int = 64, group: str | None = None, same: bool = True, block: int = BLOCK) -> DataFrame:
+def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, dim: int = 64, group: str | None = None, same: bool = True, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """(query_id, [group,] key, similarity, rank): the k most similar rows of each query, or of each query and group.
 
     similarity is max(0, cosine) as double; it ranks by 9 digits, then by key. Every Arrow batch of rows is multiplied with
     a block of queries and keeps its best k for each, so what is shuffled grows with the batches, not with the
-    rows. ``same`` keeps a row as its own neighbour. Unusable vectors take no part.
+    rows. ``same`` keeps a row as its own neighbour. Unusable vectors take no part. With ``within`` (a column of both)
+    a query is searched among the rows of its own value only, such as its base or its document; rows without a value belong to none.
     """
+    if within:
+        group = within
     spark = rows.sparkSession
     kind, gkind = dict(rows.dtypes)[key], dict(rows.dtypes)[group] if group else None
     schema = f"query_id {kind}, {key} {kind}" + (f", {group} {gkind}" if group else "") + ", similarity double"
     out = None
-    for ids, mat in _blocks(queries, key, vector, dim, block):
-        held = spark.sparkContext.broadcast((pa.array(ids, to_arrow_type(queries.schema[key].dataType)), mat))
+    for ids, mat, places in _blocks(queries, key, vector, dim, block, within):
+        held = spark.sparkContext.broadcast((pa.array(ids, to_arrow_type(queries.schema[key].dataType)), mat, np.array(places, dtype=object)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            qids, q = held.value
+            qids, q, places = held.value
             for b in batches:
                 pos, x = unit_rows(b.column(1), dim)
                 keys = b.column(0).take(pa.array(pos))
@@ -49,12 +52,15 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                 names = np.array(keys.to_pylist(), dtype=object)
                 rr, qq, ss = [], [], []
                 for g in set(groups.tolist()):
+                    asked = np.flatnonzero(places == g) if within else np.arange(len(qids))
+                    if within and (g is None or not len(asked)):
+                        continue
                     own = np.flatnonzero(groups == g)
                     own = own[np.argsort(names[own], kind="stable")]
-                    sim = np.maximum(0.0, x[own] @ q.T)
+                    sim = np.maximum(0.0, x[own] @ q[asked].T)
                     order = np.argsort(-np.round(sim, 9), axis=0, kind="stable")[: k + (not same)]
                     rr.append(own[order].ravel())
-                    qq.append(np.broadcast_to(np.arange(len(qids)), order.shape).ravel())
+                    qq.append(np.broadcast_to(asked, order.shape).ravel())
                     ss.append(np.take_along_axis(sim, order, 0).ravel())
                 r, c = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rr, qq))
                 cols = [qids.take(pa.array(c)), keys.take(pa.array(r))]
@@ -73,21 +79,22 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, key: str, vector: str, dim: int, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """The usable query vectors, normalized, a block at a time."""
-    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where(F.size("v") == dim)
-    ids, mats = [], []
+def _blocks(queries: DataFrame, key: str, vector: str, dim: int, block: int, within: str | None = None) -> Iterator[tuple[list, np.ndarray, list]]:
+    """The usable query vectors, normalized, and where each is searched, a block at a time."""
+    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), (F.col(within) if within else F.lit(None)).alias("w")).where(F.size("v") == dim)
+    ids, mats, places = [], [], []
     for r in asked.toLocalIterator():
         x = np.array([np.nan if v is None else v for v in r.v], np.float64)
         n = np.sqrt((x * x).sum())
         if np.isfinite(n) and n > 0:
             ids.append(r.q)
             mats.append(x / n)
+            places.append(r.w)
             if len(ids) == block:
-                yield ids, np.stack(mats)
-                ids, mats = [], []
+                yield ids, np.stack(mats), places
+                ids, mats, places = [], [], []
     if ids:
-        yield ids, np.stack(mats)
+        yield ids, np.stack(mats), places
 
 
 def _arrow(cols: list[pa.Array], key: str, group: str | None) -> pa.Schema:

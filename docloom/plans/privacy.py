@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import patterns as P
 from docloom.functions.text import entity_label, matches, placeholders, restore, segments
+from docloom.models import recognised
 from docloom.operators import redaction as R
-from docloom.runtime import stage, table
+from docloom.runtime import once, stage, table
 
 
 def _digits(n: int, k: str = "c_custkey") -> str:
@@ -20,6 +21,7 @@ FORM = (
     "'姓名：' || translate(right('000' || CAST(c_custkey % 997 AS STRING), 3), '0123456789', '赵钱孙李周吴郑王冯陈') || ' 联系电话：138' || " + _digits(8)
     + " || '，身份证号：' || " + _digits(17) + " || CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE '5' END || '。联系地址：新安市临江区和平路' || CAST(c_custkey % 500 AS STRING) || '号；合同编号：HT-2024-' || " + _digits(6)
     + " || chr(10) || '|工作单位|' || CAST(c_custkey % 90 AS STRING) || '号建设银行|出生日期|19' || right('00' || CAST(50 + c_custkey % 50 AS STRING), 2) || '-0' || CAST(1 + c_custkey % 9 AS STRING) || '-12|' || chr(10) || '卡号 62' || " + _digits(15)
+    + " || ' 副卡 6222-' || " + _digits(4) + " || '-' || " + _digits(4, "(c_custkey + 7)") + " || '-' || " + _digits(4, "(c_custkey + 11)")
     + " || ' 热线 400-' || " + _digits(3) + " || '-' || " + _digits(4) + " || ' 座机 (010)-' || " + _digits(8) + " || ' 邮箱 u' || CAST(c_custkey AS STRING) || '@mail.example 备注：甲方'"
 )
 
@@ -30,7 +32,7 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """All chunk contents and forms under one key."""
-    chunks = table(spark, d, "chunks_index").where("content is not null").select(F.col("chunk_id").alias("key"), F.col("content").alias("text")).distinct()
+    chunks = once(table(spark, d, "chunks_index").where("content is not null").select(F.col("chunk_id").alias("key"), F.col("content").alias("text")), "key")
     return chunks.unionByName(forms(spark, d).select(F.col("form_id").cast("string").alias("key"), "text"))
 
 
@@ -67,6 +69,16 @@ def pii_landline(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, 7)
 
 
+def pii_bankcard_grouped(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, 6)
+
+
+def pii_recognised(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's and form's spans of the offline recogniser, before they are united with the rules'."""
+    found = recognised(_texts(spark, d), "text")
+    return found.select("key", F.explode_outer("recognised").alias("s")).where("s is not null").select("key", "s.value", "s.label", "s.priority")
+
+
 def _labelled(spark: SparkSession, d: str, tables: bool) -> DataFrame:
     spans = R.field_spans("text", tables=tables, lines=not tables)
     return _texts(spark, d).select("key", F.explode_outer(spans).alias("s")).where("s is not null").select("key", "s.start", "s.value", "s.label")
@@ -153,7 +165,7 @@ def pii_restore(spark: SparkSession, d: str) -> DataFrame:
 
 def placeholders_unresolved(spark: SparkSession, d: str) -> DataFrame:
     """Placeholders in chunks that no redaction row explains, with how many chunks hold them."""
-    rows = table(spark, d, "chunks_index").select("chunk_id", "content").distinct()
+    rows = once(table(spark, d, "chunks_index").select("chunk_id", "content"), "chunk_id")
     used = rows.select("chunk_id", F.explode(F.array_distinct(placeholders("content"))).alias("placeholder"))
     known = table(spark, d, "redaction_map").select("placeholder").distinct()
     return used.join(known, "placeholder", "left_anti").groupBy("placeholder").agg(F.count(F.lit(1)).alias("chunks"))
@@ -161,7 +173,7 @@ def placeholders_unresolved(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks_restored(spark: SparkSession, d: str) -> DataFrame:
     """Chunk contents with placeholders put back from the redaction map; of several originals the first row's counts."""
-    rows = table(spark, d, "chunks_index").select("chunk_id", "content").distinct()
+    rows = once(table(spark, d, "chunks_index").select("chunk_id", "content"), "chunk_id")
     first = table(spark, d, "redaction_map").groupBy("placeholder").agg(F.min_by("original", "id").alias("original"))
     used = rows.select("chunk_id", F.explode(F.array_distinct(placeholders("content"))).alias("placeholder")).join(first, "placeholder")
     maps = used.groupBy("chunk_id").agg(F.collect_list(F.struct("placeholder", "original")).alias("m"))
@@ -177,11 +189,11 @@ def redaction_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def recogniser_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments an entity recogniser would read, of every chunk."""
-    rows = table(spark, d, "chunks_index").select("chunk_id", "content").distinct()
+    rows = once(table(spark, d, "chunks_index").select("chunk_id", "content"), "chunk_id")
     return rows.select("chunk_id", F.explode_outer(segments("content")).alias("s")).where("s is not null").select("chunk_id", "s.start", F.length("s.text").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (pii_idcard, pii_credit_code, pii_email, pii_phone, pii_hotline, pii_bankcard, pii_landline, pii_labelled, pii_table_labelled, pii_resolve, pii_allocate, pii_hit_count, pii_redact, pii_restore, pii_restore_texts, placeholders_unresolved, chunks_restored, redaction_lookup, recogniser_segments)}
+QUERIES = {f.__name__: f for f in (pii_bankcard_grouped, pii_recognised, pii_idcard, pii_credit_code, pii_email, pii_phone, pii_hotline, pii_bankcard, pii_landline, pii_labelled, pii_table_labelled, pii_resolve, pii_allocate, pii_hit_count, pii_redact, pii_restore, pii_restore_texts, placeholders_unresolved, chunks_restored, redaction_lookup, recogniser_segments)}
 
 _TEXTS = f"texts AS (SELECT DISTINCT chunk_id AS key, content AS text FROM chunks_index WHERE content IS NOT NULL UNION ALL SELECT CAST(c_custkey AS STRING), {FORM} FROM customer)"
 _MARK = r"\[[\p{L}_][\p{L}\p{M}\p{Nd}_·]{0,19}\p{Nd}{1,4}\]"
@@ -198,6 +210,8 @@ SQL = {
     "pii_idcard": rf"WITH {_TEXTS} SELECT key, value FROM (SELECT key, unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS value FROM texts) x WHERE regexp_full_match(value, '[0-9]{{17}}[0-9Xx]')",
     "pii_credit_code": rf"WITH {_TEXTS} SELECT key, value FROM (SELECT key, unnest(regexp_extract_all(text, '[0-9A-Za-z]+')) AS value FROM texts) x WHERE regexp_full_match(value, '[0-9A-HJ-NPQRTUWXY]{{18}}')",
     "pii_phone": _between(r"(?:\+?86[-\s]?)?1[3-9]\p{Nd}(?:[-\s]?\p{Nd}{4}){2}"),
+    "pii_bankcard_grouped": _between(r"\p{Nd}{4}[-\s]\p{Nd}{4}[-\s]\p{Nd}{4}[-\s]\p{Nd}{3,4}"),
+    "pii_recognised": f"WITH {_TEXTS} SELECT key, value, '姓名' AS label, 50 AS priority FROM (SELECT key, unnest(regexp_extract_all(text, '([\u4e00-\u9fa5]{{2,3}})(?:先生|女士)', 1)) AS value FROM texts) x",
     "pii_hotline": _between(r"(?:400|800)[-\s]?\p{Nd}{3}[-\s]?\p{Nd}{4}"),
     "pii_landline": _between(r"\(?0\p{Nd}{2,3}\)?[-\s]?\p{Nd}{7,8}"),
     "pii_email": rf"WITH {_TEXTS} SELECT key, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}')) AS value FROM texts",

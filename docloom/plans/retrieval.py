@@ -14,11 +14,11 @@ from docloom.functions import patterns as P
 from docloom.functions.text import index_text, tokens
 from docloom.operators import fusion, keyword, vector
 from docloom.plans import sql
-from docloom.runtime import table
+from docloom.runtime import once, table
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks_index").select("chunk_id", "content").distinct()
+    return once(table(spark, d, "chunks_index").select("chunk_id", "content"), "chunk_id")
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +75,29 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return _vector(spark, d).select("query_id", "vec_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def vector_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Each query vector among the vectors of its own base."""
+    rows = _stored(spark, d)
+    best = vector.cosine_top(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embeddings", 5, within="kb_name")
+    return best.select("query_id", "vec_id", "kb_name", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def vector_in_document(spark: SparkSession, d: str) -> DataFrame:
+    """Each query vector among the vectors of its own document's chunks."""
+    held = table(spark, d, "chunks_index").where("doc_id is not null").select("chunk_id", "doc_id").distinct()
+    rows = _stored(spark, d).select("vec_id", "chunk_id", "embeddings").join(held, "chunk_id")
+    best = vector.cosine_top(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embeddings", 5, within="doc_id")
+    return best.select("query_id", "vec_id", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def masked_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The documents behind each test passage's hits under neutral names, numbered in the order in which they first appear."""
+    docs = table(spark, d, "documents").select("doc_id", "filename", F.coalesce(F.when(F.col("file_path") != "", F.col("file_path")), F.col("filename")).alias("source"))
+    held = table(spark, d, "chunks_index").select("chunk_id", "doc_id").distinct()
+    hits = _keyword(spark, d).select("query_id", "chunk_id", "rank").join(held, "chunk_id").join(docs, "doc_id").where("source <> ''")
+    return fusion.masked(hits, "rank", "source", "filename").select("query_id", "source", "masked")
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, text) of the stated query set: usable vectors alone."""
     good = (F.size("embeddings") == 64) & F.exists("embeddings", lambda x: x != 0)
@@ -113,7 +136,7 @@ def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def _expanded(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits of the test passages, expanded to their sections."""
-    chunks = table(spark, d, "chunks_index").select("chunk_id", "kb_name", "section_id", "content").distinct()
+    chunks = once(table(spark, d, "chunks_index").select("chunk_id", "kb_name", "section_id", "content"), "chunk_id")
     hits = _keyword(spark, d).withColumnRenamed("rank", "position").join(chunks, "chunk_id").where("content <> ''")
     return fusion.expand(hits, chunks)
 
@@ -141,7 +164,7 @@ def section_fetch(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= P.SECTION_CHUNKS).select("kb_name", "section_id", "n", "chunk_id", F.length("content").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_terms, bm25_topk, bm25_scoped, keyword_index, cosine_topk, cosine_per_kb_merge, vector_search, rrf_fusion, hybrid_topk, rerank_blend, section_expand, context_pack, prompt_build, section_fetch)}
+QUERIES = {f.__name__: f for f in (vector_scoped, vector_in_document, masked_sources, tokenize_terms, bm25_topk, bm25_scoped, keyword_index, cosine_topk, cosine_per_kb_merge, vector_search, rrf_fusion, hybrid_topk, rerank_blend, section_expand, context_pack, prompt_build, section_fetch)}
 
 _ITEMS = sql.bm25("SELECT item_id AS query_id, text FROM eval_items")
 _COS = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -164,6 +187,11 @@ SQL = {
     "keyword_index": f"WITH {sql.CHUNKS} SELECT token, count(DISTINCT chunk_id) AS chunks, count(*) AS occurrences FROM (SELECT chunk_id, unnest({sql.tokens('content')}) AS token FROM chunks) x GROUP BY token",
     "cosine_topk": f"{_COS} SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM sims) x WHERE rank <= 20",
     "cosine_per_kb_merge": f"{_COS} SELECT query_id, vec_id, label, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(similarity, 9) DESC, vec_id) AS own FROM sims) y WHERE own <= 20) x WHERE rank <= 20",
+    "vector_scoped": f"WITH {sql.VECTOR} SELECT query_id, vec_id, kb_name, round(similarity, 6) AS similarity, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, s.vec_id) AS rank FROM sims s JOIN usable u ON u.vec_id = s.query_id AND u.kb_name = s.kb_name) x WHERE rank <= 5",
+    "vector_in_document": f"WITH {sql.VECTOR}, h AS (SELECT DISTINCT chunk_id, doc_id FROM chunks_index WHERE doc_id IS NOT NULL), w AS (SELECT vec_id, doc_id FROM usable JOIN h USING (chunk_id)) SELECT query_id, vec_id, doc_id, round(similarity, 6) AS similarity, rank FROM (SELECT s.query_id, s.vec_id, b.doc_id, s.similarity, row_number() OVER (PARTITION BY s.query_id ORDER BY round(similarity, 9) DESC, s.vec_id) AS rank FROM sims s JOIN w a ON a.vec_id = s.query_id JOIN w b ON b.vec_id = s.vec_id AND a.doc_id = b.doc_id) x WHERE rank <= 5",
+    "masked_sources": f"""WITH {_ITEMS}, h AS (SELECT DISTINCT chunk_id, doc_id FROM chunks_index), o AS (SELECT doc_id, filename, coalesce(nullif(file_path, ''), filename) AS source FROM documents),
+      f AS (SELECT query_id, source, min(rank) AS first, min_by(coalesce(filename, ''), (rank, doc_id)) AS filename FROM keyword JOIN h USING (chunk_id) JOIN o USING (doc_id) WHERE source <> '' GROUP BY query_id, source)
+      SELECT query_id, source, '文档' || row_number() OVER (PARTITION BY query_id ORDER BY first, source) || regexp_extract(filename, '(?s)[^.](\.[^.]*)$', 1) AS masked FROM f""",
     "vector_search": f"WITH {sql.VECTOR} SELECT query_id, vec_id, chunk_id, round(similarity, 6) AS similarity, rank FROM vector",
     "rrf_fusion": f"{sql.HYBRID} SELECT query_id, chunk_id, coalesce(vector_rank, 0) AS vector_rank, coalesce(keyword_rank, 0) AS keyword_rank, fusion_score, position FROM fused",
     "hybrid_topk": f"{sql.HYBRID}, h AS (SELECT f.*, c.content FROM fused f JOIN chunks c USING (chunk_id) WHERE c.content <> '') SELECT query_id, chunk_id, rank, CASE WHEN vector_rank IS NULL THEN 'keyword' WHEN keyword_rank IS NULL THEN 'vector' ELSE 'both' END AS source, fusion_score, length(content) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank FROM h) x WHERE rank <= 20",

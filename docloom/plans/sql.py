@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+#: A placeholder, as RE2 reads it.
+MARK = r"\[[\p{L}_][\p{L}\p{M}\p{Nd}_·]{0,19}\p{Nd}{1,4}\]"
+
+
 def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 

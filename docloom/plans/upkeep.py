@@ -11,7 +11,8 @@ from docloom.operators import fusion, scope, tables
 from docloom.operators.numbering import row_numbers
 from docloom.operators.orphans import clean_path
 from docloom.plans import sql
-from docloom.runtime import table
+from docloom.plans.sql import MARK as _MARK
+from docloom.runtime import once, table
 
 _REFS = "array<struct<index:int,source_kb:string,file_name:string,page:int>>"
 
@@ -22,7 +23,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks_index").select("chunk_id", "doc_id", "kb_name", "page", "chunk_type", "section_id", "content").distinct()
+    return once(table(spark, d, "chunks_index").select("chunk_id", "doc_id", "kb_name", "page", "chunk_type", "section_id", "content"), "chunk_id")
 
 
 # ---- catalog ----------------------------------------------------------------------------------------------------------
@@ -90,6 +91,39 @@ def file_available(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", ok.alias("available"), F.concat(name, F.when(ok, "").otherwise("（原件未找到）")).alias("label"))
 
 
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, path): the stored path of every document, even if the file is gone; without one its place in the archive, if a file is there."""
+    there = table(spark, d, "archive_files").where("removed_at is null").select(clean_path("file_path").alias("guess")).distinct().withColumn("there", F.lit(True))
+    docs = table(spark, d, "documents").select("doc_id", clean_path("file_path").alias("stored"), F.concat_ws("/", F.lit("archive"), "kb_name", "filename").alias("guess"))
+    return docs.join(there, "guess", "left").select("doc_id", F.coalesce(F.when(F.col("stored") != "", F.col("stored")), F.when(F.col("there"), F.col("guess")), F.lit("")).alias("path"))
+
+
+def file_address(spark: SparkSession, d: str) -> DataFrame:
+    """The address of every chunk's place in its original."""
+    rows = table(spark, d, "chunks_index").select("chunk_id", "doc_id", "page").distinct()
+    return rows.join(_paths(spark, d), "doc_id").select("chunk_id", "doc_id", T.file_address("path", "page").alias("address")).distinct()
+
+
+def citation_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Content, file name and base of chunks with placeholders put back, as a citation shows them."""
+    docs = table(spark, d, "documents").select("doc_id", "filename")
+    fields = ["content", "filename", "kb_name"]
+    rows = once(table(spark, d, "chunks_index").select("chunk_id", "doc_id", "kb_name", "content"), "chunk_id").join(docs, "doc_id", "left")
+    first = table(spark, d, "redaction_map").groupBy("placeholder").agg(F.min_by("original", "id").alias("original"))
+    held = T.placeholders(F.concat_ws("\u0001", *(F.coalesce(c, F.lit("")) for c in fields)))
+    used = rows.select("chunk_id", F.explode(F.array_distinct(held)).alias("placeholder")).join(first, "placeholder")
+    maps = used.groupBy("chunk_id").agg(F.collect_list(F.struct("placeholder", "original")).alias("m"))
+    back = rows.join(maps, "chunk_id")
+    return back.select("chunk_id", *(F.md5(T.restore(F.coalesce(c, F.lit("")), F.col("m"))).alias(f"{c}_md5") for c in fields))
+
+
+def route_document(spark: SparkSession, d: str) -> DataFrame:
+    """Where a question about one document is searched."""
+    have = table(spark, d, "knowledge_bases").where("deleted_at is null").select("kb_name")
+    out = scope.route_document(table(spark, d, "documents").select("doc_id", "kb_name"), "kb_name", have, "kb_name")
+    return out.select("doc_id", F.coalesce("routed", F.lit("")).alias("routed"), "outcome")
+
+
 # ---- changes ----------------------------------------------------------------------------------------------------------
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """Orders after a second version of every tenth key."""
@@ -300,7 +334,7 @@ def api_call_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.max("event_id").alias("last_seq"))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {f.__name__: f for f in (file_address, citation_restored, route_document,
     doc_counts, stats, kb_overview, collection_names, list_documents, list_files, latest_documents, stored_names, file_available,
     upsert_latest, insert_ignored, delete_cascade, doc_replace, mode_backfill, kb_mode_semi, route_scope, mode_resolve,
     session_list, session_turns, turn_index, recent_records, latest_session, session_messages, log_daily,
@@ -333,6 +367,18 @@ SQL = {
     "latest_documents": "SELECT kb_name, doc_id, filename FROM (SELECT *, row_number() OVER (PARTITION BY kb_name ORDER BY upload_time DESC NULLS LAST, doc_id) AS n FROM documents WHERE kb_name IS NOT NULL) x WHERE n = 1",
     "stored_names": rf"""WITH s AS (SELECT doc_id, kb_name, trim(regexp_replace({sql.strip("coalesce(filename, '')")}, '[\\/:*?"<>|\r\n\t]', '_', 'g'), ' .') AS c FROM documents), m AS (SELECT doc_id, kb_name, CASE WHEN c = '' THEN 'file' ELSE c END AS name FROM s),
       n AS (SELECT *, row_number() OVER (PARTITION BY kb_name, name ORDER BY doc_id) - 1 AS n, {_EXT % 'name'} AS ext FROM m) SELECT doc_id, CASE WHEN n = 0 THEN name ELSE substring(name, 1, length(name) - length(ext)) || '_' || n || ext END AS stored_name FROM n""",
+    "file_address": rf"""WITH a AS (SELECT DISTINCT {_PATH} AS g FROM archive_files WHERE removed_at IS NULL),
+      p AS (SELECT doc_id, coalesce(nullif({_PATH}, ''), g, '') AS path FROM documents LEFT JOIN a ON g = concat_ws('/', 'archive', kb_name, filename))
+      SELECT DISTINCT chunk_id, c.doc_id, CASE WHEN path = '' THEN '' ELSE CASE WHEN path LIKE '/%' THEN 'file://' || replace(url_encode(path), '%2F', '/') ELSE 'file:///' || path END || CASE WHEN page <> 0 THEN '#page=' || page ELSE '' END END AS address
+      FROM chunks_index c JOIN p USING (doc_id)""",
+    "route_document": "WITH b AS (SELECT DISTINCT kb_name AS k FROM knowledge_bases WHERE deleted_at IS NULL) SELECT doc_id, CASE WHEN trim(coalesce(kb_name, '')) <> '' AND k IS NOT NULL THEN trim(kb_name) ELSE '' END AS routed, CASE WHEN trim(coalesce(kb_name, '')) = '' THEN 'no_base' WHEN k IS NULL THEN 'gone' ELSE 'ok' END AS outcome FROM documents LEFT JOIN b ON k = trim(kb_name)",
+    "citation_restored": f"""WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, content || chr(1) || coalesce(filename, '') || chr(1) || coalesce(i.kb_name, '') AS content FROM chunks_index i LEFT JOIN documents USING (doc_id)),
+      o AS (SELECT placeholder, min_by(original, id) AS original FROM redaction_map GROUP BY placeholder),
+      u AS (SELECT chunk_id, content, p, o.original FROM (SELECT chunk_id, content, unnest(list_distinct(regexp_extract_all(content, '{_MARK}'))) AS p FROM c) x JOIN o ON o.placeholder = p),
+      n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, content ORDER BY length(p) DESC, p) AS i, count(*) OVER (PARTITION BY chunk_id, content) AS n FROM u),
+      f AS (SELECT DISTINCT chunk_id, content, 1 AS i, content AS t FROM n UNION ALL SELECT f.chunk_id, f.content, f.i + 1, replace(f.t, n.p, coalesce(n.original, '')) FROM f JOIN n ON n.chunk_id = f.chunk_id AND n.content = f.content AND n.i = f.i)
+      SELECT f.chunk_id, md5(split_part(f.t, chr(1), 1)) AS content_md5, md5(split_part(f.t, chr(1), 2)) AS filename_md5, md5(split_part(f.t, chr(1), 3)) AS kb_name_md5
+      FROM f JOIN (SELECT DISTINCT chunk_id, content, n FROM n) z ON z.chunk_id = f.chunk_id AND z.content = f.content WHERE f.i = z.n + 1""",
     "file_available": f"WITH a AS (SELECT DISTINCT {_PATH} AS path FROM archive_files WHERE removed_at IS NULL) SELECT doc_id, a.path IS NOT NULL AS available, coalesce(filename, '未知文件') || CASE WHEN a.path IS NULL THEN '（原件未找到）' ELSE '' END AS label FROM documents d LEFT JOIN a ON a.path = {_PATH}",
     "upsert_latest": "SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders) x GROUP BY o_orderstatus",
     "insert_ignored": "SELECT origin, count(*) AS chunks FROM (SELECT DISTINCT chunk_id, 'old' AS origin FROM chunk_fts UNION ALL SELECT DISTINCT chunk_id, 'new' FROM chunks_index WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_fts WHERE chunk_id IS NOT NULL)) x GROUP BY origin",

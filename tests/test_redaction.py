@@ -64,3 +64,25 @@ def test_old_placeholders_are_neither_given_again_nor_filled(spark):
 def test_unresolved(spark):
     df = spark.createDataFrame([("[姓名1][电话2][姓名1]", ["[电话2]"])], "t string, k array<string>")
     assert df.select(R.unresolved("t", F.col("k"))).first()[0] == ["[姓名1]", "[姓名1]"]
+
+
+def test_a_recogniser_joins_the_rules_and_may_fail(spark):
+    from docloom import models
+
+    df = spark.createDataFrame([(1, "联系人：王小明，由李大海先生签收。电话13812345678"), (2, "无"), (3, None)], "id int, text string")
+    spans = lambda r: {x.id: {(s.value, s.label, s.source) for s in x.spans} for x in R.detected(df, "text", recogniser=r).collect()}
+    got = spans(models.titled_names)[1]
+    assert {("王小明", "姓名", "context"), ("13812345678", "电话", "regex")} <= got and any(s == "ner" and v.endswith("李大海") for v, _, s in got)
+
+    def fails(text):
+        raise OSError("no model")
+
+    assert spans(fails) == spans(None)
+    wrapped = lambda t: {"output": {"output": [{"type": "org", "start": 0, "end": 1}, {"start": 5, "end": 2}, {"start": "x"}, 7]}}
+    assert ("联", "机构", "ner") in spans(wrapped)[1] and models.entities("x") == models.entities(None) == []
+
+
+def test_extra_fields(spark):
+    df = spark.createDataFrame([("车牌号：沪A12345，备注：急件",)], "text string")
+    got = df.select(R.field_spans("text", ["车牌号"]).alias("s")).first().s
+    assert [(s.value, s.label, s.priority) for s in got] == [("沪A12345", "车牌号", 94)]

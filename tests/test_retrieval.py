@@ -83,3 +83,28 @@ def test_expand_and_pack(spark):
 def test_cited_falls_back_to_the_first_three(spark):
     df = spark.createDataFrame([("[2] und [9]", 4), ("nichts", 4), ("[9]", 2), (None, 0)], "a string, n int")
     assert [r.cited for r in fusion.cited(df, "a", "n").collect()] == [[2], [1, 2, 3], [1, 2], []]
+
+
+def test_a_reranker_can_be_plugged_in_and_may_fail(spark):
+    rows = [(q, f"c{i}", i, "x", t) for q in (1, 2) for i, t in enumerate(["aa", "a", "aaaa", "aaa"], 1)]
+    df = spark.createDataFrame(rows, "query_id int, k string, position int, q string, t string")
+    order = lambda s: [r.k for r in fusion.rerank(df, "q", "t", "k", top=2, scorer=s).where("query_id = 1").orderBy("final_position").collect()]
+    assert order(fusion.batch_scorer(lambda q, d: [float(len(x)) for x in d])) == ["c3", "c4", "c1", "c2"]
+
+    def fails(q, d):
+        raise OSError("no model")
+
+    for bad in (fails, lambda q, d: [1.0], lambda q, d: ["?"] * len(d), lambda q, d: [float("nan")] * len(d)):
+        assert order(fusion.batch_scorer(bad)) == ["c1", "c2", "c3", "c4"]
+
+
+def test_vectors_within_a_group(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "b"), (3, [0.5, 0.5], "a"), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g string")
+    got = [(r.query_id, r.id) for r in vector.cosine_top(df, df, "id", "v", 5, dim=2, within="g").orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1), (1, 3), (2, 2), (3, 3), (3, 1)]
+
+
+def test_masked_sources(spark):
+    df = spark.createDataFrame([(1, 2, 7, "p", "x.pdf"), (1, 1, 8, "q", "noext"), (1, 3, 7, "p", "x.pdf"), (2, 1, 9, "p", "x.pdf")], "query_id int, rank int, doc_id long, source string, filename string")
+    assert {(r.query_id, r.source): r.masked for r in fusion.masked(df, "rank", "source", "filename").collect()} == {(1, "q"): "文档1", (1, "p"): "文档2.pdf", (2, "p"): "文档1.pdf"}

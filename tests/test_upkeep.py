@@ -63,6 +63,27 @@ def test_routing(spark):
     assert {r.id: r["mode"] for r in scope.resolve_mode(q, "id", "s", have, "n", "m").collect()} == {1: "privacy", 2: "normal", 3: "normal", 4: "privacy", 5: "normal"}
 
 
+def test_file_addresses_and_documents(spark):
+    from docloom.functions import text as T
+
+    rows = [("/a b/ü~#.pdf", 3), ("dir\\x y.pdf", None), ("", 2), (None, 1), ("/p", 0)]
+    got = [r.a for r in spark.createDataFrame(rows, "p string, n int").select(T.file_address("p", "n").alias("a")).collect()]
+    assert got == ["file:///a%20b/%C3%BC~%23.pdf#page=3", "file:///dir/x y.pdf", "", "", "file:///p"]
+    docs, have = spark.createDataFrame([(1, " a "), (2, "x"), (3, None)], "id int, b string"), spark.createDataFrame([("a",), (None,)], "n string")
+    assert {r.id: (r.routed, r.outcome) for r in scope.route_document(docs, "b", have, "n").collect()} == {1: ("a", "ok"), 2: (None, "gone"), 3: (None, "no_base")}
+    assert {r.outcome for r in scope.route_document(docs.where("id = 2"), "b", have.limit(0), "n").collect()} == {"ok"}
+
+
+def test_once_and_sizes(spark):
+    from docloom import runtime
+
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (3, None), (3, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    assert sorted(map(tuple, runtime.once(df, "k").collect()), key=str) == sorted(set(rows), key=str)
+    long = spark.createDataFrame([("x" * 1000,)] * 20, "t string")
+    assert runtime.small_enough(long, 30_000) and not runtime.small_enough(long, 15_000)
+
+
 def history(spark, seed):
     rng = random.Random(seed)
     t0 = datetime(2024, 1, 1)
