@@ -38,7 +38,7 @@ from docloom.llm.winnow import encode
 # The names of the placeholders.
 LABELS = dict(zip(TYPES, ("姓名", "电话", "邮箱", "身份证", "地址")))
 TAGS = 1 + 2 * len(TYPES)
-WINDOW, OVERLAP = 400, 80
+WINDOW, OVERLAP = 640, 80
 PLACEHOLDER = re.compile(r"\[[^\W\d_]{1,8}\d{1,6}\]")
 #: Classes of characters; the last three say of an ideograph that it is a family name, is written in given names, or both.
 CLASSES = ("digit", "upper", "lower", "space", "sign", "pause", "stop", "other letter", "other", "ideograph", "family", "given", "both")

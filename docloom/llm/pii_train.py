@@ -145,9 +145,9 @@ def cropped(text: str, spans: list[Span], rng: random.Random, size: int = 160) -
     return out
 
 
-def examples(chunks: list[str], rows: list[tuple[str, str]], questions: list[str], limit: int = LIMIT, seed: int = 1) -> list[tuple[str, list[Span]]]:
+def examples(chunks: list[str], rows: list[tuple[str, str]], questions: list[str], label: Labeller, limit: int = LIMIT, seed: int = 1) -> list[tuple[str, list[Span]]]:
     """Labelled texts of the archive."""
-    rng, label, names = random.Random(seed), Labeller(rows), Composer(seed)
+    rng, names = random.Random(seed), Composer(seed)
     clean: dict[str, list[str]] = {}
     for original, placeholder in rows:
         name = re.sub(r"[\[\]\d]", "", placeholder)
@@ -209,8 +209,9 @@ def fit(
     """A trained model, and its scores on the held-out tenth of the archive's labels and on composed sentences of held-out names and parts."""
     rng = random.Random(9)
     parts = [[x for x in sorted(set(source)) if rng.random() < 0.9] for source in (chunks, rows, questions)]
-    data = examples(*parts, limit)
-    held = examples(*(sorted(set(x) - set(p)) for x, p in zip((chunks, rows, questions), parts)), max(10, limit // 9), seed=4)
+    label = Labeller(rows)
+    data = examples(*parts, label, limit)
+    held = examples(*(sorted(set(x) - set(p)) for x, p in zip((chunks, rows, questions), parts)), label, max(10, limit // 9), seed=4)
     rng.shuffle(data)
     made = Composer(2)
     data = data + [made.sentence() for _ in range(composed)]

@@ -176,78 +176,72 @@ class Reader:
         # sigmoid(z) = (1 + tanh(z / 2)) / 2, so one tanh serves all four gates; a gate is a block of its own, [4, rows, n]
         half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
         self.gate = {d: np.ascontiguousarray(self._blocks(x @ p[f"wx{d}"] + p[f"bias{d}"]) * half) for d in "fb"}
-        self.back = {d: np.ascontiguousarray(self._blocks(p[f"wh{d}"]) * half) for d in "fb"}
-        tr = p["trans"]
-        # what the two transitions at a position can gain over those of tag 0, for every tag
-        after = np.maximum((tr - tr[:1, :]).max(1), 0)
-        self.gain = (tr - tr[:, :1]).max(0) + after
-        self.gain_first = (p["start"] - p["start"][0]) + after
-
+        # a state is kept as twice itself, which saves halving it at every step
+        self.back = {d: np.ascontiguousarray(self._blocks(p[f"wh{d}"]) * half * np.float32(0.5)) for d in "fb"}
+        self.tags = np.ascontiguousarray(p["out"].T * np.float32(0.5))
     def _blocks(self, w: np.ndarray) -> np.ndarray:
         return w.reshape(len(w), 4, self.n).transpose(1, 0, 2)
 
     def _run(self, chars: np.ndarray, mask: np.ndarray, d: str, full: int) -> np.ndarray:
         t, b = chars.shape
         n, gate, back = self.n, self.gate[d], self.back[d]
-        h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
+        c, h = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
         out, z, y = np.empty((t, b, n), np.float32), np.empty((4, b, n), np.float32), np.empty((4, b, n), np.float32)
+        i, f, o, g = z
         for s in range(t) if d == "f" else range(t - 1, -1, -1):
             np.take(gate, chars[s], axis=1, out=z, mode="clip")
             np.matmul(h, back, out=y)
             z += y
             np.tanh(z, out=z)
             z[:3] += 1
-            i, f, o, g = z
-            f *= c
-            i *= g
-            f += i
-            f *= 0.5
-            h2 = np.tanh(f)
-            h2 *= o
-            h2 *= 0.5
+            own = out[s]
             if s >= full:  # positions that some sequence does not reach
-                m = mask[s][:, None]
-                c, h = np.where(m, f, c), np.where(m, h2, h)
+                m, c1 = mask[s][:, None], 0.5 * (c * f + i * g)
+                own[:] = np.where(m, np.tanh(c1) * o, h)
+                c = np.where(m, c1, c)
             else:
-                c, h = f.copy(), h2
-            out[s] = h
+                c *= f
+                i *= g
+                c += i
+                c *= 0.5
+                np.tanh(c, out=own)
+                own *= o
+            h = own
         return out
 
     def emissions(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[time, batch, tags] of sequences with the given lengths."""
+        """[tags, time * batch] of sequences with the given lengths."""
         mask = np.arange(len(chars))[:, None] < lengths[None, :]
         full, n = int(lengths.min()), self.n
-        e = self._run(chars, mask, "f", full).reshape(-1, n) @ self.p["out"][:n]
-        e += self._run(chars, mask, "b", full).reshape(-1, n) @ self.p["out"][n:]
-        e += self.p["bout"]
-        return e.reshape(*chars.shape, -1)
+        e = self.tags[:, :n] @ self._run(chars, mask, "f", full).reshape(-1, n).T
+        e += self.tags[:, n:] @ self._run(chars, mask, "b", full).reshape(-1, n).T
+        e += self.p["bout"][:, None]
+        return e
 
-    def spans(self, seqs: list[np.ndarray], size: int = 512) -> list[list[tuple[int, int, int, float]]]:
+    def spans(self, seqs: list[np.ndarray], size: int = 256) -> list[list[tuple[int, int, int, float]]]:
         """(start, stop, type, score) of the best path of every sequence; the score is what the CRF loses if the span's tags become 0.
 
-        A position where tag 0 leads by more than any transitions could make up is 0 on the best path; the path is
-        sought only through the stretches between such positions, which gives the same path.
+        A position that no span with a gain can hold has tag 0 on the best path; the path is sought only through the
+        stretches between such positions, which gives the same path.
         """
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in seqs]
         lengths = np.array([len(s) for s in seqs], np.int64)
         for own in batches(lengths, size):
             n = lengths[own]
             e = self.emissions(padded([seqs[i] for i in own]), n)
-            over = (e[:, :, 1:] + self.gain[1:]).max(axis=2) >= e[:, :, 0]
-            over[0] = (e[0, :, 1:] + self.gain_first[1:]).max(axis=1) >= e[0, :, 0]
-            over &= np.arange(len(e))[:, None] < n[None, :]
+            t, b = int(n.max()), len(own)
+            over = self._possible(e, t, b, n)
             cells = over.T.ravel()  # sequence after sequence
             if not cells.any():
                 continue
-            flat, t = np.ascontiguousarray(e.transpose(1, 0, 2)).reshape(-1, e.shape[2]), len(e)
+            cell = np.arange(t * b)
+            flat = _Cells(e, (cell % t) * b + cell // t)
             # stretches in doubt; none runs on into the next sequence
             begins = cells & ~np.concatenate([[False], cells[:-1]])
             begins[::t] |= cells[::t]
             ends = cells & ~np.concatenate([cells[1:], [False]])
             ends[t - 1 :: t] |= cells[t - 1 :: t]
             first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-            keep = self._may(flat, first, last, t)
-            first, last = first[keep], last[keep]
             paths = self._best(flat, first, last, first % t == 0, (last - 1) % t + 1 == n[first // t])
             for a, path in zip(first.tolist(), paths):
                 if path.any():
@@ -256,20 +250,27 @@ class Reader:
                         out[own[row]].append((base + x, base + y, kind, self._score(flat, path, a, x, y, base, base + y == n[row])))
         return out
 
-    def _may(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, t: int) -> np.ndarray:
-        """Which stretches can have a tag at all: the best first tag, what further tags can add and the way back to 0 together gain something."""
-        tr, size = self.p["trans"], last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        lead = flat[at, 1:] - flat[at, :1]
-        into = np.where((at % t == 0)[:, None], self.p["start"] - self.p["start"][0], tr[0] - tr[0, 0])[:, 1:]
-        begin = (lead + into).max(axis=1)
-        more = np.maximum((lead + (tr - tr[0, 0])[:, 1:].max(axis=0)).max(axis=1), 0)
-        heads = np.concatenate([[0], np.cumsum(size)[:-1]])
-        return np.maximum.reduceat(begin, heads) + np.add.reduceat(more, heads) + max(0.0, float((tr[1:, 0] - tr[0, 0]).max())) > 0
-
-    def _score(self, flat: np.ndarray, path: np.ndarray, a: int, x: int, y: int, base: int, ends: bool) -> float:
+    def _possible(self, e: np.ndarray, t: int, b: int, n: np.ndarray) -> np.ndarray:
+        """[time, batch] whether a span that gains anything can lie over a position.
+
+        A span gains at most what its first tag gains over tag 0, what each further one can, whichever tag precedes it, and the way back to
+        0. The largest sum over all spans that hold a position comes from running maxima of prefix sums.
+        """
+        tr = self.p["trans"]
+        base = tr[0, 0]
+        begin = ((e[1:] + (tr[0, 1:] - base)[:, None]).max(axis=0) - e[0]).reshape(t, b)
+        begin[0] = (e[1:, :b] + (self.p["start"][1:] - self.p["start"][0])[:, None]).max(axis=0) - e[0, :b]
+        more = ((e[1:] + (tr[:, 1:].max(axis=0) - base)[:, None]).max(axis=0) - e[0]).reshape(t, b)
+        out = np.arange(t)[:, None] >= n[None, :]
+        begin[out], more[out] = -1e6, -1e3
+        sums = np.cumsum(more, axis=0, dtype=np.float64)
+        best = np.maximum.accumulate(begin - sums, axis=0) + np.maximum.accumulate(sums[::-1], axis=0)[::-1]
+        return (best + max(0.0, float((tr[1:, 0] - base).max())) > -1e-4) & ~out
+
+    def _score(self, flat: _Cells, path: np.ndarray, a: int, x: int, y: int, base: int, ends: bool) -> float:
         tr, tags = self.p["trans"], path[x:y]
-        gain = float((flat[a + x : a + y][np.arange(y - x), tags] - flat[a + x : a + y, 0]).sum()) + float((tr[tags[:-1], tags[1:]] - tr[0, 0]).sum())
+        own = flat[a + x : a + y]
+        gain = float((own[np.arange(y - x), tags] - own[:, 0]).sum()) + float((tr[tags[:-1], tags[1:]] - tr[0, 0]).sum())
         if base + x == 0:
             gain += float(self.p["start"][tags[0]] - self.p["start"][0])
         else:
@@ -280,7 +281,7 @@ class Reader:
         after = path[y] if y < len(path) else 0
         return gain + float(tr[tags[-1], after] - tr[0, after])
 
-    def _best(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> list[np.ndarray]:
+    def _best(self, flat: _Cells, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> list[np.ndarray]:
         """Viterbi through stretches: from the start scores or from tag 0, to the end or to tag 0."""
         p, out = self.p, [np.zeros(0, np.int64)] * len(first)
         lengths, into = last - first, np.ascontiguousarray(p["trans"].T)
@@ -307,6 +308,19 @@ class Reader:
         return out
 
 
+class _Cells:
+    """Emissions by cell, sequence after sequence, taken from [tags, time * batch] only where they are asked for."""
+
+    def __init__(self, e: np.ndarray, at: np.ndarray) -> None:
+        self.e, self.at = e, at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, cells: np.ndarray | slice) -> np.ndarray:
+        return np.moveaxis(self.e[:, self.at[cells]], 0, -1)
+
+
 def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, stop, type index) of a tag sequence; a span may begin with an inner tag."""
     out, i = [], 0
