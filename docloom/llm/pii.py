@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 
 from docloom.llm import tagger
 from docloom.llm.pii_rules import NAME_HAN, NAME_LATIN, PLAIN, TYPES, acceptable, kind_of_number, plain, shaped
+from docloom.llm.spans import blocks
 from docloom.llm.winnow import encode
 
 # The names of the placeholders.
 LABELS = dict(zip(TYPES, ("姓名", "电话", "邮箱", "身份证", "地址")))
 TAGS = 1 + 2 * len(TYPES)
-WINDOW, OVERLAP = 640, 80
+WINDOW, OVERLAP = 800, 80
+#: Characters of the texts that are read together.
+TOGETHER = 1 << 22
 PLACEHOLDER = re.compile(r"\[[^\W\d_]{1,8}\d{1,6}\]")
 #: Classes of characters; the last three say of an ideograph that it is a family name, is written in given names, or both.
 CLASSES = ("digit", "upper", "lower", "space", "sign", "pause", "stop", "other letter", "other", "ideograph", "family", "given", "both")
@@ -138,8 +141,9 @@ def windows(length: int) -> list[tuple[int, int]]:
     if length <= WINDOW:
         return [(0, length)]
     n = -(-(length - OVERLAP) // (WINDOW - OVERLAP))
-    step = (length - WINDOW) / (n - 1)
-    return [(a, a + WINDOW) for a in (round(i * step) for i in range(n))]
+    size = -(-(length + (n - 1) * OVERLAP) // n)
+    step = (length - size) / (n - 1)
+    return [(a, a + size) for a in (round(i * step) for i in range(n))]
 
 
 Span = tuple[int, int, int, float]
@@ -235,9 +239,9 @@ def found(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                texts = b.column(1).to_pylist()
+            every = whole.column(1).to_pylist()
+            for i, j in blocks([t or "" for t in every], TOGETHER):
+                b, texts = whole.slice(i, j - i), every[i:j]
                 rows = [(i, TYPES[t], texts[i][x:y], x) for i, s in enumerate(detect(m, texts)) for x, y, t in s]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())],
@@ -254,9 +258,9 @@ def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                texts = b.column(1).to_pylist()
+            every = whole.column(1).to_pylist()
+            for i, j in blocks([t or "" for t in every], TOGETHER):
+                b, texts = whole.slice(i, j - i), every[i:j]
                 out, count = [], []
                 for t, s in zip(texts, detect(m, [t or "" for t in texts])):
                     parts, last, seen = [], 0, {}

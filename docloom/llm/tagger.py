@@ -182,39 +182,35 @@ class Reader:
     def _blocks(self, w: np.ndarray) -> np.ndarray:
         return w.reshape(len(w), 4, self.n).transpose(1, 0, 2)
 
-    def _run(self, chars: np.ndarray, mask: np.ndarray, d: str, full: int) -> np.ndarray:
+    def _run(self, chars: np.ndarray, lengths: np.ndarray, d: str) -> np.ndarray:
+        """Twice the states of every position; the sequences come in order of length, so those that reach a position are the last ones."""
         t, b = chars.shape
         n, gate, back = self.n, self.gate[d], self.back[d]
+        ended = np.searchsorted(lengths, np.arange(t), side="right").tolist()
         c, h = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
-        out, z, y = np.empty((t, b, n), np.float32), np.empty((4, b, n), np.float32), np.empty((4, b, n), np.float32)
-        i, f, o, g = z
+        out, full, spare = np.zeros((t, b, n), np.float32), np.empty((4, b, n), np.float32), np.empty((4, b, n), np.float32)
         for s in range(t) if d == "f" else range(t - 1, -1, -1):
-            np.take(gate, chars[s], axis=1, out=z, mode="clip")
-            np.matmul(h, back, out=y)
-            z += y
+            k = ended[s]
+            z = np.take(gate, chars[s, k:], axis=1, out=None if k else full, mode="clip")
+            z += np.matmul(h[k:], back, out=None if k else spare)
             np.tanh(z, out=z)
             z[:3] += 1
-            own = out[s]
-            if s >= full:  # positions that some sequence does not reach
-                m, c1 = mask[s][:, None], 0.5 * (c * f + i * g)
-                own[:] = np.where(m, np.tanh(c1) * o, h)
-                c = np.where(m, c1, c)
-            else:
-                c *= f
-                i *= g
-                c += i
-                c *= 0.5
-                np.tanh(c, out=own)
-                own *= o
-            h = own
+            i, f, o, g = z
+            own, state = out[s, k:], c[k:]
+            state *= f
+            i *= g
+            state += i
+            state *= 0.5
+            np.tanh(state, out=own)
+            own *= o
+            h = out[s]
         return out
 
     def emissions(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[tags, time * batch] of sequences with the given lengths."""
-        mask = np.arange(len(chars))[:, None] < lengths[None, :]
-        full, n = int(lengths.min()), self.n
-        e = self.tags[:, :n] @ self._run(chars, mask, "f", full).reshape(-1, n).T
-        e += self.tags[:, n:] @ self._run(chars, mask, "b", full).reshape(-1, n).T
+        """[tags, time * batch] of sequences in order of length."""
+        n = self.n
+        e = self.tags[:, :n] @ self._run(chars, lengths, "f").reshape(-1, n).T
+        e += self.tags[:, n:] @ self._run(chars, lengths, "b").reshape(-1, n).T
         e += self.p["bout"][:, None]
         return e
 
