@@ -141,10 +141,17 @@ def _kinds_sql() -> str:
     return " UNION ".join(parts)
 
 
+_NEAR_SQL = (
+    _jaccard_sql("content", "SELECT chunk_id AS k, content AS t FROM chunks_index WHERE length(content) >= 80", 5)
+    + " UNION ALL " + _jaccard_sql("filename", r"SELECT CAST(doc_id AS VARCHAR) AS k, lower(regexp_replace(filename, '([^.])\.[^.]*$', '\1')) AS t FROM documents", 3)
+)
 #: The problems whose result plain SQL can give on the whole tables, by brute force.
 SQL: dict[str, str] = {
-    "p2_found": _jaccard_sql("content", "SELECT chunk_id AS k, content AS t FROM chunks_index WHERE length(content) >= 80", 5)
-    + " UNION ALL " + _jaccard_sql("filename", r"SELECT CAST(doc_id AS VARCHAR) AS k, lower(regexp_replace(filename, '([^.])\.[^.]*$', '\1')) AS t FROM documents", 3),
+    "p2_found": _NEAR_SQL,
+    "p2_groups": f"""WITH RECURSIVE pr AS ({_NEAR_SQL}), e AS (SELECT field_name, key_a AS a, key_b AS b FROM pr UNION SELECT field_name, key_b, key_a FROM pr),
+      c AS (SELECT DISTINCT field_name, a AS k, a AS l FROM e UNION SELECT c.field_name, e.b, c.l FROM c JOIN e ON e.field_name = c.field_name AND e.a = c.k)
+      SELECT field_name, record_key, class_id, links FROM (SELECT field_name, k AS record_key, min(l) AS class_id FROM c GROUP BY field_name, k) x
+      JOIN (SELECT field_name, a AS record_key, count(*) AS links FROM e GROUP BY field_name, a) y USING (field_name, record_key)""",
     "p5_found": _kinds_sql(),
     "p6_found": """WITH v AS (SELECT DISTINCT vec_id, CAST(embeddings AS DOUBLE[]) AS v FROM vector_store WHERE len(embeddings) = 64),
       u AS (SELECT * FROM v WHERE list_dot_product(v, v) > 0),
@@ -156,6 +163,18 @@ SQL: dict[str, str] = {
       dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 58), lambda k: hash(substring(t, k, 60)))) AS g FROM d WHERE length(t) >= 60),
       ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 58), lambda k: hash(substring(t, k, 60)))) AS g FROM i WHERE length(t) >= 60)
       SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p9_items": f"""WITH d AS (SELECT DISTINCT doc_id, {_REDUCED} AS t FROM documents), i AS (SELECT DISTINCT item_id, {_REDUCED} AS t FROM eval_items),
+      ig AS (SELECT item_id, x.p, x.g FROM (SELECT item_id, unnest(list_transform(range(1, length(t) - 58), lambda k: struct_pack(p := k, g := hash(substring(t, k, 60))))) AS x FROM i WHERE length(t) >= 60) y),
+      dg AS (SELECT doc_id, x.p, x.g FROM (SELECT doc_id, unnest(list_transform(range(1, length(t) - 58), lambda k: struct_pack(p := k, g := hash(substring(t, k, 60))))) AS x FROM d WHERE length(t) >= 60) y WHERE x.g IN (SELECT g FROM ig)),
+      m AS (SELECT doc_id, item_id, dg.p - ig.p AS diagonal, dg.p AS p FROM dg JOIN ig USING (g)),
+      r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS run_no FROM m),
+      runs AS (SELECT doc_id, item_id, count(*) + 59 AS run FROM r GROUP BY doc_id, item_id, diagonal, run_no)
+      SELECT item_id, count(DISTINCT doc_id) AS documents, max(run) AS longest_run FROM runs GROUP BY item_id""",
+    "p10_shared": """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+      g AS (SELECT doc_id, x.p, x.h FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda k: struct_pack(p := k, h := hash(substring(text, k, 200))))) AS x FROM d) y),
+      s AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1))
+      SELECT doc_id, chars, shared_chars, shared_chars / chars AS share FROM (SELECT doc_id, CAST(sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, p - before) END) AS BIGINT) AS shared_chars FROM s GROUP BY doc_id) z
+      JOIN (SELECT doc_id, max(length(text)) AS chars FROM documents GROUP BY doc_id) c USING (doc_id)""",
     "p10_found": """WITH g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(text) - 198), lambda k: hash(substring(text, k, 200)))) AS g FROM documents WHERE length(text) >= 200),
       r AS (SELECT * FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1))
       SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id""",
