@@ -75,3 +75,6 @@ PROMPT_RULES = "给出结论，并在每条结论后用 [编号] 标注来源；
 MISSING_SOURCE = "⚠️ 未找到原件，无法定位出处"
 EMPTY_TEXT = "（空内容）"
 SECTION_PREFIX, FIGURE_PREFIX = "章节：", "（图表内容）"
+
+# The session of records from before there were sessions.
+OLD_SESSION, OLD_TITLE = "history-default", "历史对话"

@@ -37,6 +37,20 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def paged_blocks(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """(doc, page, block_index from 0 within the document, …): the blocks of documents that come as one Markdown text a page.
+
+    Lines that stand at the ends of several pages of a document, its running heads and feet, go wherever they stand, before blocks are made.
+    """
+    noisy = repeated_lines(pages, doc, page, text)
+    rows = lines(pages, page, text, doc).withColumn("line_key", repeat_key("line"))
+    kept = rows.join(noisy.select(doc, "line_key"), [doc, "line_key"], "left_anti")
+    whole = kept.groupBy(doc, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("_t"))
+    out = markdown_blocks(whole.select(F.struct(doc, page).alias("_k"), "_t"), "_k", "_t").select(f"_k.{doc}", f"_k.{page}", "*").drop("_k")
+    order = Window.partitionBy(doc).orderBy(page, "block_index")
+    return out.withColumn("block_index", (F.row_number().over(order) - 1).cast("int"))
+
+
 def repeated_lines(pages: DataFrame, group: str, page: str, text: str, head: int = 2, tail: int = 4, least: int = P.REPEATS) -> DataFrame:
     """(group, line_key, pages): normalized lines among the first and last of a page that stand so on several pages of their group."""
     rows = lines(pages, page, text, group).where("line <> ''")

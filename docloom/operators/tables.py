@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.numbering import row_numbers
+
 
 def latest(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """One row for each key: the last in the given order (total, so that reruns agree)."""
@@ -33,12 +35,24 @@ def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 def collision_names(df: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """df with ``stored_name``: names that come again within a group get _1, _2… before their suffix."""
-    w = Window.partitionBy(group, name).orderBy(order)
-    n = F.row_number().over(w) - 1
+    df = row_numbers(df.withColumn("_k", F.struct(group, name)), "_k", [F.col(order)], "_n").drop("_k")  # a name may come very often
+    n = F.col("_n") - 1
     ext = F.regexp_extract(name, r"(?s)[^.](\.[^.]*)$", 1)
     base = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(ext))
-    return df.withColumn("stored_name", F.when(n == 0, F.col(name)).otherwise(F.concat(base, F.lit("_"), n.cast("string"), ext)))
+    return df.withColumn("stored_name", F.when(n == 0, F.col(name)).otherwise(F.concat(base, F.lit("_"), n.cast("string"), ext))).drop("_n")
 
 
 def per_key_counts(df: DataFrame, key: str, alias: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(alias))
+
+
+def touch_sessions(sessions: DataFrame, touched: DataFrame) -> DataFrame:
+    """sessions(session_id, title, kb_names, created_at, updated_at) after touches(session_id, title, kb_names, at): unknown ones are
+    inserted, known ones get the last touch's time, and its title and bases only if it has a title."""
+    last = latest(touched.where(F.col("session_id") != ""), ["session_id"], F.desc("at")).select("session_id", F.coalesce("title", F.lit("")).alias("_t"), F.col("kb_names").alias("_k"), "at")
+    named = latest(touched.where((F.col("session_id") != "") & (F.coalesce("title", F.lit("")) != "")), ["session_id"], F.desc("at")).select("session_id", F.col("title").alias("_nt"), F.col("kb_names").alias("_nk"))
+    both = sessions.join(last, "session_id", "full_outer").join(named, "session_id", "left")
+    return both.select(
+        "session_id", F.coalesce("_nt", "title", F.lit("")).alias("title"), F.coalesce("_nk", "kb_names", "_k").alias("kb_names"),
+        F.coalesce("created_at", "at").alias("created_at"), F.coalesce("at", "updated_at").alias("updated_at"),
+    )

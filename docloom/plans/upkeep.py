@@ -203,8 +203,25 @@ def session_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turn_index(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("id")
-    return _log(spark, d).select("id", "session_id", F.row_number().over(w).alias("turn"))
+    rows = row_numbers(_log(spark, d).select("id", "session_id"), "session_id", [F.col("id")], "turn")  # records without a session are one group
+    return rows.select("id", "session_id", "turn")
+
+
+def history_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each session after those without one are put under a session of their own, with its title."""
+    own = F.when(F.coalesce("session_id", F.lit("")) == "", P.OLD_SESSION).otherwise(F.col("session_id"))
+    rows = _log(spark, d).select(own.alias("session_id")).groupBy("session_id").agg(F.count(F.lit(1)).alias("records"))
+    titles = _sessions(spark, d).select("session_id", "title")
+    old = F.when(F.col("session_id") == P.OLD_SESSION, P.OLD_TITLE)
+    return rows.join(titles, "session_id", "left").select("session_id", "records", F.coalesce(old, "title", F.lit("")).alias("title"))
+
+
+def session_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What is left after all sessions that hold a private question are deleted with their records."""
+    log = _log(spark, d)
+    gone = log.where(F.col("mode").isin("隐私模式", "privacy") & F.col("session_id").isNotNull()).select("session_id").distinct()
+    records, sessions = tables.delete(log.select("session_id"), gone, "session_id"), tables.delete(_sessions(spark, d).select("session_id"), gone, "session_id")
+    return records.agg(F.count(F.lit(1)).alias("left_over")).select(F.lit("query_log").alias("table_name"), "left_over").unionByName(sessions.agg(F.count(F.lit(1)).alias("left_over")).select(F.lit("sessions").alias("table_name"), "left_over"))
 
 
 def recent_records(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +351,7 @@ def api_call_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.max("event_id").alias("last_seq"))
 
 
-QUERIES = {f.__name__: f for f in (file_address, citation_restored, route_document,
+QUERIES = {f.__name__: f for f in (history_backfill, session_delete, file_address, citation_restored, route_document,
     doc_counts, stats, kb_overview, collection_names, list_documents, list_files, latest_documents, stored_names, file_available,
     upsert_latest, insert_ignored, delete_cascade, doc_replace, mode_backfill, kb_mode_semi, route_scope, mode_resolve,
     session_list, session_turns, turn_index, recent_records, latest_session, session_messages, log_daily,
@@ -396,6 +413,8 @@ SQL = {
     "mode_resolve": f"WITH {_LOG}, p AS (SELECT list(kb_name) AS names FROM knowledge_bases WHERE mode = 'privacy') SELECT id, CASE WHEN len(list_filter({_NAMES}, lambda x: list_contains(names, x))) > 0 THEN 'privacy' ELSE 'normal' END AS mode FROM log CROSS JOIN p",
     "session_list": f"WITH {_SESS} SELECT session_id, title, turns, strftime(updated_at, '%H:%M') AS clock FROM sess ORDER BY updated_at DESC NULLS LAST, last_id DESC LIMIT 50",
     "session_turns": f"WITH {_SESS} SELECT session_id, turns, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM sess",
+    "history_backfill": f"WITH {_SESS} SELECT session_id, records, CASE WHEN session_id = '{P.OLD_SESSION}' THEN '{P.OLD_TITLE}' ELSE coalesce(title, '') END AS title FROM (SELECT CASE WHEN coalesce(session_id, '') = '' THEN '{P.OLD_SESSION}' ELSE session_id END AS session_id, count(*) AS records FROM log GROUP BY 1) r LEFT JOIN sess USING (session_id)",
+    "session_delete": f"WITH {_SESS}, gone AS (SELECT DISTINCT session_id AS g FROM log WHERE mode IN ('隐私模式', 'privacy') AND session_id IS NOT NULL) SELECT 'query_log' AS table_name, count(*) AS left_over FROM log WHERE session_id IS NULL OR session_id NOT IN (SELECT g FROM gone) UNION ALL SELECT 'sessions', count(*) FROM sess WHERE session_id IS NULL OR session_id NOT IN (SELECT g FROM gone)",
     "turn_index": f"WITH {_LOG} SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS turn FROM log",
     "recent_records": f"WITH {_SESS} SELECT r.id, coalesce(title, '') AS title, {_short('question', 20)} AS question, CASE WHEN mode IN ('隐私模式', 'privacy') THEN '隐私' ELSE '普通' END AS mode FROM (SELECT * FROM log ORDER BY id DESC LIMIT 100) r LEFT JOIN sess USING (session_id)",
     "latest_session": f"WITH {_SESS} SELECT session_id FROM sess WHERE updated_at IS NOT NULL ORDER BY updated_at DESC, last_id DESC LIMIT 1",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -103,6 +103,34 @@ def pdf_blocks(raw: bytes) -> list[dict]:
     return out
 
 
+def markdown_pages(raw: bytes) -> list[tuple[int, str]]:
+    """(page, Markdown) of a PDF, by pymupdf4llm."""
+    try:
+        import fitz
+        import pymupdf4llm
+    except ImportError as e:
+        raise RuntimeError("reading PDF as Markdown needs the optional library pymupdf4llm") from e
+    with fitz.open(stream=raw, filetype="pdf") as doc:
+        return [(int((x.get("metadata") or {}).get("page_number") or i), x.get("text") or "") for i, x in enumerate(pymupdf4llm.to_markdown(doc, page_chunks=True), start=1)]
+
+
+def pages(spark: SparkSession, folder: str, reader: Callable[[bytes], list[tuple[int, str]]] = markdown_pages) -> DataFrame:
+    """(path, page, text, error) of the PDF files below a folder, for docloom.operators.blocks.paged_blocks; an unreadable file gives one row with its error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").endswith(".pdf"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows += [(path, n, t, None) for n, t in reader(raw)]
+                except Exception as e:  # noqa: BLE001 - one unreadable file must not end the job
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
+
+
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     """All blocks of the PDF and DOCX files below a folder (BLOCKS); other suffixes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(r"\.(" + "|".join(SUFFIXES) + ")$"))

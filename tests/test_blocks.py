@@ -124,3 +124,28 @@ def test_layout(spark):
     assert {r.content for r in B.outside_tables(df, "d").collect()} == {"far", "other page"}
     m = spark.sql("select 0.0 y0, 5.0 y1, 100.0 h union all select 50.0, 60.0, 100.0 union all select 90.0, 99.0, 100.0 union all select 1.0, 1.0, 100.0")
     assert [r[0] for r in m.select(B.in_margin(F.col("y0"), F.col("y1"), F.col("h"))).collect()] == [True, False, True, False]
+
+
+def test_pages_as_markdown_lose_their_running_heads(spark):
+    pages = [("d", n, f"公司手册 第{n}页\n\n# 标题{w}\n正文{w}\n\n| a | {w} |\n\n第 {n} 页 共 4 页") for n, w in enumerate("甲乙丙丁", 1)] + [("e", 1, "公司手册 第1页\n\n独有")]
+    out = B.paged_blocks(spark.createDataFrame(pages, "doc string, page int, text string"), "doc", "page", "text").orderBy("doc", "block_index").collect()
+    own = [(r.page, r.block_index, r.type, r.heading_level, r.content) for r in out if r.doc == "d"]
+    assert own[:3] == [(1, 0, "text", 1, "标题甲"), (1, 1, "text", None, "正文甲"), (1, 2, "table", None, "| a | 甲 |")] and [x[1] for x in own] == list(range(12))
+    assert [r.content for r in out if r.doc == "e"] == ["公司手册 第1页", "独有"]
+
+
+def test_pages_of_pdf_files(spark, tmp_path):
+    from docloom.sources import files
+
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    (tmp_path / "b.PDF").write_bytes(b"bad")
+    (tmp_path / "c.txt").write_bytes(b"x")
+
+    def reader(raw):
+        if raw == b"bad":
+            raise ValueError("broken")
+        return [(1, "# t"), (2, "u")]
+
+    got = sorted((r.path.rsplit("/", 1)[1], r.page, r.text, r.error) for r in files.pages(spark, str(tmp_path), reader).collect())
+    assert got == [("a.pdf", 1, "# t", None), ("a.pdf", 2, "u", None), ("b.PDF", None, None, "ValueError: broken")]
+    assert all("pymupdf4llm" in r.error for r in files.pages(spark, str(tmp_path)).collect())

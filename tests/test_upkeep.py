@@ -74,6 +74,12 @@ def test_file_addresses_and_documents(spark):
     assert {r.outcome for r in scope.route_document(docs.where("id = 2"), "b", have.limit(0), "n").collect()} == {"ok"}
 
 
+def test_touched_sessions(spark):
+    old = spark.createDataFrame([("a", "t", "k", 1, 1), ("b", "u", "k", 1, 2)], "session_id string, title string, kb_names string, created_at int, updated_at int")
+    touched = spark.createDataFrame([("a", "", "x", 5), ("a", "new", "y", 4), ("c", None, "z", 7), ("", "no", "z", 9), (None, "no", "z", 9)], "session_id string, title string, kb_names string, at int")
+    assert sorted(map(tuple, tables.touch_sessions(old, touched).collect())) == [("a", "new", "y", 1, 5), ("b", "u", "k", 1, 2), ("c", "", "z", 7, 7)]
+
+
 def test_once_and_sizes(spark):
     from docloom import runtime
 
