@@ -224,7 +224,7 @@ class Reader:
         lengths = np.array([len(s) for s in seqs], np.int64)
         for own in batches(lengths, size):
             n = lengths[own]
-            e = self.emissions(padded([seqs[i] for i in own]), n)
+            e = self.emissions(padded([seqs[i] for i in own]).astype(np.intp), n)
             t, b = int(n.max()), len(own)
             over = self._possible(e, t, b, n)
             cells = over.T.ravel()  # sequence after sequence

@@ -38,9 +38,9 @@ from docloom.runtime import drop_keys, hashed_sample, stage
 DIM = 64
 SAMPLE = 20_000
 #: Entries of a cell on average, and most centroids of a codebook (the counts of its cells are 4 MB at most).
-CELL, BOOK = 128, 1024
+CELL, BOOK = 256, 1024
 #: Queries whose true neighbours are found by brute force, the share of these that the walk must reach, and the least candidates of a walk.
-PROBES, RECALL, LEAST = 512, 0.998, 500
+PROBES, RECALL, LEAST = 1024, 0.995, 500
 ENTRIES, QUERIES = 8192, 8192
 
 
