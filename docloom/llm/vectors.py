@@ -42,6 +42,8 @@ CELL, BOOK = 256, 1024
 #: Queries whose true neighbours are found by brute force, the share of these that the walk must reach, and the least candidates of a walk.
 PROBES, RECALL, LEAST = 1024, 0.995, 500
 ENTRIES, QUERIES = 8192, 8192
+#: Pairs whose exact cosines are made at once.
+CELLS = 1 << 16
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
@@ -135,7 +137,7 @@ def needed(index: DataFrame, books: tuple[np.ndarray, np.ndarray], counts: np.nd
             x, own = unpack(b.column(1).to_pylist(), dim), b.column(0).to_numpy()
             cos = mat @ x.T
             cos[names[:, None] == own[None, :]] = -2
-            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            top = np.argpartition(-cos, k - 1, axis=1)[:, :k] if len(own) > k else np.broadcast_to(np.arange(len(own)), cos.shape)
             r, c = np.repeat(np.arange(len(names)), top.shape[1]), top.ravel()
             keep = cos[r, c] >= floor
             r, c = r[keep], c[keep]
@@ -221,19 +223,22 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int = DIM, c
             return none
         left = left.sort_values("key", kind="stable")
         e, ids = unpack(left["v"].tolist(), dim), left["key"].to_numpy()
+        single = e.astype(np.float32)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(right), 1024):
             part = right.iloc[at : at + 1024]
             who, q = part["key"].to_numpy(), unpack(part["v"].tolist(), dim)
-            cos = np.round(q @ e.T, 9)
-            cos[who[:, None] == ids[None, :]] = -2
-            # few reach the floor; where more than k do, the best k by cosine, then id
-            r, c = np.nonzero(cos >= max(floor, -1.5))
-            order = np.lexsort((ids[c], -cos[r, c], r))
-            r, c = r[order], c[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[place < k], c[place < k]
-            out.append((who[r], ids[c], cos[r, c]))
+            # few pairs reach the floor: single precision finds those near it, double precision gives their cosines
+            near = q.astype(np.float32) @ single.T >= np.float32(max(floor, -1.5) - 1e-4)
+            near &= who[:, None] != ids[None, :]
+            r, c = np.nonzero(near)
+            cos = np.round(np.concatenate([np.zeros(0), *((q[r[x : x + CELLS]] * e[c[x : x + CELLS]]).sum(1) for x in range(0, len(r), CELLS))]), 9)
+            keep = cos >= max(floor, -1.5)
+            r, c, cos = r[keep], c[keep], cos[keep]
+            order = np.lexsort((ids[c], -cos, r))
+            r, c, cos = r[order], c[order], cos[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append((who[r[best]], ids[c[best]], cos[best]))
         return pd.DataFrame({n: np.concatenate([o[x] for o in out]) for x, n in enumerate(("query", "other", "cosine"))})
 
     part = ["cell", "ep", "qp"]
