@@ -44,7 +44,7 @@ def overlap_score(hits: DataFrame, query: str, text: str, key: str) -> DataFrame
     hits = stage(hits, "hits")  # read three times
     asked = hits.groupBy("query_id").agg(F.first(query).alias("_q")).select("query_id", F.array_distinct(tokens("_q")).alias("_qt"))
     docs = hits.groupBy(key).agg(F.first(text).alias("_d")).select(key, F.array_distinct(tokens(F.substring("_d", 1, P.RERANK_CHARS))).alias("_dt"))
-    both = hits.join(stage(asked, "asked"), "query_id").join(stage(docs, "terms"), key)
+    both = hits.join(asked, "query_id").join(docs, key)
     score = F.when(F.size("_qt") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("_qt", "_dt")) / F.size("_qt"))
     return both.withColumn("s", F.round(score, 9)).drop("_qt", "_dt")
 

@@ -14,7 +14,7 @@ from docloom.functions import patterns as P
 from docloom.functions.text import index_text, tokens
 from docloom.operators import fusion, keyword, vector
 from docloom.plans import sql
-from docloom.runtime import once, table
+from docloom.runtime import once, stage, table
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,9 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, text) of the stated query set: usable vectors alone."""
     good = (F.size("embeddings") == 64) & F.exists("embeddings", lambda x: x != 0)
     asked = _stored(spark, d).where("vec_id % 20 = 0").where(good)
-    return asked.join(_chunks(spark, d), "chunk_id").select(F.col("vec_id").alias("query_id"), F.col("content").alias("text"))
+    # repeated chunks are dropped behind the join, where few rows are left
+    held = table(spark, d, "chunks_index").select("chunk_id", "content")
+    return asked.join(held, "chunk_id").select(F.col("vec_id").alias("query_id"), F.col("content").alias("text")).distinct()
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +117,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.backfill(_fused(spark, d), _chunks(spark, d), "chunk_id", "content")
+    return fusion.backfill(_fused(spark, d), table(spark, d, "chunks_index").select("chunk_id", "content"), "chunk_id", "content").distinct()
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +138,7 @@ def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def _expanded(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits of the test passages, expanded to their sections."""
-    chunks = once(table(spark, d, "chunks_index").select("chunk_id", "kb_name", "section_id", "content"), "chunk_id")
+    chunks = stage(once(table(spark, d, "chunks_index").select("chunk_id", "kb_name", "section_id", "content"), "chunk_id"), "chunks")
     hits = _keyword(spark, d).withColumnRenamed("rank", "position").join(chunks, "chunk_id").where("content <> ''")
     return fusion.expand(hits, chunks)
 

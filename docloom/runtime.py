@@ -136,8 +136,15 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str], budget: i
     return df.join(sized(keys, budget), on, "left_semi")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan with projections and filters, in more partitions if its files are so few or small that most cores would idle in a costly step on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, key: str) -> DataFrame:
     """df without repeated rows, for rows that hold long texts: only rows of keys that come more than once are shuffled."""
+    df = spread(df)
     again = stage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(key), "again")
     several = df.join(sized(again.where(F.col(key).isNotNull())), key, "left_semi").unionByName(df.where(F.col(key).isNull()))
     return df.where(F.col(key).isNotNull()).join(sized(again), key, "left_anti").unionByName(several.distinct()).select(*df.columns)
