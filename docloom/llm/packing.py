@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import stage, text_key
+from docloom.runtime import spread, stage, text_key
 
 CAPACITY = 2048
 OPEN = 256
@@ -56,7 +56,7 @@ def measured(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), b.column(3)], names=[key, "tokens", "text_a", "text_b"])
 
-    named = df.select(key, text, text_key(text).alias("t"))
+    named = spread(df.select(key, text)).select(key, text, text_key(text).alias("t"))
     return named.select(key, text, "t.a", "t.b").mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, tokens long, text_a long, text_b long")
 
 

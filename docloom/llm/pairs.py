@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.runtime import hashed_sample
+from docloom.runtime import hashed_sample, spread
 
 #: Pairs that the models learn from, those with the smallest hashed keys.
 SAMPLE = 4000
@@ -407,5 +407,5 @@ def broken(pairs: DataFrame) -> DataFrame:
                 out.append("truncated" if state == "cut" else defect(q, text, models.value))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), pa.array(out, pa.string())], names=["key", "source", "defect"])
 
-    rows = pairs.select("key", "source", "question", "answer", "cached")
+    rows = spread(pairs.select("key", "source", "question", "answer", "cached"))
     return rows.mapInArrow(run, "key string, source string, defect string").where("defect is not null").distinct()

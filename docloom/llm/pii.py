@@ -35,6 +35,7 @@ from docloom.llm import tagger
 from docloom.llm.pii_rules import NAME_HAN, NAME_LATIN, PLAIN, TYPES, acceptable, kind_of_number, plain, shaped
 from docloom.llm.spans import blocks
 from docloom.llm.winnow import encode
+from docloom.runtime import once, spread
 
 # The names of the placeholders.
 LABELS = dict(zip(TYPES, ("姓名", "电话", "邮箱", "身份证", "地址")))
@@ -248,7 +249,7 @@ def found(df: DataFrame, key: str, text: str) -> DataFrame:
                     names=["key", "pii_type", "pii_value", "start"],
                 )
 
-    source = df.where(F.length(text) > 0).select(F.col(key).cast("string").alias("key"), text)
+    source = spread(df.where(F.length(text) > 0).select(F.col(key).cast("string").alias("key"), text))
     return source.mapInArrow(run, "key string, pii_type string, pii_value string, start int").distinct()
 
 
@@ -272,5 +273,5 @@ def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
                     count.append(len(s))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(count, pa.int32())], names=["key", "redacted", "details"])
 
-    source = df.select(F.col(key).cast("string").alias("key"), text).distinct()
+    source = once(df.select(F.col(key).cast("string").alias("key"), text), "key")
     return source.mapInArrow(run, "key string, redacted string, details int")
