@@ -1 +1 @@
-"""Data files of the training-data operators: name lists, look-alike tables, language profiles."""
+"""Data files of the training-data operators: lists of names and words, and the table of look-alikes."""
