@@ -191,7 +191,7 @@ SQL = {
     "cosine_per_kb_merge": f"{_COS} SELECT query_id, vec_id, label, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(similarity, 9) DESC, vec_id) AS own FROM sims) y WHERE own <= 20) x WHERE rank <= 20",
     "vector_scoped": f"WITH {sql.VECTOR} SELECT query_id, vec_id, kb_name, round(similarity, 6) AS similarity, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, s.vec_id) AS rank FROM sims s JOIN usable u ON u.vec_id = s.query_id AND u.kb_name = s.kb_name) x WHERE rank <= 5",
     "vector_in_document": f"WITH {sql.VECTOR}, h AS (SELECT DISTINCT chunk_id, doc_id FROM chunks_index WHERE doc_id IS NOT NULL), w AS (SELECT vec_id, doc_id FROM usable JOIN h USING (chunk_id)) SELECT query_id, vec_id, doc_id, round(similarity, 6) AS similarity, rank FROM (SELECT s.query_id, s.vec_id, b.doc_id, s.similarity, row_number() OVER (PARTITION BY s.query_id ORDER BY round(similarity, 9) DESC, s.vec_id) AS rank FROM sims s JOIN w a ON a.vec_id = s.query_id JOIN w b ON b.vec_id = s.vec_id AND a.doc_id = b.doc_id) x WHERE rank <= 5",
-    "masked_sources": f"""WITH {_ITEMS}, h AS (SELECT DISTINCT chunk_id, doc_id FROM chunks_index), o AS (SELECT doc_id, filename, coalesce(nullif(file_path, ''), filename) AS source FROM documents),
+    "masked_sources": rf"""WITH {_ITEMS}, h AS (SELECT DISTINCT chunk_id, doc_id FROM chunks_index), o AS (SELECT doc_id, filename, coalesce(nullif(file_path, ''), filename) AS source FROM documents),
       f AS (SELECT query_id, source, min(rank) AS first, min_by(coalesce(filename, ''), (rank, doc_id)) AS filename FROM keyword JOIN h USING (chunk_id) JOIN o USING (doc_id) WHERE source <> '' GROUP BY query_id, source)
       SELECT query_id, source, '文档' || row_number() OVER (PARTITION BY query_id ORDER BY first, source) || regexp_extract(filename, '(?s)[^.](\.[^.]*)$', 1) AS masked FROM f""",
     "vector_search": f"WITH {sql.VECTOR} SELECT query_id, vec_id, chunk_id, round(similarity, 6) AS similarity, rank FROM vector",

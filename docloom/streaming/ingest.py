@@ -15,11 +15,11 @@ class KeyedTable:
     """A table in a folder of versions; a batch replaces all rows of the parents it names. Readers see whole versions only.
 
     The version in force is the highest that has been written to its end, and a batch that
-    is delivered again after a failure writes the same version again, so every batch counts once.
+    is delivered again after a failure writes the same version again, so every batch counts once. Of the versions before it the last ``keep`` stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, parent: str) -> None:
-        self.spark, self.path, self.schema, self.parent = spark, path.rstrip("/"), schema, parent
+    def __init__(self, spark: SparkSession, path: str, schema: str, parent: str, keep: int = 2) -> None:
+        self.spark, self.path, self.schema, self.parent, self.keep = spark, path.rstrip("/"), schema, parent, max(1, keep)
 
     def versions(self) -> list[int]:
         jvm = self.spark._jvm
@@ -39,6 +39,9 @@ class KeyedTable:
     def apply(self, batch: DataFrame, number: int) -> None:
         fresh = batch.select(*self.spark.createDataFrame([], self.schema).columns)
         tables.replace_children(self.read(before=number), fresh, self.parent).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        for old in [v for v in self.versions() if v < number][: -self.keep]:  # readers of the last versions are not disturbed
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ingest(source: DataFrame, build: Callable[[DataFrame], DataFrame], target: KeyedTable, checkpoint: str) -> StreamingQuery:

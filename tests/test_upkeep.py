@@ -202,6 +202,14 @@ def test_models(spark):
     assert {r.query_id: r.answer for r in models.answered(p).collect()} == {1: "第一句。 [1]", 2: "资料不足。"}
 
 
+def test_old_versions_of_a_keyed_table_go(spark, tmp_path):
+    t = ingest.KeyedTable(spark, str(tmp_path / "t"), "k string, v int", "k", keep=1)
+    for n in range(4):
+        t.apply(spark.createDataFrame([("a", n), (f"b{n}", n)], "k string, v int"), n)
+    t.apply(spark.createDataFrame([("a", 9)], "k string, v int"), 3)  # delivered again: the batch counts once
+    assert t.versions() == [2, 3] and sorted(map(tuple, t.read().collect())) == [("a", 9), ("b0", 0), ("b1", 1), ("b2", 2)]
+
+
 def test_stream_into_keyed_table(spark, tmp_path):
     src, schema = str(tmp_path / "in"), "doc_id long, text string"
     spark.createDataFrame([(1, "a b"), (2, "c")], schema).write.parquet(src)
