@@ -152,14 +152,16 @@ def meet(groups: DataFrame, block: int = HOT) -> DataFrame:
     """(a, b, start_a, start_b), a < b, of members of one group.
 
     Members are dealt into blocks, those of a crowded group in pieces; block pairs are joined
-    by key, so a group of any size spreads over tasks in pieces of block x block.
+    by key, so a group of any size spreads over tasks in pieces of block x block. Blocks of different
+    pieces are in no order of ids, so their members meet either way round.
     """
     tiles = dealt(groups, "unitig", ["id", "start"], block).groupBy("unitig", "blk").agg(F.collect_list(F.struct("id", "start")).alias("m"))
     left = tiles.select("unitig", F.explode(F.expr("sequence(0, blk)")).alias("other"), "blk", F.col("m").alias("mb"))
     right = tiles.select("unitig", F.col("blk").alias("other"), F.col("m").alias("ma"))
     return (
         left.join(right, ["unitig", "other"])
-        .select(F.explode("ma").alias("x"), "mb").select("x", F.explode("mb").alias("y")).where("x.id < y.id")
+        .select(F.explode("ma").alias("x"), "mb", (F.col("other") < F.col("blk")).alias("apart")).select("x", F.explode("mb").alias("y"), "apart")
+        .where("x.id < y.id or (apart and x.id > y.id)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.start").alias("start_a"), F.col("y.start").alias("start_b"))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -221,6 +222,19 @@ def test_crowded_groups_are_dealt_in_pieces(spark):
     assert spans.repeated_edges(edges, 100).count() == spans.repeated_edges(edges).count() == 452
 
 
+def test_members_of_a_crowded_group_all_meet(spark, monkeypatch):
+    rows = [(7, i, i % 3) for i in range(300)] + [(8, i, 1) for i in range(20)] + [(7, 5, 9)]
+    df = spark.createDataFrame(rows, "unitig long, id long, start int")
+    want = sorted((a, b, s, t) for k in (7, 8) for a, s in [r[1:] for r in rows if r[0] == k] for b, t in [r[1:] for r in rows if r[0] == k] if a < b)
+    monkeypatch.setattr(spans, "dealt", partial(skew.dealt, calm=50))
+    assert sorted(tuple(r) for r in spans.meet(df, 16).collect()) == want
+    rng = random.Random(15)
+    plate = text(130, rng)
+    docs = spark.createDataFrame([(i * 37 % 101, text(rng.randrange(20, 60), rng) + plate + text(40, rng)) for i in range(101)], "doc_id long, text string")
+    monkeypatch.setattr(spans, "dealt", partial(skew.dealt, calm=20))
+    assert {tuple(r) for r in spans.sharing_pairs(docs, min_span=100).collect()} == set(itertools.combinations(range(101), 2))
+
+
 def test_a_path_ends_where_an_anchor_comes_again(spark):
     rng = random.Random(21)
     docs = []
