@@ -1,12 +1,22 @@
 """Rule-based redaction: spans by number shape and field name, overlap resolution, placeholder numbers, substitution, restoring.
 
-A span is struct<start, stop, value, label, source, priority>. Everything runs as array expressions in the JVM.
+A span is struct<start, stop, value, label, source, priority>. ``number_spans`` and ``field_spans`` give those of the rules as array
+expressions; ``detected`` finds the same ones over whole Arrow batches, each rule only in texts that an automaton over the
+batch lets pass. All else runs as array expressions in the JVM.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import patterns as P
 from docloom.functions.text import col, matches, placeholders, strip
@@ -69,6 +79,84 @@ def field_spans(text: Column | str, extra: list[str] | None = None, tables: bool
     return F.concat(*parts)
 
 
+#: White space as Unicode and Java's (?U) know it; Python's own has four control characters more.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _spelt(pattern: str, mark: str, chars: str) -> str:
+    """A pattern with an escape such as \\s spelt out as a class, or as part of the class that it stands in."""
+    token = lambda m: m[0].replace(mark, chars) if m[0][0] == "[" else f"[{chars}]" if m[0] == mark else m[0]
+    return re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", token, pattern, flags=re.S)
+
+
+def _python(pattern: str) -> str:
+    """A pattern of the rules with Java's white space, for Python."""
+    return _spelt(pattern, r"\s", SPACES)
+
+
+@cache
+def _digits() -> str:
+    """A class of Python's decimal digits other than those of ASCII."""
+    return "[" + "".join(f"{chr(c)}-{chr(c + 9)}" for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) == 0) + "]"
+
+
+def _sieve(pattern: str) -> str:
+    """A pattern without its lookaround for an automaton (RE2): it matches wherever the pattern does, and more, in texts without _digits()."""
+    return _spelt(re.sub(r"\(\?<?!(?:\[[^\]]*\]|[^)\[])*\)", "", _python(pattern)), r"\d", "0-9")
+
+
+@cache
+def _checks() -> dict[str, Callable[[str], bool]]:
+    """``valid`` for a value at a time."""
+    has = lambda v, words: any(w in v for w in words)
+    role, name, code, birthday = (re.compile(_python(p.removeprefix("(?U)"))) for p in (P.ROLE_ENDINGS, P.HAN_NAME, P.CODE, P.BIRTHDAY))
+    return {
+        "person": lambda v: v not in P.NAME_STOP and not role.search(v) and bool(name.search(v)) and not has(v, P.ORG_WORDS + P.REGION_WORDS),
+        "address": lambda v: 4 <= len(v) <= 60 and has(v, P.REGION_WORDS),
+        "org": lambda v: 4 <= len(v) <= 40 and has(v, P.ORG_WORDS),
+        "code": lambda v: bool(code.search(v)),
+        "birthday": lambda v: bool(birthday.search(v)),
+    }
+
+
+def _rules(extra: list[str] | None) -> list[tuple[str, list[tuple[re.Pattern[str], int]], str, str | None]]:
+    """(automaton's pattern, [(pattern, priority)], label, kind of check or None for a number) of all rules."""
+    names = [*P.FIELD_RULES, *((name, re.escape(name), "any", 94) for name in extra or [] if name.strip())]
+    out = []
+    for label, anchor, kind, n in names:
+        shapes = (("(" + anchor + P.FIELD_SEPARATOR + ")" + P.FIELD_VALUE, n), ("(" + P.CELL_BEFORE + anchor + P.CELL_BETWEEN + ")" + P.CELL_VALUE, n + 1))
+        # where Python's and RE2's escapes differ a name is looked for as it stands
+        out.append(("" if kind == "any" else _sieve(anchor), [(re.compile(_python(shape)), k) for shape, k in shapes], label, kind))
+    return out + [(_sieve(p), [(re.compile(_python(p)), n)], label, None) for label, p, n in P.NUMBER_RULES]
+
+
+def ruled(df: DataFrame, text: str, extra: list[str] | None = None) -> DataFrame:
+    """df with ``ruled``: the spans that field_spans() and number_spans() give, in one pass over Arrow batches."""
+    wanted = T.StructType([*df.schema.fields, T.StructField("ruled", T._parse_datatype_string(SPAN))])
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("label", pa.string()), ("source", pa.string()), ("priority", pa.int32())]))
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, checks = _rules(extra), _checks()
+        for b in batches:
+            rows: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            wide = pc.match_substring_regex(b.column(at), _digits())
+            for sieve, patterns, label, kind in rules:
+                passed = pc.or_(wide, pc.match_substring_regex(b.column(at), sieve))
+                ids = pc.indices_nonzero(pc.fill_null(passed, False))
+                check = checks.get(kind or "", lambda v: 1 <= len(v) <= 40)
+                for i, t in zip(ids.to_pylist(), b.column(at).take(ids).to_pylist()):
+                    for pattern, n in patterns:
+                        for m in pattern.finditer(t):
+                            if kind is None:
+                                rows[i].append({"start": m.start(), "stop": m.end(), "value": m[0], "label": label, "source": "regex", "priority": n})
+                            elif (v := m[2].strip(SPACES)) and check(v):
+                                rows[i].append({"start": m.start(2), "stop": m.start(2) + len(v), "value": v, "label": label, "source": "context", "priority": n})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, shape)], names=[*b.schema.names, "ruled"])
+
+    return df.mapInArrow(run, wanted)
+
+
 def resolved(spans: Column, length: Column) -> Column:
     """Spans without overlaps: by priority, then start, then length they are taken if none taken before overlaps; useless ones drop out."""
     good = F.filter(spans, lambda s: (s["start"] >= 0) & (s["stop"] <= length) & (s["stop"] > s["start"]) & ~s["value"].rlike(r"(?U)^[\s\W_]+$"))
@@ -82,10 +170,10 @@ def resolved(spans: Column, length: Column) -> Column:
 
 def detected(df: DataFrame, text: str, extra: list[str] | None = None, recogniser: Recogniser | None = None) -> DataFrame:
     """df with ``spans``: its number and field spans, and those of an entity recogniser if there is one, resolved."""
-    parts = [field_spans(text, extra), number_spans(text)]
+    df, parts = ruled(df, text, extra), [F.col("ruled")]
     if recogniser is not None:
         df, parts = recognised(df, text, recogniser), [*parts, F.col("recognised").cast(SPAN)]
-    return df.withColumn("spans", resolved(F.concat(*parts), F.length(text))).drop("recognised")
+    return df.withColumn("spans", resolved(F.concat(*parts), F.length(text))).drop("ruled", "recognised")
 
 
 def substituted(text: Column | str, spans: Column, field: str) -> Column:

@@ -86,3 +86,18 @@ def test_extra_fields(spark):
     df = spark.createDataFrame([("车牌号：沪A12345，备注：急件",)], "text string")
     got = df.select(R.field_spans("text", ["车牌号"]).alias("s")).first().s
     assert [(s.value, s.label, s.priority) for s in got] == [("沪A12345", "车牌号", 94)]
+
+
+def test_batches_give_the_spans_of_the_column_rules(spark):
+    rng = random.Random(4)
+    bits = ["姓名", "姓 名", "姓\x1c名", "联系人：", "：", " ", "\x1c", "\x85", "\n", "|", "张三丰", "甲方", "和平路3号", "建设银行股份", "合同编号", "HT-2024-000123", "出生日期", "1990年01月02日", "１３８１２３４５６７８", "+86 138 1234 5678", "(010)-12345678"]
+    bits += ["400-123-4567", "6222 1234 5678 9012", "622212345678901234", "11010119900307851X", "91350100M000100Y43", "a.b@c.com", "，", "x", "（甲）", "😀", "车牌[号"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(25))),) for _ in range(400)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    for extra in (None, ["车牌[号"]):
+        both = R.ruled(df, "t", extra).select(F.array_sort("ruled").alias("a"), F.array_sort(F.concat(R.field_spans("t", extra), R.number_spans("t"))).alias("b")).collect()
+        assert sum(len(r.a) for r in both) > 300 and all(r.a == r.b for r in both)
+
+
+def test_a_number_behind_a_digit_beyond_the_basic_plane_is_none(spark):
+    assert spans_of(spark, "𝟐13812345678") == []
