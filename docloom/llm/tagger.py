@@ -12,6 +12,10 @@ from collections.abc import Callable
 import numpy as np
 
 Params = dict[str, np.ndarray]
+#: A gate whose exponent is above this is shut: exp(40) is 2e17, and products of two are still finite.
+STEEP = 40.0
+#: Positions in doubt whose paths are sought together.
+DOUBTS = 1 << 19
 
 
 def init(vocab: int, features: int, tags: int, embed: int = 24, hidden: int = 48, seed: int = 3) -> Params:
@@ -166,6 +170,14 @@ def train(
     return losses
 
 
+def _aligned(*shape: int) -> np.ndarray:
+    """Zeros that begin at a cache line, so that no vector of a row lies across two."""
+    size = int(np.prod(shape))
+    raw = np.zeros(size + 16, np.float32)
+    skip = -raw.ctypes.data % 64 // 4
+    return raw[skip : skip + size].reshape(shape)
+
+
 class Reader:
     """Whole sequences read by a trained model: emissions of every position, and the exact best path where one is in doubt."""
 
@@ -173,48 +185,67 @@ class Reader:
         n = p["whf"].shape[0]
         self.n, self.p = n, p
         x = np.concatenate([p["emb"], static.astype(np.float32)], axis=1)
-        # sigmoid(z) = (1 + tanh(z / 2)) / 2, so one tanh serves all four gates; a gate is a block of its own, [4, rows, n]
-        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
-        self.gate = {d: np.ascontiguousarray(self._blocks(x @ p[f"wx{d}"] + p[f"bias{d}"]) * half) for d in "fb"}
-        # a state is kept as twice itself, which saves halving it at every step
-        self.back = {d: np.ascontiguousarray(self._blocks(p[f"wh{d}"]) * half * np.float32(0.5)) for d in "fb"}
-        self.tags = np.ascontiguousarray(p["out"].T * np.float32(0.5))
+        # sigmoid(z) = 1 / (1 + exp(-z)) and tanh(z) = 2 sigmoid(2z) - 1, so one exp serves all four gates, i, f, o and g; a gate is a
+        # block of its own, [4, rows, n]. Signs and factors stand in the weights: i's exp comes out halved, a state is kept as its half.
+        by = np.array([-1, -1, -1, -2], np.float32)[:, None, None]
+        less = np.array([np.log(2), 0, 0, 0], np.float32)[:, None, None]
+        self.gate = {d: _aligned(4, len(x), n) for d in "fb"}
+        for d, gate in self.gate.items():
+            gate[:] = self._blocks(x @ p[f"wx{d}"] + p[f"bias{d}"]) * by - less
+        # the product with the states is quicker if the weights lie column by column
+        self.back = {d: np.ascontiguousarray((self._blocks(p[f"wh{d}"]) * by * np.float32(2)).transpose(0, 2, 1)).transpose(0, 2, 1) for d in "fb"}
+        # no exponent of a gate can be above this, as states lie between -1/2 and 1/2
+        self.most = {d: float((self.gate[d].max(axis=1) + np.abs(self.back[d]).sum(axis=1) / 2).max()) for d in "fb"}
+        self.tags = {d: w * np.float32(2) for d, w in (("f", p["out"][:n]), ("b", p["out"][n:]))}
+
     def _blocks(self, w: np.ndarray) -> np.ndarray:
         return w.reshape(len(w), 4, self.n).transpose(1, 0, 2)
 
     def _run(self, chars: np.ndarray, lengths: np.ndarray, d: str) -> np.ndarray:
-        """Twice the states of every position; the sequences come in order of length, so those that reach a position are the last ones."""
+        """[time, batch, tags] what a direction adds to the scores; the sequences come in order of length, so those that reach a position are the last ones."""
         t, b = chars.shape
-        n, gate, back = self.n, self.gate[d], self.back[d]
+        n, gate, back, tags, steep = self.n, self.gate[d], self.back[d], self.tags[d], self.most[d] > STEEP
         ended = np.searchsorted(lengths, np.arange(t), side="right").tolist()
-        c, h = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
-        out, full, spare = np.zeros((t, b, n), np.float32), np.empty((4, b, n), np.float32), np.empty((4, b, n), np.float32)
+        c, h, full, spare = _aligned(b, n), _aligned(b, n), _aligned(4 * b * n), _aligned(4 * b * n)
+        out, one, k = np.zeros((t, b, tags.shape[1]), np.float32), np.array([0.5, 1, 1, 1], np.float32)[:, None, None], -1
         for s in range(t) if d == "f" else range(t - 1, -1, -1):
-            k = ended[s]
-            z = np.take(gate, chars[s, k:], axis=1, out=None if k else full, mode="clip")
-            z += np.matmul(h[k:], back, out=None if k else spare)
-            np.tanh(z, out=z)
-            z[:3] += 1
-            i, f, o, g = z
-            own, state = out[s, k:], c[k:]
-            state *= f
+            if k != ended[s]:
+                k = ended[s]
+                m = (b - k) * 4 * n
+                z, y = full[:m].reshape(4, b - k, n), spare[:m].reshape(4, b - k, n)
+                i, f, o, g = z
+                own, state = h[k:], c[k:]  # the state is kept as -2c
+            gate.take(chars[s, k:], axis=1, out=z, mode="clip")
+            np.matmul(own, back, out=y)
+            z += y
+            if steep:
+                np.minimum(z, STEEP, out=z)
+            np.exp(z, out=z)
+            z += one
+            # with 1 + exp in each gate's place (half of it in i's): c / f + (2 - g) / (i g), times -2
+            state /= f
             i *= g
-            state += i
-            state *= 0.5
-            np.tanh(state, out=own)
-            own *= o
-            h = out[s]
+            g -= 2
+            g /= i
+            state += g
+            np.exp(state, out=own)
+            own += 1
+            np.reciprocal(own, out=own)
+            own -= 0.5
+            own /= o
+            np.matmul(own, tags, out=out[s, k:])
         return out
 
     def emissions(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """[tags, time * batch] of sequences in order of length."""
-        n = self.n
-        e = self.tags[:, :n] @ self._run(chars, lengths, "f").reshape(-1, n).T
-        e += self.tags[:, n:] @ self._run(chars, lengths, "b").reshape(-1, n).T
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+            e = self._run(chars, lengths, "f")
+            e += self._run(chars, lengths, "b")
+        e = np.ascontiguousarray(e.reshape(-1, e.shape[2]).T)
         e += self.p["bout"][:, None]
         return e
 
-    def spans(self, seqs: list[np.ndarray], size: int = 256) -> list[list[tuple[int, int, int, float]]]:
+    def spans(self, seqs: list[np.ndarray], size: int = 384) -> list[list[tuple[int, int, int, float]]]:
         """(start, stop, type, score) of the best path of every sequence; the score is what the CRF loses if the span's tags become 0.
 
         A position that no span with a gain can hold has tag 0 on the best path; the path is sought only through the
@@ -222,48 +253,66 @@ class Reader:
         """
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in seqs]
         lengths = np.array([len(s) for s in seqs], np.int64)
-        for own in batches(lengths, size):
-            n = lengths[own]
-            e = self.emissions(padded([seqs[i] for i in own]).astype(np.intp), n)
-            t, b = int(n.max()), len(own)
-            over = self._possible(e, t, b, n)
-            cells = over.T.ravel()  # sequence after sequence
-            if not cells.any():
-                continue
-            cell = np.arange(t * b)
-            flat = _Cells(e, (cell % t) * b + cell // t)
-            # stretches in doubt; none runs on into the next sequence
-            begins = cells & ~np.concatenate([[False], cells[:-1]])
-            begins[::t] |= cells[::t]
-            ends = cells & ~np.concatenate([cells[1:], [False]])
-            ends[t - 1 :: t] |= cells[t - 1 :: t]
-            first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-            paths = self._best(flat, first, last, first % t == 0, (last - 1) % t + 1 == n[first // t])
-            for a, path in zip(first.tolist(), paths):
-                if path.any():
-                    row, base = a // t, a % t
-                    for x, y, kind in runs(path):
-                        out[own[row]].append((base + x, base + y, kind, self._score(flat, path, a, x, y, base, base + y == n[row])))
+        held: list[tuple[np.ndarray, ...]] = []
+        every = batches(lengths, size)
+        for i, own in enumerate(every):
+            held.append(self._stretches([seqs[i] for i in own], own))
+            if i + 1 == len(every) or sum(len(x[0]) for x in held) >= DOUBTS:
+                self._paths(held, lengths, out)
+                held = []
         return out
 
+    def _stretches(self, seqs: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Emissions of the positions in doubt, sequence after sequence, and of every stretch of them its sequence, start and length."""
+        n = np.array([len(s) for s in seqs], np.int64)
+        e = self.emissions(padded(seqs).astype(np.intp), n)
+        t, b = int(n.max()), len(n)
+        cells = self._possible(e, t, b, n).T.ravel()  # sequence after sequence
+        # none runs on into the next sequence
+        begins = cells & ~np.concatenate([[False], cells[:-1]])
+        begins[::t] |= cells[::t]
+        ends = cells & ~np.concatenate([cells[1:], [False]])
+        ends[t - 1 :: t] |= cells[t - 1 :: t]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        cell = np.flatnonzero(cells)
+        return np.ascontiguousarray(e[:, (cell % t) * b + cell // t].T), own[first // t], first % t, last - first
+
+    def _paths(self, held: list[tuple[np.ndarray, ...]], lengths: np.ndarray, out: list[list[tuple[int, int, int, float]]]) -> None:
+        """The best path through every stretch, and its spans."""
+        e, row, base, length = (np.concatenate(x) for x in zip(*held))
+        last = np.cumsum(length)
+        paths = self._best(e, last - length, last, base == 0, base + length == lengths[row])
+        for a, r, k, path in zip((last - length).tolist(), row.tolist(), base.tolist(), paths):
+            if path.any():
+                for x, y, kind in runs(path):
+                    out[r].append((k + x, k + y, kind, self._score(e, path, a, x, y, k, k + y == lengths[r])))
+
     def _possible(self, e: np.ndarray, t: int, b: int, n: np.ndarray) -> np.ndarray:
         """[time, batch] whether a span that gains anything can lie over a position.
 
         A span gains at most what its first tag gains over tag 0, what each further one can, whichever tag precedes it, and the way back to
-        0. The largest sum over all spans that hold a position comes from running maxima of prefix sums.
+        0. The largest sum over all spans that hold a position is the largest up to it and the largest from it on.
         """
-        tr = self.p["trans"]
+        tr, e = self.p["trans"], e.reshape(-1, t, b)
         base = tr[0, 0]
-        begin = ((e[1:] + (tr[0, 1:] - base)[:, None]).max(axis=0) - e[0]).reshape(t, b)
-        begin[0] = (e[1:, :b] + (self.p["start"][1:] - self.p["start"][0])[:, None]).max(axis=0) - e[0, :b]
-        more = ((e[1:] + (tr[:, 1:].max(axis=0) - base)[:, None]).max(axis=0) - e[0]).reshape(t, b)
+
+        def gains(e: np.ndarray, by: np.ndarray) -> np.ndarray:
+            return (e[1:] + by[:, None, None]).max(axis=0) - e[0]
+
+        begin, more = gains(e, tr[0, 1:] - base), gains(e, tr[:, 1:].max(axis=0) - base)
+        begin[:1] = gains(e[:, :1], self.p["start"][1:] - self.p["start"][0])
         out = np.arange(t)[:, None] >= n[None, :]
         begin[out], more[out] = -1e6, -1e3
-        sums = np.cumsum(more, axis=0, dtype=np.float64)
-        best = np.maximum.accumulate(begin - sums, axis=0) + np.maximum.accumulate(sums[::-1], axis=0)[::-1]
-        return (best + max(0.0, float((tr[1:, 0] - base).max())) > -1e-4) & ~out
-
-    def _score(self, flat: _Cells, path: np.ndarray, a: int, x: int, y: int, base: int, ends: bool) -> float:
+        onward, rest = np.zeros((t, b), np.float32), np.empty(b, np.float32)
+        for s in range(1, t):
+            np.add(begin[s - 1], more[s], out=rest)
+            np.maximum(begin[s], rest, out=begin[s])  # now the largest sum up to s
+            np.add(onward[t - s], more[t - s], out=rest)
+            np.maximum(rest, 0, out=onward[t - s - 1])
+        begin += onward
+        return (begin + max(0.0, float((tr[1:, 0] - base).max())) > -1e-3) & ~out
+
+    def _score(self, flat: np.ndarray, path: np.ndarray, a: int, x: int, y: int, base: int, ends: bool) -> float:
         tr, tags = self.p["trans"], path[x:y]
         own = flat[a + x : a + y]
         gain = float((own[np.arange(y - x), tags] - own[:, 0]).sum()) + float((tr[tags[:-1], tags[1:]] - tr[0, 0]).sum())
@@ -277,7 +326,7 @@ class Reader:
         after = path[y] if y < len(path) else 0
         return gain + float(tr[tags[-1], after] - tr[0, after])
 
-    def _best(self, flat: _Cells, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> list[np.ndarray]:
+    def _best(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> list[np.ndarray]:
         """Viterbi through stretches: from the start scores or from tag 0, to the end or to tag 0."""
         p, out = self.p, [np.zeros(0, np.int64)] * len(first)
         lengths, into = last - first, np.ascontiguousarray(p["trans"].T)
@@ -304,19 +353,6 @@ class Reader:
         return out
 
 
-class _Cells:
-    """Emissions by cell, sequence after sequence, taken from [tags, time * batch] only where they are asked for."""
-
-    def __init__(self, e: np.ndarray, at: np.ndarray) -> None:
-        self.e, self.at = e, at
-
-    def __len__(self) -> int:
-        return len(self.at)
-
-    def __getitem__(self, cells: np.ndarray | slice) -> np.ndarray:
-        return np.moveaxis(self.e[:, self.at[cells]], 0, -1)
-
-
 def runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, stop, type index) of a tag sequence; a span may begin with an inner tag."""
     out, i = [], 0

@@ -61,6 +61,32 @@ def test_the_reader_finds_the_best_path_and_its_scores(seed):
             assert abs(total(tags) - total(without) - score) < 1e-2
 
 
+@pytest.mark.parametrize("steep", [1, 6, 60])
+def test_the_reader_s_scores_are_those_of_training_however_steep_the_gates(steep):
+    rng = np.random.default_rng(steep)
+    p = tagger.init(30, 4, 11, embed=6, hidden=8, seed=steep)
+    for k in ("emb", "wxf", "wxb", "whf", "whb"):
+        p[k] = (p[k] * steep).astype(np.float32)
+    static = rng.random((30, 4)).astype(np.float32)
+    seqs = sorted((rng.integers(0, 30, rng.integers(1, 60)) for _ in range(20)), key=len)
+    reader = tagger.Reader(p, static)
+    assert (max(reader.most.values()) > tagger.STEEP) == (steep > 1)
+    e = reader.emissions(tagger.padded(seqs).astype(np.intp), np.array([len(s) for s in seqs])).reshape(11, -1, len(seqs))
+    exact = {k: v.astype(np.float64) for k, v in p.items()}
+    for k, s in enumerate(seqs):
+        with np.errstate(over="ignore"):
+            want = tagger.emissions(exact, s[:, None], static[s][:, None], np.ones((len(s), 1), bool))[0][:, 0]
+        assert np.isfinite(e[:, : len(s), k]).all() and np.abs(e[:, : len(s), k].T - want).max() < 2e-3
+
+
+def test_equal_texts_are_read_once(monkeypatch):
+    read, spans = [], tagger.Reader.spans
+    monkeypatch.setattr(tagger.Reader, "spans", lambda self, seqs, *a: read.append(len(seqs)) or spans(self, seqs, *a))
+    texts = ["联系人：陈诺亭。", "", "流水号已入库。", "联系人：陈诺亭。", "Call me back on (505) 555 0193.", "流水号已入库。"] * 3
+    got = pii.detect(pii.model(), texts)
+    assert read == [3] and got[0] == [(4, 7, 0)] and all(got[i] == got[texts.index(t)] for i, t in enumerate(texts))
+
+
 def test_windows_and_reconciling():
     for n in (1, pii.WINDOW, pii.WINDOW + 1, 5000, 12345):
         w = pii.windows(n)
