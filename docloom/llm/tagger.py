@@ -230,7 +230,7 @@ class Reader:
             state += g
             np.exp(state, out=own)
             own += 1
-            np.reciprocal(own, out=own)
+            np.divide(1, own, out=own)  # quicker than reciprocal
             own -= 0.5
             own /= o
             np.matmul(own, tags, out=out[s, k:])
@@ -255,9 +255,9 @@ class Reader:
         lengths = np.array([len(s) for s in seqs], np.int64)
         held: list[tuple[np.ndarray, ...]] = []
         every = batches(lengths, size)
-        for i, own in enumerate(every):
+        for at, own in enumerate(every, 1):
             held.append(self._stretches([seqs[i] for i in own], own))
-            if i + 1 == len(every) or sum(len(x[0]) for x in held) >= DOUBTS:
+            if at == len(every) or sum(len(x[0]) for x in held) >= DOUBTS:
                 self._paths(held, lengths, out)
                 held = []
         return out
